@@ -67,11 +67,13 @@ def score(model: NaiveBayesModel, docs: DataFrame, id_col: str, tokens_col: str
     keep = keep or []
     rows = docs.select(id_col, *keep, F.explode_outer(tokens_col).alias("token"))
     joined = rows.join(model.token_counts, "token", "left")
-    # Contribution of one token to each class; out-of-vocabulary tokens contribute 0.
+    # Contribution of one token to each class with add-one smoothing over the training
+    # vocabulary: a token unseen in a class (or in training at all) counts 0. The null
+    # token row of a document without tokens contributes nothing.
     parts = []
     for c, tot in zip(model.classes, model.totals):
         lp = F.log((F.coalesce(F.col("counts")[c], F.lit(0)) + 1) / F.lit(float(tot + model.vocab_size)))
-        parts.append(F.sum(F.when(F.col("counts").isNotNull(), lp).otherwise(F.lit(0.0))).alias(f"_s{len(parts)}"))
+        parts.append(F.sum(F.when(F.col("token").isNotNull(), lp).otherwise(F.lit(0.0))).alias(f"_s{len(parts)}"))
     per_doc = joined.groupBy(id_col, *keep).agg(*parts)
     s = F.array(*[F.col(f"_s{i}") + F.lit(p) for i, p in enumerate(model.log_priors)])
     cls = F.array(*[F.lit(c) for c in model.classes])
@@ -110,8 +112,7 @@ cls2 AS (SELECT c.label, ln(c.nd / sum(c.nd) OVER ()) AS prior,
                 (SELECT sum(n) FROM cnt WHERE cnt.label = c.label) AS tot FROM cls c),
 te AS (SELECT {id_col}, unnest(toks) AS token FROM test),
 sc AS (SELECT te.{id_col}, c.label, sum(ln((coalesce(cnt.n, 0) + 1) / (c.tot + v.vs))) AS ls
-       FROM te JOIN (SELECT DISTINCT token FROM cnt) voc ON voc.token = te.token
-       CROSS JOIN cls2 c CROSS JOIN v
+       FROM te CROSS JOIN cls2 c CROSS JOIN v
        LEFT JOIN cnt ON cnt.label = c.label AND cnt.token = te.token
        GROUP BY te.{id_col}, c.label),
 allsc AS (SELECT t.{id_col}, c.label, c.prior + coalesce(sc.ls, 0) AS s
