@@ -96,13 +96,12 @@ def file_key(col) -> Column:
 
 def label_index(col) -> Column:
     """``LABEL_3`` -> 3; anything else -> null."""
-    return F.expr(f"try_cast(regexp_extract({col}, '^LABEL_([0-9]+)$', 1) AS INT)") \
-        if isinstance(col, str) else F.try_cast(F.regexp_extract(col, r"^LABEL_([0-9]+)$", 1), "int")
+    return F.regexp_extract(_c(col), r"^LABEL_([0-9]+)$", 1).try_cast("int")
 
 
 def safe_bigint(col) -> Column:
     """``int(x)`` with failure -> 0 (ANSI ``cast`` would throw, so ``try_cast``)."""
-    return F.coalesce(F.try_cast(strip(_c(col)), "bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(strip(_c(col)).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 # --- F17 link building -------------------------------------------------------------------

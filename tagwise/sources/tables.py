@@ -39,11 +39,16 @@ def raw_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- accounts / settings ------------------------------------------------------------
 
-ACCOUNT_MODULUS = 2000   # ticket/doc -> account id; keys beyond the customer table are unknown
+
+
+def installed_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token registry: every ``customer`` key is an installed account."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id"))
 
 
 def account_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One settings row per installed account (``customer``), deterministic from the key.
+    """Stored settings documents, deterministic from the key; keys with ``key % 5 = 0``
+    have no document (defaults apply).
 
     threshold: key % 4 -> 0.70, 0.75, 0.50, unset (null -> default 0.70)
     enabled:   key % 3 -> unset (all), [WISMO, RETURN_REQUEST], [] (empty = all)
@@ -55,7 +60,7 @@ def account_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     enabled = (F.when(k % 3 == 1, F.array(F.lit("WISMO"), F.lit("RETURN_REQUEST")))
                .when(k % 3 == 2, F.array().cast("array<string>"))
                .otherwise(F.lit(None).cast("array<string>")))
-    return table(spark, sf_dir, "customer").select(
+    return table(spark, sf_dir, "customer").filter(k % 5 != 0).select(
         k.alias("account_id"), threshold.alias("confidence_threshold"),
         enabled.alias("enabled_intents"), (k % 2 == 0).alias("opt_in"))
 
@@ -67,7 +72,7 @@ SELECT c_custkey AS account_id,
        CASE c_custkey % 3 WHEN 1 THEN ['WISMO', 'RETURN_REQUEST']
                           WHEN 2 THEN []::VARCHAR[] ELSE NULL::VARCHAR[] END AS enabled_intents,
        (c_custkey % 2 = 0) AS opt_in
-FROM customer"""
+FROM customer WHERE c_custkey % 5 <> 0"""
 
 
 # --- ticket events from conversations -----------------------------------------------
@@ -75,7 +80,9 @@ FROM customer"""
 def ticket_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` re-encoded as helpdesk webhook payloads (JSON strings).
 
-    ticket id = conv_id + 1 (0 would mean missing); account = conv_id % 2000;
+    ticket id = conv_id + 1 (0 would mean missing); account = conv_id, except every
+    fourth conversation, whose account is -(conv_id + 1): never a ``customer`` key, so
+    a quarter of the traffic comes from unknown accounts at every scale;
     ``role != 'user'`` -> ``from_agent = "True"``. Every third turn uses the nested
     ``event.object`` shape with the text as ``body_html``; every fifth is unsigned-flat
     with an HTML-wrapped body; the rest are flat.
@@ -95,12 +102,13 @@ def ticket_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.lit("subject line").alias("subject")).alias("object")).alias("event")))
     value = (F.when(F.col("turn") % 3 == 2, nested)
              .when(F.col("turn") % 5 == 4, flat_html).otherwise(flat))
-    return c.select("conv_id", "turn", (F.col("conv_id") % ACCOUNT_MODULUS).alias("account_id"),
+    return c.select("conv_id", "turn", F.when(F.col("conv_id") % 4 == 3, -(F.col("conv_id") + 1))
+                    .otherwise(F.col("conv_id")).alias("account_id"),
                     value.alias("value"))
 
 
 SQL_TICKET_PAYLOADS = """
-SELECT conv_id, turn, conv_id % 2000 AS account_id,
+SELECT conv_id, turn, CASE WHEN conv_id % 4 = 3 THEN -(conv_id + 1) ELSE conv_id END AS account_id,
   CASE WHEN turn % 3 = 2 THEN
          json_object('from_agent', CASE WHEN role = 'user' THEN 'False' ELSE 'True' END,
                      'event', json_object('object', json_object('id', conv_id + 1,
