@@ -9,13 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python ``str.isspace`` code points, as a regex class body. Java's ``\s`` has no
-# U+000B and no Unicode spaces, and Spark's ``trim`` removes only ASCII space, so the
-# class is spelled out. Valid in Java regex (Spark) and RE2 (DuckDB).
-WS_CLASS = (r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-            r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+# Python ``str.isspace`` code points (29 of them), derived from the rule rather than
+# listed. Spark's one-argument ``trim`` removes only ASCII space and Java's ``\s`` misses
+# U+000B and the Unicode spaces, so both the trim set and the regex class are explicit.
+WS_CHARS = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+WS_CLASS = "".join(f"\\x{{{ord(c):x}}}" for c in WS_CHARS)      # valid in Java regex and RE2
 WS = f"[{WS_CLASS}]"
-STRIP_RE = f"^{WS}+|{WS}+$"
 HTML_TAG_RE = "<[^>]+>"
 TOKEN_SPLIT_RE = r"[^\p{L}]+"
 
@@ -27,8 +26,9 @@ def _c(col) -> Column:
 # --- F1 strip / F5 label key / F2 hash key / F3 fold -------------------------------
 
 def strip(col) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(col), STRIP_RE, "")
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace. ``trim`` with
+    a character set only inspects the two ends (a regex would scan the whole text)."""
+    return F.trim(_c(col), F.lit(WS_CHARS))
 
 
 def label_key(col) -> Column:
@@ -48,10 +48,15 @@ def fold(col) -> Column:
 
 # --- F4 word count / tokens ---------------------------------------------------------
 
+def spaces_to_blank(col) -> Column:
+    """Every whitespace code point -> ' ' (a per-character map, no regex)."""
+    return F.translate(_c(col), WS_CHARS, " " * len(WS_CHARS))
+
+
 def word_count(col) -> Column:
-    """``len(text.split())`` with Python's Unicode whitespace."""
-    parts = F.split(_c(col), f"{WS}+")
-    return F.size(F.filter(parts, lambda x: x != ""))
+    """``len(text.split())`` with Python's Unicode whitespace: map all whitespace to ' '
+    and split on the single character (no regex engine on the long text)."""
+    return F.size(F.filter(F.split(spaces_to_blank(col), " "), lambda x: x != ""))
 
 
 def word_tokens(col) -> Column:
@@ -60,9 +65,15 @@ def word_tokens(col) -> Column:
 
 
 def letter_tokens(col, max_tokens: int | None = None) -> Column:
-    """Lower-cased runs of letters; optionally the first ``max_tokens`` of them."""
-    toks = F.filter(F.split(F.lower(_c(col)), TOKEN_SPLIT_RE), lambda x: x != "")
-    return F.slice(toks, 1, max_tokens) if max_tokens else toks
+    """Lower-cased runs of letters; optionally only the first ``max_tokens``.
+
+    With ``max_tokens`` an anchored pattern captures the first k letter runs, so the
+    regex stops after the k-th token instead of splitting the whole text."""
+    if not max_tokens:
+        return F.filter(F.split(F.lower(_c(col)), TOKEN_SPLIT_RE), lambda x: x != "")
+    pattern = r"^[^\p{L}]*(\p{L}+)" + r"(?:[^\p{L}]+(\p{L}+))?" * (max_tokens - 1)
+    groups = [F.lower(F.regexp_extract(_c(col), pattern, i)) for i in range(1, max_tokens + 1)]
+    return F.filter(F.array(*groups), lambda x: x != "")
 
 
 # --- F6 html / F7 truncate -----------------------------------------------------------
@@ -114,8 +125,11 @@ def payment_link(base: str, account_col) -> Column:
 # DuckDB twins for the oracle SQL
 # ---------------------------------------------------------------------------------------
 
+SQL_WS_CHARS = "(" + " || ".join(f"chr({ord(c)})" for c in WS_CHARS) + ")"
+
+
 def sql_strip(e: str) -> str:
-    return f"regexp_replace({e}, '{STRIP_RE}', '', 'g')"
+    return f"trim({e}, {SQL_WS_CHARS})"
 
 
 def sql_label_key(e: str) -> str:

@@ -48,12 +48,23 @@ def fit(train: DataFrame, label_col: str = "label", tokens_col: str = "tokens")
                 .groupBy("_c", "token").agg(F.count(F.lit(1)).alias("n")))
     token_counts = per.groupBy("token").agg(
         F.map_from_entries(F.collect_list(F.struct("_c", "n"))).alias("counts"))
-    docs = train.groupBy(F.col(label_col).alias("_c")).agg(F.count(F.lit(1)).alias("docs"))
-    toks = per.groupBy("_c").agg(F.sum("n").alias("toks"))
-    stats = {r["_c"]: [r["docs"], 0] for r in docs.collect()}
-    for r in toks.collect():
-        stats[r["_c"]][1] = r["toks"]
-    vocab = per.select("token").distinct().count()
+    # One driver round trip for the bounded statistics: docs and tokens per class plus
+    # the vocabulary size, as one small union (<= 2 x #classes + 1 rows).
+    docs = train.groupBy(F.col(label_col).alias("_c")).agg(
+        F.count(F.lit(1)).alias("docs"), F.lit(0).cast("bigint").alias("toks"), F.lit(0).cast("bigint").alias("vocab"))
+    toks = per.groupBy("_c").agg(F.lit(0).cast("bigint").alias("docs"), F.sum("n").cast("bigint").alias("toks"),
+                                 F.lit(0).cast("bigint").alias("vocab"))
+    vocab_row = per.agg(F.lit(None).cast("string").alias("_c"), F.lit(0).cast("bigint").alias("docs"),
+                        F.lit(0).cast("bigint").alias("toks"), F.count_distinct("token").alias("vocab"))
+    stats: dict[str, list[int]] = {}
+    vocab = 0
+    for r in docs.unionByName(toks).unionByName(vocab_row).collect():
+        if r["_c"] is None:
+            vocab = r["vocab"]
+            continue
+        st = stats.setdefault(r["_c"], [0, 0])
+        st[0] += r["docs"]
+        st[1] += r["toks"]
     classes = sorted(stats)
     n_docs = sum(v[0] for v in stats.values())
     return NaiveBayesModel(classes, [math.log(stats[c][0] / n_docs) for c in classes],
