@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tagwise import taxonomy as tx
 from tagwise.functions import text as fx
 from tagwise.operators import ranking
+from tagwise.session import materialize as write_once
 
 SPLITS = ["train", "validation", "test"]
 
@@ -174,12 +175,17 @@ def curated_base(raw: DataFrame, mapping: dict[str, str] | None = None) -> DataF
     return attach_labels(dedup_keep_first(length_filter(normalise(raw))), mapping)
 
 
-def cap_and_split(base: DataFrame, seed: int = tx.SPLIT_SEED) -> tuple[DataFrame, DataFrame]:
+def cap_and_split(base: DataFrame, seed: int = tx.SPLIT_SEED,
+                  materialize: bool = True) -> tuple[DataFrame, DataFrame]:
     """W2 + W3 over ``base``: returns ``(rows with split, class plan)``.
 
     One hash-order rank serves both: the cap keeps ranks <= kept, and the split takes
-    ranks <= n_train as train, the next n_val as validation, the rest as test.
+    ranks <= n_train as train, the next n_val as validation, the rest as test. The
+    deduplicated base feeds three branches (bucket counts, class plan, row assignment),
+    so it is written once to the shared folder first (``materialize``).
     """
+    if materialize:
+        base = write_once(base, "curated-base")
     keyed = ranking.with_order_key(base, "doc_id", seed)
     buckets = ranking.bucket_counts(keyed, "label")
     counts = buckets.groupBy("label").agg(F.sum("_n").alias("n")) \

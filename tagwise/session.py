@@ -78,3 +78,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique sub-folder of the shared checkpoint root for written intermediate tables
     and streaming checkpoints."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and return a
+    DataFrame reading it back. Used where one intermediate feeds several branches of a
+    plan (each branch prunes different columns, so Spark cannot reuse the exchange and
+    would recompute the whole upstream per branch) and to cut long lineages. The written
+    table survives executor loss, unlike cached blocks."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
