@@ -30,10 +30,11 @@ PAYMENT_FAILED = "invoice.payment_failed"
 
 
 def checkouts(events: DataFrame) -> DataFrame:
-    return (events.filter((F.col("type") == CHECKOUT) & F.col("client_reference_id").isNotNull()
-                          & F.col("customer").isNotNull())
-                  .select(F.col("client_reference_id").cast("bigint").alias("account_id"), "customer", "ts",
-                          F.col("event_seq").alias("seq")))
+    """Checkouts with both an account and a customer; a malformed account id counts as
+    missing (``try_cast``: one bad event must not fail the job)."""
+    acct = F.col("client_reference_id").try_cast("bigint")
+    return (events.filter((F.col("type") == CHECKOUT) & acct.isNotNull() & F.col("customer").isNotNull())
+                  .select(acct.alias("account_id"), "customer", "ts", F.col("event_seq").alias("seq")))
 
 
 def customer_intervals(events: DataFrame) -> DataFrame:

@@ -30,15 +30,16 @@ def snapshot(changes: DataFrame, fields: list[str] | None = None) -> DataFrame:
 
 
 def with_defaults(accounts: DataFrame, snap: DataFrame) -> DataFrame:
-    """Every account, settings fields defaulted where missing. An empty
-    ``enabled_intents`` list is kept as stored (it means "all" at tagging time)."""
+    """Every account with every settings field; missing documents and missing
+    fields take the defaults. An empty ``enabled_intents`` list is kept as stored (it
+    means "all" at tagging time)."""
     out = accounts.select("account_id").join(snap, "account_id", "left")
     for f, dflt in DEFAULTS.items():
-        if f in out.columns:
-            out = out.withColumn(f, F.coalesce(F.col(f), F.lit(dflt)))
-    if "enabled_intents" in out.columns:
-        out = out.withColumn("enabled_intents", F.coalesce(
-            "enabled_intents", F.array(*[F.lit(x) for x in tx.LABELS])))
+        value = F.coalesce(F.col(f), F.lit(dflt)) if f in out.columns else F.lit(dflt)
+        out = out.withColumn(f, value)
+    all_intents = F.array(*[F.lit(x) for x in tx.LABELS])
+    out = out.withColumn("enabled_intents", F.coalesce("enabled_intents", all_intents)
+                         if "enabled_intents" in out.columns else all_intents)
     return out
 
 
