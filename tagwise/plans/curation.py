@@ -112,7 +112,7 @@ def funnel_q(spark, d):
     return cu.funnel(tb.raw_corpus(spark, d), LANG)
 
 
-@query("curated_class_counts", covers="A1 A2",
+@query("curated_class_counts", covers="A1 A2 T4",
        sql=f"""WITH {SQL_BASE},
 g AS (SELECT label, count(*) AS n FROM curated GROUP BY label)
 SELECT label, n, round(n * 100.0 / sum(n) OVER (), 4) AS pct FROM g""")

@@ -156,7 +156,7 @@ def source_label_set(spark, d):
         .withColumn("canonical_label", cu.map_label("raw_label"))
 
 
-@query("unmapped_labels", covers="A7 U3",
+@query("unmapped_labels", covers="A7 U3 T4",
        sql=f"""WITH {SQL_SOURCE_LABELS},
 u AS (SELECT raw_label, count(*) AS n FROM src WHERE {cu.sql_map(fx.sql_label_key('raw_label'), tx.SOURCE_LABEL_MAP)} IS NULL
       GROUP BY raw_label)
