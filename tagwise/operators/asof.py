@@ -1,8 +1,9 @@
 """As-of lookups: the value of a slowly changing attribute at each event's time.
 
 Changes ``(key, ts, seq, value...)`` become validity intervals ``[valid_from, valid_to)``
-with ``lead`` over the change log (the change log is small next to the events and is
-the only side that is sorted). Events then join on ``key`` plus the range predicate:
+with a skew-safe per-key ``lead`` over the change log (:mod:`tagwise.operators.ordered`:
+a key with a third of the changes still spreads over many tasks); the change log is the
+only side that is sorted. Events then join on ``key`` plus the range predicate:
 an equi-join with a residual filter, so Spark plans a sort-merge (or, when AQE measures
 the interval side as small, a broadcast hash) join; a hot key on the event side is
 split by AQE's skew-join handling. No window runs over the event side.
@@ -10,16 +11,18 @@ split by AQE's skew-join handling. No window runs over the event side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagwise.operators import ordered
+
 
 def validity_intervals(changes: DataFrame, key: str, ts: str = "ts", seq: str = "seq") -> DataFrame:
     """Add ``valid_from`` (= ts) and ``valid_to`` (next change's ts, null = open)."""
-    w = Window.partitionBy(key).orderBy(ts, seq)
-    return (changes.withColumn("valid_from", F.col(ts))
-                   .withColumn("valid_to", F.lead(ts).over(w))
-                   .withColumn("_next_seq", F.lead(seq).over(w)))
+    nxt = ordered.next_in_key(changes, key, [ts, seq], [ts, seq], prefix="_nx_")
+    return (nxt.withColumn("valid_from", F.col(ts))
+               .withColumnRenamed(f"_nx_{ts}", "valid_to")
+               .withColumnRenamed(f"_nx_{seq}", "_next_seq"))
 
 
 def asof_join(events: DataFrame, intervals: DataFrame, key: str, ts: str, values: list[str],

@@ -17,11 +17,11 @@ reference scans files in undefined order).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagwise import taxonomy as tx
-from tagwise.operators import asof
+from tagwise.operators import asof, ordered
 
 CHECKOUT = "checkout.session.completed"
 SUB_CREATED = "customer.subscription.created"
@@ -76,10 +76,9 @@ def plan_state(events: DataFrame) -> DataFrame:
 
 def plan_history(events: DataFrame) -> DataFrame:
     """W6 as SCD-2: one row per plan change with ``valid_from`` / ``valid_to``."""
-    acts = plan_actions(events)
-    w = Window.partitionBy("account_id").orderBy("ts", "seq")
+    acts = ordered.next_in_key(plan_actions(events), "account_id", ["ts", "seq"], ["ts"])
     return acts.select("account_id", F.col("ts").alias("valid_from"),
-                       F.lead("ts").over(w).alias("valid_to"), "seq", "plan")
+                       F.col("next_ts").alias("valid_to"), "seq", "plan")
 
 
 def customer_lookup(events: DataFrame) -> DataFrame:

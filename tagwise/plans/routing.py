@@ -12,6 +12,7 @@ from tagwise.operators import asof
 from tagwise.operators import curate as cu
 from tagwise.operators import evaluate as ev
 from tagwise.operators import naive_bayes as nb
+from tagwise.operators import ordered
 from tagwise.operators import privacy as pv
 from tagwise.operators import route as rt
 from tagwise.plans import scoring
@@ -316,12 +317,10 @@ def input_validation(spark, d):
 SELECT conv_id, CAST((rn - 1) // {tx.MAX_BATCH_SIZE} AS INTEGER) AS batch_no, count(*) AS n_texts
 FROM u GROUP BY conv_id, batch_no""")
 def request_batches(spark, d):
-    from pyspark.sql import Window
-    u = tb.table(spark, d, "conversations").filter(F.col("role") == "user")
-    rn = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return (u.withColumn("rn", rn)
-             .groupBy("conv_id", F.floor((F.col("rn") - 1) / tx.MAX_BATCH_SIZE).cast("int").alias("batch_no"))
-             .agg(F.count(F.lit(1)).alias("n_texts")))
+    u = tb.table(spark, d, "conversations").filter(F.col("role") == "user").select("conv_id", "turn")
+    ranked = ordered.rank_in_key(u, "conv_id", ["turn"], name="rn")    # skew-safe per-conversation rank
+    return (ranked.groupBy("conv_id", F.floor((F.col("rn") - 1) / tx.MAX_BATCH_SIZE).cast("int").alias("batch_no"))
+                  .agg(F.count(F.lit(1)).alias("n_texts")))
 
 
 @query("batch_mean_latency", covers="A22 F9",
