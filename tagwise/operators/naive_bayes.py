@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tagwise import taxonomy as tx
 from tagwise.functions import text as fx
+from tagwise.session import materialize as write_once
 
 MAX_TOKENS = 3
 
@@ -43,28 +44,34 @@ def tokens(text_col: str = "text", max_tokens: int | None = MAX_TOKENS) -> F.Col
 
 
 def fit(train: DataFrame, label_col: str = "label", tokens_col: str = "tokens") -> NaiveBayesModel:
-    """``train``: one row per document with a label and its token array."""
+    """``train``: one row per document with a label and its token array.
+
+    The model table — ``(class, token, n)`` token counts plus one ``(class, null, docs)``
+    row per class — is computed in one pass and written once to the shared folder (the
+    model artifact); the driver statistics and the scoring join both read it, so the
+    training corpus is scanned and tokenised once."""
     per = (train.select(F.col(label_col).alias("_c"), F.explode(tokens_col).alias("token"))
                 .groupBy("_c", "token").agg(F.count(F.lit(1)).alias("n")))
-    token_counts = per.groupBy("token").agg(
+    docs = train.groupBy(F.col(label_col).alias("_c")).agg(F.count(F.lit(1)).alias("n")) \
+        .select("_c", F.lit(None).cast("string").alias("token"), "n")
+    table = write_once(per.unionByName(docs), "nb-model")
+    counts = table.filter(F.col("token").isNotNull())
+    token_counts = counts.groupBy("token").agg(
         F.map_from_entries(F.collect_list(F.struct("_c", "n"))).alias("counts"))
-    # One driver round trip for the bounded statistics: docs and tokens per class plus
-    # the vocabulary size, as one small union (<= 2 x #classes + 1 rows).
-    docs = train.groupBy(F.col(label_col).alias("_c")).agg(
-        F.count(F.lit(1)).alias("docs"), F.lit(0).cast("bigint").alias("toks"), F.lit(0).cast("bigint").alias("vocab"))
-    toks = per.groupBy("_c").agg(F.lit(0).cast("bigint").alias("docs"), F.sum("n").cast("bigint").alias("toks"),
-                                 F.lit(0).cast("bigint").alias("vocab"))
-    vocab_row = per.agg(F.lit(None).cast("string").alias("_c"), F.lit(0).cast("bigint").alias("docs"),
-                        F.lit(0).cast("bigint").alias("toks"), F.count_distinct("token").alias("vocab"))
+    # One driver round trip for the bounded statistics (<= 2 x #classes + 1 rows).
+    stats_rows = (table.groupBy("_c").agg(
+        F.sum(F.when(F.col("token").isNull(), F.col("n"))).alias("docs"),
+        F.sum(F.when(F.col("token").isNotNull(), F.col("n"))).alias("toks"))
+        .unionByName(counts.agg(F.lit(None).cast("string").alias("_c"),
+                                F.lit(None).cast("bigint").alias("docs"),
+                                F.count_distinct("token").cast("bigint").alias("toks"))))
     stats: dict[str, list[int]] = {}
     vocab = 0
-    for r in docs.unionByName(toks).unionByName(vocab_row).collect():
+    for r in stats_rows.collect():
         if r["_c"] is None:
-            vocab = r["vocab"]
-            continue
-        st = stats.setdefault(r["_c"], [0, 0])
-        st[0] += r["docs"]
-        st[1] += r["toks"]
+            vocab = r["toks"]
+        else:
+            stats[r["_c"]] = [r["docs"] or 0, r["toks"] or 0]
     classes = sorted(stats)
     n_docs = sum(v[0] for v in stats.values())
     return NaiveBayesModel(classes, [math.log(stats[c][0] / n_docs) for c in classes],
