@@ -145,7 +145,7 @@ def sql_fold(e: str) -> str:
 
 
 def sql_word_count(e: str) -> str:
-    return f"len(list_filter(regexp_split_to_array({e}, '{WS}+'), lambda x: x <> ''))"
+    return f"CAST(len(list_filter(regexp_split_to_array({e}, '{WS}+'), lambda x: x <> '')) AS INTEGER)"
 
 
 def sql_letter_tokens(e: str, max_tokens: int | None = None) -> str:

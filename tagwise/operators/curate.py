@@ -165,7 +165,8 @@ c7 AS (SELECT *, CASE WHEN tot2 > 0 THEN (tmp * draw_val) // tot2 ELSE 0 END AS
               CASE WHEN tot2 > 0 THEN (tmp * draw_val) % tot2 ELSE 0 END AS rem2 FROM c6),
 c8 AS (SELECT *, fl2 + CASE WHEN row_number() OVER (ORDER BY rem2 DESC, label_id)
                               <= draw_val - sum(fl2) OVER () THEN 1 ELSE 0 END AS n_val FROM c7)
-SELECT label, label_id, n, cap, kept, n_train, n_val, tmp - n_val AS n_test FROM c8"""
+SELECT label, label_id, n, cap, kept, CAST(n_train AS BIGINT) AS n_train, CAST(n_val AS BIGINT) AS n_val,
+       CAST(tmp - n_val AS BIGINT) AS n_test FROM c8"""
 
 
 # --- full curation ---------------------------------------------------------------------

@@ -130,7 +130,8 @@ def token_length_stats_q(spark, d):
 t AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY
         {ranking.sql_hash_order_key('doc_id', tx.SPLIT_SEED)}, doc_id) AS sample_rank
       FROM curated WHERE split = 'test')
-SELECT label, doc_id, sample_rank, substr(text, 1, 90) AS preview FROM t WHERE sample_rank <= 3""")
+SELECT label, doc_id, CAST(sample_rank AS INTEGER) AS sample_rank, substr(text, 1, 90) AS preview
+FROM t WHERE sample_rank <= 3""")
 def test_sample_inspection(spark, d):
     return au.sample_per_label(curated(spark, d).filter(F.col("split") == "test"), 3)
 
@@ -147,7 +148,7 @@ def _source_labels(spark, d):
 
 
 @query("top_labels_per_source", covers="T2 A8",
-       sql=f"WITH {SQL_SOURCE_LABELS}\nSELECT source, label, n, rank FROM t WHERE rank <= 3")
+       sql=f"WITH {SQL_SOURCE_LABELS}\nSELECT source, label, n, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 3")
 def top_labels_per_source(spark, d):
     return au.top_labels(_source_labels(spark, d), 3)
 
@@ -157,7 +158,8 @@ def top_labels_per_source(spark, d):
 r AS (SELECT sl.*, row_number() OVER (PARTITION BY sl.source ORDER BY
         {ranking.sql_hash_order_key('sl.doc_id', tx.SPLIT_SEED)}, sl.doc_id) AS sample_rank
       FROM sl JOIN t ON sl.source = t.source AND sl.label = t.label AND t.rank = 1)
-SELECT source, label, doc_id, sample_rank, substr(text, 1, {tx.PREVIEW_CHARS}) AS preview
+SELECT source, label, doc_id, CAST(sample_rank AS INTEGER) AS sample_rank,
+       substr(text, 1, {tx.PREVIEW_CHARS}) AS preview
 FROM r WHERE sample_rank <= 4""")
 def top_label_samples(spark, d):
     return au.top_label_samples(_source_labels(spark, d), 4)

@@ -39,7 +39,7 @@ def _stem():
                          THEN 'bitext_even' ELSE 'bitext_odd' END AS source, lang AS label
            FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND doc_id % 11 <> 0),
 g AS (SELECT source, label, count(*) AS n FROM r GROUP BY source, label)
-SELECT source, label, n, sum(n) OVER (PARTITION BY source) AS total_rows,
+SELECT source, label, n, CAST(sum(n) OVER (PARTITION BY source) AS BIGINT) AS total_rows,
        count(*) OVER (PARTITION BY source) AS num_labels FROM g""")
 def multi_source_ingest(spark, d):
     folder = scratch_path(spark, "raw-sources")
@@ -107,7 +107,7 @@ def test_csv_export(spark, d):
 @query("stats_json_sink", covers="S11 A8",
        sql="""WITH g AS (SELECT source, lang AS label, count(*) AS n FROM documents
                   WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY source, lang)
-SELECT source, label, n, sum(n) OVER (PARTITION BY source) AS total_rows,
+SELECT source, label, n, CAST(sum(n) OVER (PARTITION BY source) AS BIGINT) AS total_rows,
        count(*) OVER (PARTITION BY source) AS num_labels FROM g""")
 def stats_json_sink(spark, d):
     path = scratch_path(spark, "ingest-stats")
