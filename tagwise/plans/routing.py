@@ -215,29 +215,33 @@ def optin_log_after_erasure(spark, d):
 # --- settings snapshot ---------------------------------------------------------------------
 
 def settings_changes(spark, d):
-    """``events`` as settings updates: click/view set the threshold (value/500, 2 dp),
+    """``events`` as settings updates: click/view set the threshold (value/400, 2 dp),
     signup sets the enabled intents (validated, duplicates kept), purchase sets the API
-    key; error rows change nothing (all-null partial update)."""
+    key; error rows change nothing (all-null partial update). An update whose threshold
+    lies outside [0, 1] is rejected as a whole (P6), like a failed request validation."""
     e = tb.table(spark, d, "events")
     et = F.col("event_type")
     raw_list = F.array(F.lit("WISMO"), F.lit("BOGUS"),
                        cu.literal_map(dict(enumerate(tx.LABELS)))[F.col("event_id") % 9], F.lit("WISMO"))
-    return e.select(
+    thr = F.when(et.isin("click", "view"), F.round(F.col("value") / 400, 2))
+    return e.filter(thr.isNull() | thr.between(0.0, 1.0)).select(
         F.col("user_id").alias("account_id"), F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"),
-        F.when(et.isin("click", "view"), F.round(F.col("value") / 500, 2)).alias("confidence_threshold"),
+        thr.alias("confidence_threshold"),
         F.when(et == "signup", rt.valid_intents(raw_list)).alias("enabled_intents"),
         F.when(et == "purchase", F.concat(F.lit("key_"), F.col("event_id").cast("string"))).alias("api_key"))
 
 
-@query("settings_snapshot", covers="S15 F18 P14 J4 F15",
-       sql=f"""WITH ch AS (
-  SELECT user_id AS account_id, ts, event_id AS seq,
-         CASE WHEN event_type IN ('click', 'view') THEN round(value / 500, 2) END AS confidence_threshold,
+@query("settings_snapshot", covers="S15 F18 P14 J4 F15 P6",
+       sql=f"""WITH ev AS (
+  SELECT *, CASE WHEN event_type IN ('click', 'view') THEN round(value / 400, 2) END AS thr FROM events),
+ch AS (
+  SELECT user_id AS account_id, ts, event_id AS seq, thr AS confidence_threshold,
          CASE WHEN event_type = 'signup' THEN list_filter(['WISMO', 'BOGUS',
               {cu.sql_map('event_id % 9', dict(enumerate(tx.LABELS)))}, 'WISMO'],
               lambda x: list_contains({ALL_SQL}, x)) END AS enabled_intents,
-         CASE WHEN event_type = 'purchase' THEN 'key_' || event_id::VARCHAR END AS api_key FROM events),
+         CASE WHEN event_type = 'purchase' THEN 'key_' || event_id::VARCHAR END AS api_key
+  FROM ev WHERE thr IS NULL OR thr BETWEEN 0.0 AND 1.0),
 snap AS (SELECT account_id,
    arg_max(confidence_threshold, (ts, seq)) FILTER (WHERE confidence_threshold IS NOT NULL) AS confidence_threshold,
    arg_max(enabled_intents, (ts, seq)) FILTER (WHERE enabled_intents IS NOT NULL) AS enabled_intents,
