@@ -64,16 +64,9 @@ def word_tokens(col) -> Column:
     return F.filter(F.split(_c(col), f"{WS}+"), lambda x: x != "")
 
 
-def letter_tokens(col, max_tokens: int | None = None) -> Column:
-    """Lower-cased runs of letters; optionally only the first ``max_tokens``.
-
-    With ``max_tokens`` an anchored pattern captures the first k letter runs, so the
-    regex stops after the k-th token instead of splitting the whole text."""
-    if not max_tokens:
-        return F.filter(F.split(F.lower(_c(col)), TOKEN_SPLIT_RE), lambda x: x != "")
-    pattern = r"^[^\p{L}]*(\p{L}+)" + r"(?:[^\p{L}]+(\p{L}+))?" * (max_tokens - 1)
-    groups = [F.lower(F.regexp_extract(_c(col), pattern, i)) for i in range(1, max_tokens + 1)]
-    return F.filter(F.array(*groups), lambda x: x != "")
+def letter_tokens(col) -> Column:
+    """Lower-cased runs of letters over the whole text (the naive Bayes features)."""
+    return F.filter(F.split(F.lower(_c(col)), TOKEN_SPLIT_RE), lambda x: x != "")
 
 
 # --- F6 html / F7 truncate -----------------------------------------------------------
@@ -148,9 +141,8 @@ def sql_word_count(e: str) -> str:
     return f"CAST(len(list_filter(regexp_split_to_array({e}, '{WS}+'), lambda x: x <> '')) AS INTEGER)"
 
 
-def sql_letter_tokens(e: str, max_tokens: int | None = None) -> str:
-    toks = f"list_filter(regexp_split_to_array(lower({e}), '{TOKEN_SPLIT_RE}'), lambda x: x <> '')"
-    return f"list_slice({toks}, 1, {max_tokens})" if max_tokens else toks
+def sql_letter_tokens(e: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({e}), '{TOKEN_SPLIT_RE}'), lambda x: x <> '')"
 
 
 def sql_strip_html(e: str) -> str:

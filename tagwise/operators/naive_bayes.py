@@ -27,9 +27,6 @@ from tagwise import taxonomy as tx
 from tagwise.functions import text as fx
 from tagwise.session import materialize as write_once
 
-MAX_TOKENS = 3
-
-
 @dataclass
 class NaiveBayesModel:
     classes: list[str]            # sorted class names
@@ -39,8 +36,9 @@ class NaiveBayesModel:
     token_counts: DataFrame       # token string, counts map<string, bigint>
 
 
-def tokens(text_col: str = "text", max_tokens: int | None = MAX_TOKENS) -> F.Column:
-    return fx.letter_tokens(text_col, max_tokens)
+def tokens(text_col: str = "text") -> F.Column:
+    """Letter tokens of the whole text."""
+    return fx.letter_tokens(text_col)
 
 
 def fit(train: DataFrame, label_col: str = "label", tokens_col: str = "tokens") -> NaiveBayesModel:

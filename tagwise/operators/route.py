@@ -77,11 +77,14 @@ def choose_tag(intent: Column, below: Column, enabled: Column) -> Column:
 
 
 def score_and_tag(events: DataFrame, model: nb.NaiveBayesModel, id_col: str,
-                  class_to_intent: dict[str, str], keep: list[str]) -> DataFrame:
-    """M2 + P5 + P13 + J3 on usable events carrying ``threshold`` and ``enabled_intents``."""
+                  class_to_intent: dict[str, str] | None, keep: list[str]) -> DataFrame:
+    """M2 + P5 + P13 + J3 on usable events carrying ``threshold`` and ``enabled_intents``.
+    ``class_to_intent`` maps model classes to intents; ``None`` when the classes are
+    intents already."""
     toks = events.withColumn("tokens", nb.tokens("text"))
     scored = nb.score(model, toks, id_col, keep=keep + ["threshold", "enabled_intents"])
-    scored = scored.withColumn("intent_raw", cu.map_label("pred", class_to_intent))
+    intent = F.col("pred") if class_to_intent is None else cu.map_label("pred", class_to_intent)
+    scored = scored.withColumn("intent_raw", intent)
     scored = nb.apply_threshold(scored, F.col("threshold"))
     return scored.withColumn("tag", choose_tag(F.col("intent"), F.col("below_threshold"),
                                                F.col("enabled_intents")))

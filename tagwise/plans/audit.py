@@ -115,7 +115,7 @@ def word_count_stats_q(spark, d):
 
 @query("token_length_stats", covers="A11 T5 M3",
        sql=f"""WITH {SQL_BASE},
-h AS (SELECT * FROM curated WHERE split = 'train' ORDER BY doc_id LIMIT 5000),
+h AS (SELECT * FROM curated WHERE split = 'train'),
 l AS (SELECT len(list_filter(regexp_split_to_array(text, '{fx.WS}+'), lambda x: x <> '')) AS n FROM h),
 q AS (SELECT quantile_cont(n, [0.5, 0.95, 0.99]) AS p, max(n) AS mx, count(*) AS c FROM l)
 SELECT CAST(trunc(p[1]) AS INTEGER) AS p50, CAST(trunc(p[2]) AS INTEGER) AS p95,

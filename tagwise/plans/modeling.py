@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tagwise import taxonomy as tx
 from tagwise.operators import curate as cu
 from tagwise.operators import evaluate as ev
 from tagwise.operators import ml
+from tagwise.operators import ranking
 from tagwise.plans.curation import curated
 from tagwise.plans.registry import query
 from tagwise.sources import tables as tb
@@ -39,11 +41,14 @@ def mllib_test_report(spark, d):
 
 @query("external_scorer", covers="UDF3")
 def external_scorer(spark, d):
+    # Seeded 80/20 hash split on the row id (deterministic, so a recomputed task sees the
+    # same rows): fit the centroids on the 80 %, score the rest through the Arrow hook.
     emb = tb.table(spark, d, "embeddings")
-    train = emb.filter(F.col("vec_id") % 2 == 0)
-    labels, load = ml.centroid_model(spark, train, "embedding", "label")
+    unit = F.conv(F.substring(ranking.hash_order_key("vec_id", tx.SPLIT_SEED), 1, 8), 16, 10).cast("double") / 2.0 ** 32
+    emb = emb.withColumn("_train", unit < tx.TRAIN_FRACTION)
+    labels, load = ml.centroid_model(spark, emb.filter("_train"), "embedding", "label")
     score = ml.external_scorer(load, len(labels))
-    scored = emb.filter(F.col("vec_id") % 2 == 1).withColumn("probs", score("embedding"))
+    scored = emb.filter(~F.col("_train")).withColumn("probs", score("embedding"))
     best = F.array_max(F.arrays_zip(F.col("probs").alias("p"), F.array(*[F.lit(x) for x in labels]).alias("label")))
     return scored.select("vec_id", F.col("label").alias("true_label"), best["label"].alias("pred_label"),
                          F.round(best["p"], 4).alias("confidence"))

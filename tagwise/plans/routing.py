@@ -20,7 +20,6 @@ from tagwise.plans.registry import query
 from tagwise.sources import settings as st
 from tagwise.sources import tables as tb
 
-LANG = tx.LANG_LABEL_MAP
 ALL_SQL = "[" + ", ".join(f"'{x}'" for x in tx.LABELS) + "]"
 
 
@@ -58,7 +57,7 @@ def tagged_tickets(spark, d):
     ready = rt.usable(rt.with_settings(known, tb.account_settings(spark, d)))
     ready = ready.withColumn("msg_id", F.col("conv_id") * 100 + F.col("turn")) \
         .withColumn("text_hash", fx.text_hash("text"))
-    return rt.score_and_tag(ready, scoring.nb_model(spark, d), "msg_id", LANG,
+    return rt.score_and_tag(ready, scoring.nb_model(spark, d), "msg_id", None,
                             keep=["conv_id", "turn", "account_id", "ticket_id", "text_hash"])
 
 
@@ -69,12 +68,9 @@ ready AS (SELECT p.conv_id * 100 + p.turn AS msg_id, p.*, coalesce(s.confidence_
           FROM parsed p LEFT JOIN sett s ON s.account_id = p.account_id
           WHERE NOT p.from_agent AND p.account_id IN (SELECT c_custkey FROM customer)
             AND p.text <> '' AND p.ticket_id <> 0),
-{nb.sql_scores(f'''docs AS (
-  SELECT doc_id, lang AS label, {fx.sql_letter_tokens('text', nb.MAX_TOKENS)} AS toks
-  FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
-train AS (SELECT label, toks FROM docs WHERE doc_id % 2 = 0),
-test AS (SELECT msg_id, {fx.sql_letter_tokens('text', nb.MAX_TOKENS)} AS toks FROM ready)''', 'msg_id')},
-scored AS (SELECT r.*, b.confidence, {cu.sql_map_label('b.pred', LANG)} AS intent_raw
+{nb.sql_scores(f'''{scoring.SQL_NB_TRAIN},
+test AS (SELECT msg_id, {fx.sql_letter_tokens('text')} AS toks FROM ready)''', 'msg_id')},
+scored AS (SELECT r.*, b.confidence, b.pred AS intent_raw
            FROM ready r JOIN best b ON b.msg_id = r.msg_id),
 tagged AS (SELECT *, confidence < threshold AS below_threshold,
                   CASE WHEN confidence < threshold THEN 'OTHER' ELSE intent_raw END AS intent FROM scored),

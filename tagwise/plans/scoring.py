@@ -1,5 +1,6 @@
-"""Scoring and evaluation queries over the NB3 fixture: naive Bayes on the first three
-letter tokens of ``documents``, class = lang, trained on even doc ids, scored on odd."""
+"""Scoring and evaluation queries over the NB3 fixture: naive Bayes on the letter tokens
+of whole texts, fitted on the train split of the curated corpus and scored on its test
+split (the reference's fit-on-train / report-on-test protocol); classes are the intents."""
 
 from __future__ import annotations
 
@@ -10,46 +11,43 @@ from tagwise.functions import text as fx
 from tagwise.operators import curate as cu
 from tagwise.operators import evaluate as ev
 from tagwise.operators import naive_bayes as nb
+from tagwise.plans.curation import SQL_BASE, curated
 from tagwise.plans.registry import query
 from tagwise.sources import tables as tb
 
-LANG = tx.LANG_LABEL_MAP
-
 
 def nb_docs(spark, d):
-    return (tb.table(spark, d, "documents").filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-            .select("doc_id", F.col("lang").alias("label"), nb.tokens("text").alias("tokens")))
+    return curated(spark, d).select("doc_id", "label", "split", nb.tokens("text").alias("tokens"))
 
 
 def nb_model(spark, d):
-    return nb.fit(nb_docs(spark, d).filter(F.col("doc_id") % 2 == 0))
+    return nb.fit(nb_docs(spark, d).filter(F.col("split") == "train"))
 
 
 def nb_scored(spark, d):
     docs = nb_docs(spark, d)
-    model = nb.fit(docs.filter(F.col("doc_id") % 2 == 0))
-    return nb.score(model, docs.filter(F.col("doc_id") % 2 == 1), "doc_id", keep=["label"])
+    model = nb.fit(docs.filter(F.col("split") == "train"))
+    return nb.score(model, docs.filter(F.col("split") == "test"), "doc_id", keep=["label"])
 
 
 def predictions(spark, d):
-    """``doc_id, y_true, y_pred`` as taxonomy intents, confidence, P5 threshold 0.70."""
+    """``doc_id, y_true, y_pred`` (intents), confidence, P5 threshold 0.70."""
     s = nb_scored(spark, d)
-    p = s.select("doc_id", cu.map_label("label", LANG).alias("y_true"),
-                 cu.map_label("pred", LANG).alias("intent_raw"), "confidence")
+    p = s.select("doc_id", F.col("label").alias("y_true"), F.col("pred").alias("intent_raw"), "confidence")
     return (nb.apply_threshold(p, tx.DEFAULT_CONFIDENCE_THRESHOLD)
             .withColumn("y_pred", F.col("intent_raw"))
             .withColumn("correct", F.col("y_true") == F.col("y_pred")))
 
 
-SQL_NB_DOCS = f"""docs AS (
-  SELECT doc_id, lang AS label, {fx.sql_letter_tokens('text', nb.MAX_TOKENS)} AS toks
-  FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
-train AS (SELECT label, toks FROM docs WHERE doc_id % 2 = 0),
-test AS (SELECT doc_id, label AS true_label, toks FROM docs WHERE doc_id % 2 = 1)"""
+SQL_NB_TRAIN = f"""{SQL_BASE},
+docs AS (SELECT doc_id, label, split, {fx.sql_letter_tokens('text')} AS toks FROM curated),
+train AS (SELECT label, toks FROM docs WHERE split = 'train')"""
+
+SQL_NB_DOCS = f"""{SQL_NB_TRAIN},
+test AS (SELECT doc_id, label AS true_label, toks FROM docs WHERE split = 'test')"""
 
 SQL_PRED = f"""{nb.sql_scores(SQL_NB_DOCS)},
-pred AS (SELECT b.doc_id, {cu.sql_map_label('t.true_label', LANG)} AS y_true,
-                {cu.sql_map_label('b.pred', LANG)} AS y_pred, b.confidence,
+pred AS (SELECT b.doc_id, t.true_label AS y_true, b.pred AS y_pred, b.confidence,
                 b.confidence < {tx.DEFAULT_CONFIDENCE_THRESHOLD}::DOUBLE AS below_threshold
          FROM best b JOIN test t ON t.doc_id = b.doc_id)"""
 

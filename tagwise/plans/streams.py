@@ -39,7 +39,7 @@ def stream_ticket_tags(spark, d):
     model = stag.materialise_model(spark, scoring.nb_model(spark, d))
     out, log, quarantine = (scratch_path(spark, n) for n in ("tags", "tag-log", "quarantine"))
     stag.start_tagging(spark, stream, model, tb.installed_accounts(spark, d), tb.account_settings(spark, d),
-                       tx.LANG_LABEL_MAP, out, log, quarantine)
+                       None, out, log, quarantine)
     return spark.read.parquet(out).select("conv_id", "turn", "account_id", "ticket_id", "threshold",
                                           "intent", "confidence", "below_threshold", "tag")
 

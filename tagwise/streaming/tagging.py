@@ -30,7 +30,7 @@ def materialise_model(spark: SparkSession, model: nb.NaiveBayesModel) -> nb.Naiv
 
 
 def tag_batch(batch: DataFrame, model: nb.NaiveBayesModel, installed: DataFrame, settings: DataFrame,
-              class_to_intent: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+              class_to_intent: dict[str, str] | None) -> tuple[DataFrame, DataFrame]:
     """One micro-batch: ``(tagged rows, quarantined payloads)``."""
     parsed, quarantine = rt.parse_events(batch)
     known = rt.known_accounts(rt.customer_messages(parsed), installed)
@@ -43,7 +43,7 @@ def tag_batch(batch: DataFrame, model: nb.NaiveBayesModel, installed: DataFrame,
 
 
 def start_tagging(spark: SparkSession, source: DataFrame, model: nb.NaiveBayesModel, installed: DataFrame,
-                  settings: DataFrame, class_to_intent: dict[str, str], out_path: str, log_path: str,
+                  settings: DataFrame, class_to_intent: dict[str, str] | None, out_path: str, log_path: str,
                   quarantine_path: str) -> None:
     """Run the tagging stream to completion of the available input (availableNow)."""
     def handle(batch: DataFrame, batch_id: int) -> None:

@@ -38,11 +38,13 @@ def test_text_hash_is_md5_of_lower_strip(spark):
         assert rows[i]["h"] == hashlib.md5(t.lower().strip().encode()).hexdigest()
 
 
-def test_letter_tokens_first_three(spark):
+def test_letter_tokens_whole_text(spark):
     import re
-    df = spark.createDataFrame([("12 Héllo, World! x y",), ("",), ("...",), ("one",)], "t string")
-    got = [r[0] for r in df.select(fx.letter_tokens("t", 3)).collect()]
-    want = [[w for w in re.split(r"[^\w]|[\d_]", t.lower()) if w][:3] for t in ["12 Héllo, World! x y", "", "...", "one"]]
+    texts = ["12 Héllo, World! x y", "", "...", "one", " ".join(f"w{i} tok" for i in range(500))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(fx.letter_tokens("t")).collect()]
+    want = [[w for w in re.split(r"[^\w]|[\d_]", t.lower()) if w] for t in texts]
+    assert len(got[-1]) == 1000
     assert got == want
 
 
