@@ -51,7 +51,7 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    scored = docs // 2
+    scored = QUERIES["nb_predictions"](spark, sf_dir).count()          # curated test split, untimed
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {
         "metric": "headline_total_seconds",
@@ -61,6 +61,7 @@ def main() -> None:
         "sf": float(m.group(1)) if m else sf_dir,
         "cpus": cpus,
         "documents": docs,
+        "scored_texts": scored,
         "curation_docs_per_sec": round(docs / times["curated_corpus"], 1),
         "scoring_texts_per_sec": round(scored / times["nb_predictions"], 1),
     }

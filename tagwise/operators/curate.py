@@ -79,8 +79,13 @@ def normalise(df: DataFrame) -> DataFrame:
 
 
 def length_filter(df: DataFrame, lo: int = tx.MIN_WORDS, hi: int = tx.MAX_WORDS) -> DataFrame:
-    """``lo <= words <= hi`` (both inclusive)."""
-    return df.withColumn("word_count", fx.word_count("text")).filter(F.col("word_count").between(lo, hi))
+    """``lo <= words <= hi`` (both inclusive).
+
+    The filter is pushed below the projection with the word count inlined, so it is
+    written with a single reference to it (``|2w - (lo + hi)| <= hi - lo`` is the same
+    integer range) and the count of a long text is computed once, not once per bound."""
+    return df.withColumn("word_count", fx.word_count("text")) \
+        .filter(F.abs(F.col("word_count") * 2 - (lo + hi)) <= (hi - lo))
 
 
 # --- W1 ---------------------------------------------------------------------------------
