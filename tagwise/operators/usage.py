@@ -64,11 +64,10 @@ def target_vs_got(spark: SparkSession, labelled: DataFrame) -> DataFrame:
 def clean_generated_lines(docs: DataFrame, max_lines) -> DataFrame:
     """Split on newline, strip, keep lines of >= 5 characters that start with
     neither a digit nor '-', first ``max_lines`` per document (a response) in order.
-    The per-document window is bounded by one document's lines."""
-    lines = docs.select("doc_id", "intent", F.posexplode(F.split("text", "\n")).alias("pos", "line")) \
-        .withColumn("line", fx.strip("line"))
-    kept = lines.filter((F.length("line") >= 5) & ~F.col("line").rlike(r"^[\p{Nd}-]"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
+    All of it is row-local array work on the document (filter, slice, posexplode): no
+    shuffle and no window, however many lines a document or the corpus holds."""
+    lines = F.transform(F.split("text", "\n"), lambda l: fx.strip(l))
+    kept = F.filter(lines, lambda l: (F.length(l) >= 5) & ~l.rlike(r"^[\p{Nd}-]"))
     limit = max_lines if not isinstance(max_lines, (int, float)) else F.lit(int(max_lines))
-    return (kept.withColumn("line_no", F.row_number().over(w))
-                .filter(F.col("line_no") <= limit))
+    return (docs.select("doc_id", "intent", F.posexplode(F.slice(kept, 1, limit.cast("int"))).alias("pos", "line"))
+                .withColumn("line_no", (F.col("pos") + 1).cast("int")).drop("pos"))
