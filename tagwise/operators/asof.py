@@ -1,6 +1,13 @@
 """As-of lookups: the value of a slowly changing attribute at each event's time.
 
-Changes ``(key, ts, seq, value...)`` become validity intervals ``[valid_from, valid_to)``
+:func:`asof_lookup` (one value per key at a time, e.g. a caller's opt-in) merges events
+and changes into one stream per key and forward-fills the latest change with the
+skew-safe :func:`tagwise.operators.ordered.fill_forward`: linear in events + changes, no
+pairing of a key's events with its changes, so a key holding a third of both stays
+balanced.
+
+:func:`asof_join` is the interval form for lookups whose key can hold several values at
+once (several accounts holding one billing customer). Changes ``(key, ts, seq, value...)`` become validity intervals ``[valid_from, valid_to)``
 with a skew-safe per-key ``lead`` over the change log (:mod:`tagwise.operators.ordered`:
 a key with a third of the changes still spreads over many tasks); the change log is the
 only side that is sorted. Events then join on ``key`` plus the range predicate:
@@ -45,3 +52,27 @@ def asof_join(events: DataFrame, intervals: DataFrame, key: str, ts: str, values
                       ((e_ts == F.col("valid_to")) & (es < F.col("_next_seq"))))
     cond = (F.col(key) == F.col("_k")) & after_start & before_end
     return events.join(iv, cond, how).drop("_k", "valid_from", "valid_to", "_next_seq", "_cseq")
+
+
+def asof_lookup(events: DataFrame, changes: DataFrame, key: str, ts: str, values: list[str],
+                event_seq: str | None = None, change_seq: str = "seq", how: str = "left",
+                parts: int | None = None) -> DataFrame:
+    """Attach ``values`` of the latest change (``key, ts, change_seq, values``) at or
+    before each event; same tie rules as :func:`asof_join` (a change applies from its
+    own timestamp on; with ``event_seq`` ties on the timestamp are ordered by the shared
+    sequence space, a change applying to events with ``event_seq >= seq``). ``how``:
+    ``left`` keeps events without a change (null values), ``inner`` drops them."""
+    ev_type = events.schema
+    chg = F.struct(*[F.col(v) for v in values])
+    e = events.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"),
+                      (F.col(event_seq) if event_seq else F.lit(None)).cast("bigint").alias("_s"),
+                      F.lit(1).alias("_kind"), F.struct(*[F.col(c) for c in events.columns]).alias("_ev"),
+                      F.lit(None).cast(changes.select(chg.alias("c")).schema["c"].dataType).alias("_chg"))
+    c = changes.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.col(change_seq).cast("bigint").alias("_s"),
+                       F.lit(0).alias("_kind"), F.lit(None).cast(ev_type).alias("_ev"), chg.alias("_chg"))
+    order = ["_ts", "_s", "_kind"] if event_seq else ["_ts", "_kind", "_s"]
+    filled = ordered.fill_forward(e.unionByName(c), "_key", order, "_chg", parts=parts)
+    out = filled.filter(F.col("_kind") == 1)
+    if how == "inner":
+        out = out.filter(F.col("_chg").isNotNull())
+    return out.select("_ev.*", *[F.col("_chg")[v].alias(v) for v in values])

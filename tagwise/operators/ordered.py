@@ -62,3 +62,23 @@ def rank_in_key(df: DataFrame, key: str, order: list[str], name: str = "rank",
     return (r.withColumn("_local", local).join(offsets, ["_pid", key])
              .withColumn(name, (F.col("_off") + F.col("_local")).cast("int"))
              .drop("_pid", "_local", "_off"))
+
+
+def fill_forward(df: DataFrame, key: str, order: list[str], col: str, name: str | None = None,
+                 parts: int | None = None) -> DataFrame:
+    """Add ``name`` (default ``col``) = the last non-null ``col`` at or before the row
+    within its key in ``order`` (``last(col, ignorenulls)`` over an unbounded-preceding
+    window). Inside each range a window over ``(range, key)`` fills locally; the value a
+    key carries into a range comes from a per-(range, key) summary (one row per pair, a
+    hot key spans at most one row per range)."""
+    name = name or col
+    r = _ranges(df, key, order, parts)
+    upto = Window.partitionBy("_pid", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = F.last(col, ignorenulls=True).over(upto)
+    summ = r.groupBy("_pid", key).agg(
+        F.max_by(col, F.when(F.col(col).isNotNull(), F.struct(*order))).alias("_lastv"))
+    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summ.select("_pid", key, F.last("_lastv", ignorenulls=True).over(before).alias("_carry"))
+    return (r.withColumn("_local", local).join(carry, ["_pid", key])
+             .withColumn(name, F.coalesce("_local", "_carry"))
+             .drop("_pid", "_local", "_carry"))

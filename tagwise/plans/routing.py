@@ -143,17 +143,17 @@ def _calls(spark, d):
     return log.withColumn("user_key", fx.user_key(header, ip))
 
 
-def _opt_in_intervals(calls):
-    changes = (calls.filter(F.col("event_type") == "signup")
-               .select("user_key", "ts", F.col("ticket_id").alias("seq"),
-                       (F.col("ticket_id") % 3 != 0).alias("opt_in")))
-    return asof.validity_intervals(changes, "user_key")
+def _opt_in_changes(calls):
+    """Opt-in change log: signups set the caller's opt-in, sequenced with the calls."""
+    return (calls.filter(F.col("event_type") == "signup")
+            .select("user_key", "ts", F.col("ticket_id").alias("seq"),
+                    (F.col("ticket_id") % 3 != 0).alias("opt_in")))
 
 
 def captured(spark, d):
     calls = _calls(spark, d)
-    at_call = asof.asof_join(calls, _opt_in_intervals(calls), "user_key", "ts", ["opt_in"],
-                             event_seq="ticket_id")
+    at_call = asof.asof_lookup(calls, _opt_in_changes(calls), "user_key", "ts", ["opt_in"],
+                               event_seq="ticket_id")
     opted = at_call.filter(F.coalesce("opt_in", F.lit(False)))
     low = opted.filter(F.col("confidence") < tx.LOW_CONFIDENCE_CAPTURE)
     return low.select(fx.file_key("user_key").alias("file_key"), "user_key", "ticket_id",

@@ -49,9 +49,9 @@ def stream_ticket_tags(spark, d):
 def stream_optin_capture(spark, d):
     calls = routing._calls(spark, d)
     stream = _log_stream(spark, d, "calls", calls)
-    intervals = routing._opt_in_intervals(calls)
+    changes = routing._opt_in_changes(calls)
     out = scratch_path(spark, "capture")
-    stag.start_capture(spark, stream, intervals, out)
+    stag.start_capture(spark, stream, changes, out)
     return spark.read.parquet(out).drop("batch_id")
 
 

@@ -62,10 +62,14 @@ def start_tagging(spark: SparkSession, source: DataFrame, model: nb.NaiveBayesMo
     common.run_available_now(source.writeStream.foreachBatch(handle), "tagging", spark)
 
 
-def start_capture(spark: SparkSession, calls: DataFrame, opt_in_intervals: DataFrame, out_path: str) -> None:
-    """ST4: low-confidence capture of opted-in callers, as its own query."""
+def start_capture(spark: SparkSession, calls: DataFrame, opt_in_changes: DataFrame, out_path: str) -> None:
+    """ST4: low-confidence capture of opted-in callers, as its own query. Each
+    micro-batch is merged with the opt-in changes of the callers it contains (a semi
+    join) and the latest change is forward-filled: linear in the batch plus those
+    callers' changes, with no pairing of a caller's calls and changes."""
     def transform(batch: DataFrame, batch_id: int) -> DataFrame:
-        at_call = asof.asof_join(batch, opt_in_intervals, "user_key", "ts", ["opt_in"], event_seq="ticket_id")
+        mine = opt_in_changes.join(batch.select("user_key").distinct(), "user_key", "left_semi")
+        at_call = asof.asof_lookup(batch, mine, "user_key", "ts", ["opt_in"], event_seq="ticket_id")
         low = at_call.filter(F.coalesce("opt_in", F.lit(False)) & (F.col("confidence") < 0.75))
         return low.select(fx.file_key("user_key").alias("file_key"), "user_key", "ticket_id",
                           fx.text_hash("text").alias("text_hash"), "intent",

@@ -33,3 +33,28 @@ def test_rank_in_key_equals_row_number(spark):
     w = Window.partitionBy("key").orderBy("ts", "seq")
     plain = {r["seq"]: r["rn"] for r in df.select("seq", F.row_number().over(w).alias("rn")).collect()}
     assert fast == plain
+
+
+def test_fill_forward_equals_last_ignore_nulls(spark):
+    df = _data(spark).withColumn("v", F.when(F.col("seq") % 5 == 0, F.col("v")))
+    fast = {r["seq"]: r["f"] for r in ordered.fill_forward(df, "key", ["ts", "seq"], "v", "f", parts=6).collect()}
+    w = Window.partitionBy("key").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    plain = {r["seq"]: r["f"] for r in df.select("seq", F.last("v", ignorenulls=True).over(w).alias("f")).collect()}
+    assert fast == plain
+
+
+def test_asof_lookup_equals_interval_join_with_hot_key(spark):
+    from tagwise.operators import asof
+    random.seed(5)
+    ev_rows, ch_rows = [], []
+    for i in range(3000):
+        key = "hot" if i % 3 else f"k{random.randint(0, 30)}"
+        (ch_rows if i % 4 == 0 else ev_rows).append((key, random.randint(0, 300), i, random.random() < 0.5))
+    ev = spark.createDataFrame([(k, t, s) for k, t, s, _ in ev_rows], "key string, ts int, eseq int")
+    ch = spark.createDataFrame(ch_rows, "key string, ts int, seq int, flag boolean")
+    for seq in ["eseq", None]:
+        want = {r["eseq"]: r["flag"] for r in
+                asof.asof_join(ev, asof.validity_intervals(ch, "key"), "key", "ts", ["flag"], event_seq=seq).collect()}
+        got = {r["eseq"]: r["flag"] for r in
+               asof.asof_lookup(ev, ch, "key", "ts", ["flag"], event_seq=seq, parts=5).collect()}
+        assert got == want and len(got) == len(ev_rows)
