@@ -13,6 +13,7 @@ from tagwise.operators import evaluate as ev
 from tagwise.operators import naive_bayes as nb
 from tagwise.plans.curation import SQL_BASE, curated
 from tagwise.plans.registry import query
+from tagwise.session import materialize as write_once
 from tagwise.sources import tables as tb
 
 
@@ -25,7 +26,9 @@ def nb_model(spark, d):
 
 
 def nb_scored(spark, d):
-    docs = nb_docs(spark, d)
+    # fit and scoring both read the split: write the tokenised corpus once instead of
+    # re-deriving the split assignment for each side
+    docs = write_once(nb_docs(spark, d), "nb-docs")
     model = nb.fit(docs.filter(F.col("split") == "train"))
     return nb.score(model, docs.filter(F.col("split") == "test"), "doc_id", keep=["label"])
 
