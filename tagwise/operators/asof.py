@@ -6,8 +6,8 @@ skew-safe :func:`tagwise.operators.ordered.fill_forward`: linear in events + cha
 pairing of a key's events with its changes, so a key holding a third of both stays
 balanced.
 
-:func:`asof_join` is the interval form for lookups whose key can hold several values at
-once (several accounts holding one billing customer). Changes ``(key, ts, seq, value...)`` become validity intervals ``[valid_from, valid_to)``
+:func:`asof_join` is the interval form, kept as the reference formulation in tests and
+for small dimension lookups; it pairs each event with the intervals of its key. Changes ``(key, ts, seq, value...)`` become validity intervals ``[valid_from, valid_to)``
 with a skew-safe per-key ``lead`` over the change log (:mod:`tagwise.operators.ordered`:
 a key with a third of the changes still spreads over many tasks); the change log is the
 only side that is sorted. Events then join on ``key`` plus the range predicate:
