@@ -41,8 +41,13 @@ def test_scans_are_pruned_and_no_python_in_hot_path(spark):
     df = QUERIES["nb_predictions"](spark, SF_SMALL)
     df.collect()
     plan = _plan(df)
-    # the curated base is written once; scoring reads only the columns it needs from it
-    assert "ReadSchema: struct<doc_id:bigint,text:string,label:string>" in plan
+    # the tokenised split is written once; scoring reads the test rows by a pushed filter
+    assert "PushedFilters: [IsNotNull(split), EqualTo(split,test)]" in plan
+    df = QUERIES["word_count_filter"](spark, SF_SMALL)
+    df.collect()
+    plan = _plan(df)
+    assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in plan      # source, n_chars pruned
+    assert "CollectMetrics" in plan                 # text predicates stay above the spread exchange
 
 
 def test_label_map_is_row_local(spark):
