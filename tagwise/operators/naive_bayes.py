@@ -6,10 +6,12 @@ Score: docs -> explode_outer(tokens) -> left join token rows -> per-row log-prob
        per class (array expression) -> sum per doc (partial aggregate) -> softmax and
        argmax in array expressions. No Python on the row path.
 
-The token join is the only wide join. Its build side grows with the vocabulary, so
-it is not force-broadcast: AQE broadcasts it when the measured size is under
-``spark.sql.adaptive.autoBroadcastJoinThreshold`` and otherwise keeps a shuffle join
-whose hot tokens ("the", in a third of all rows) are split by AQE's skew-join handling.
+The token join is the only wide join. Its build side grows with the vocabulary, whose
+exact size is known after the fit (one of the collected statistics): up to
+``BROADCAST_MAX_TOKENS`` distinct tokens (about 100 MB as a hashed relation) the token
+table is broadcast and the exploded documents never shuffle; beyond it the join stays a
+shuffle join whose hot tokens ("the", in a third of all rows) AQE's skew-join handling
+splits.
 
 The per-class statistics (count, tokens, prior) are collected to the driver: one row per
 class, bounded by the taxonomy, never by data size.
@@ -27,6 +29,9 @@ from tagwise import taxonomy as tx
 from tagwise.functions import text as fx
 from tagwise.session import materialize as write_once
 
+# Largest vocabulary whose token table is broadcast to every executor.
+BROADCAST_MAX_TOKENS = 1_000_000
+
 @dataclass
 class NaiveBayesModel:
     classes: list[str]            # sorted class names
@@ -82,7 +87,8 @@ def score(model: NaiveBayesModel, docs: DataFrame, id_col: str, tokens_col: str
     (rounded to 4 dp) for each row of ``docs`` keyed by ``id_col``."""
     keep = keep or []
     rows = docs.select(id_col, *keep, F.explode_outer(tokens_col).alias("token"))
-    joined = rows.join(model.token_counts, "token", "left")
+    table = F.broadcast(model.token_counts) if model.vocab_size <= BROADCAST_MAX_TOKENS else model.token_counts
+    joined = rows.join(table, "token", "left")
     # Contribution of one token to each class with add-one smoothing over the training
     # vocabulary: a token unseen in a class (or in training at all) counts 0. The null
     # token row of a document without tokens contributes nothing.

@@ -99,3 +99,24 @@ def test_rawsplit_leakage_numbers(spark):
     got = {(r["split_a"], r["split_b"]): r["shared"] for r in QUERIES["rawsplit_leakage"](spark, SF_CHECK).collect()}
     assert got == {("train", "validation"): 8, ("train", "test"): 11, ("validation", "test"): 3}
     assert QUERIES["test_rows_in_train"](spark, SF_CHECK).first()["test_rows_in_train"] == 11
+
+
+def test_nb_token_join_broadcast_is_size_checked(spark, monkeypatch):
+    """Within the vocabulary bound the token table is broadcast; beyond it the same
+    scores come from a shuffle join."""
+    from tagwise.operators import naive_bayes as nb
+    from tagwise.plans import QUERIES
+    small = QUERIES["nb_ranked_scores"](spark, SF_SMALL)
+    rows_b = sorted(small.collect())
+    assert "BroadcastHashJoin" in _plan(small)
+    monkeypatch.setattr(nb, "BROADCAST_MAX_TOKENS", 0)
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        big = QUERIES["nb_ranked_scores"](spark, SF_SMALL)
+        assert sorted(big.collect()) == rows_b
+        assert "SortMergeJoin" in _plan(big)
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
