@@ -76,13 +76,13 @@ def near_exact(df: DataFrame) -> DataFrame:
 
 
 def near_exact_examples(df: DataFrame, n: int = 3) -> DataFrame:
-    """Up to ``n`` shared folded texts (smallest md5 first), 80-char previews."""
+    """Up to ``n`` shared folded texts (smallest md5 first), 80-char previews: one
+    aggregation carries the split bits and the smallest preview per folded key, so the
+    split is read once (no second pass to fetch previews)."""
     tt = df.filter(F.col("split").isin("train", "test")).withColumn("_f", fx.fold("text"))
-    shared = (tt.groupBy(F.md5("_f").alias("_h")).agg(F.bit_or(split_bit()).alias("_m"))
-                .filter(F.col("_m") == 5).orderBy("_h").limit(n))
-    return (tt.withColumn("_h", F.md5("_f")).join(shared, "_h", "left_semi")
-              .groupBy("_h").agg(F.min(F.substring("_f", 1, tx.PREVIEW_CHARS)).alias("preview"))
-              .withColumnRenamed("_h", "folded_hash"))
+    per_key = tt.groupBy(F.md5("_f").alias("folded_hash")).agg(
+        F.bit_or(split_bit()).alias("_m"), F.min(F.substring("_f", 1, tx.PREVIEW_CHARS)).alias("preview"))
+    return per_key.filter(F.col("_m") == 5).orderBy("folded_hash").limit(n).drop("_m")
 
 
 def unique_ratio(df: DataFrame, group_col: str = "source") -> DataFrame:
