@@ -68,7 +68,9 @@ def asof_lookup(events: DataFrame, changes: DataFrame, key: str, ts: str, values
                       (F.col(event_seq) if event_seq else F.lit(None)).cast("bigint").alias("_s"),
                       F.lit(1).alias("_kind"), F.struct(*[F.col(c) for c in events.columns]).alias("_ev"),
                       F.lit(None).cast(changes.select(chg.alias("c")).schema["c"].dataType).alias("_chg"))
-    c = changes.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.col(change_seq).cast("bigint").alias("_s"),
+    # a change without a key applies to nothing (as in an equi-join); events without a
+    # key are kept with null values
+    c = changes.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.col(change_seq).cast("bigint").alias("_s"),
                        F.lit(0).alias("_kind"), F.lit(None).cast(ev_type).alias("_ev"), chg.alias("_chg"))
     order = ["_ts", "_s", "_kind"] if event_seq else ["_ts", "_kind", "_s"]
     filled = ordered.fill_forward(e.unionByName(c), "_key", order, "_chg", parts=parts)

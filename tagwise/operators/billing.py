@@ -47,29 +47,25 @@ def resolve_accounts(events: DataFrame) -> DataFrame:
     """Lookup events (created / deleted / failed >= 3) with the account holding the
     event's customer at the event's time (null when none; the smallest when several).
 
-    An account holds a customer from a checkout with it until the account's next checkout
-    with another customer. Those hold on / off toggles are a change log keyed by
-    (customer, account); each lookup is fanned out to the accounts that ever held its
-    customer and the latest toggle is forward-filled (:func:`asof.asof_lookup`). The work
-    is lookups x distinct accounts per customer (one, normally) plus the toggles — never
-    lookups x checkouts of a customer, which a hot customer would make quadratic."""
+    An account holds a customer while its latest checkout is with that customer. Each
+    lookup is fanned out to the accounts that ever held its customer, and the customer of
+    each such account's latest checkout at the lookup's time is forward-filled
+    (:func:`asof.asof_lookup` keyed by account). The work is lookups x distinct accounts
+    per customer (one, normally) plus the checkouts — never lookups x checkouts of a
+    customer, which a hot customer would make quadratic."""
     lookups = events.filter(
         F.col("type").isin(SUB_CREATED, SUB_DELETED) |
         ((F.col("type") == PAYMENT_FAILED) &
          (F.coalesce("attempt_count", F.lit(1)) >= tx.FAILED_PAYMENT_DOWNGRADE_ATTEMPTS))
     ).select("event_seq", "ts", "type", "customer")
     co = checkouts(events)
-    nxt = ordered.next_in_key(co, "account_id", ["ts", "seq"], ["ts", "seq", "customer"], prefix="_nx_")
-    on = nxt.select(F.struct("customer", "account_id").alias("_ca"), "ts", "seq", F.lit(True).alias("held"))
-    off = (nxt.filter(F.col("_nx_ts").isNotNull() & (F.col("_nx_customer") != F.col("customer")))
-              .select(F.struct("customer", "account_id").alias("_ca"), F.col("_nx_ts").alias("ts"),
-                      F.col("_nx_seq").alias("seq"), F.lit(False).alias("held")))
     holders = co.select("customer", "account_id").distinct()
-    fanned = (lookups.join(holders, "customer", "left")
-                     .withColumn("_ca", F.struct("customer", "account_id")))
-    at = asof.asof_lookup(fanned, on.unionByName(off), "_ca", "ts", ["held"], event_seq="event_seq")
+    fanned = lookups.join(holders, "customer", "left")
+    latest = co.select("account_id", "ts", "seq", F.col("customer").alias("held_customer"))
+    at = asof.asof_lookup(fanned, latest, "account_id", "ts", ["held_customer"], event_seq="event_seq")
+    holds = F.coalesce(F.col("held_customer") == F.col("customer"), F.lit(False))
     return at.groupBy("event_seq", "ts", "type", "customer").agg(
-        F.min(F.when(F.coalesce("held", F.lit(False)), F.col("account_id"))).alias("account_id"))
+        F.min(F.when(holds, F.col("account_id"))).alias("account_id"))
 
 
 def plan_actions(events: DataFrame) -> DataFrame:

@@ -59,9 +59,9 @@ def rank_in_key(df: DataFrame, key: str, order: list[str], name: str = "rank",
     counts = r.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_c"))
     before = F.sum("_c").over(Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.withColumn("_off", F.coalesce(before, F.lit(0))).select("_pid", key, "_off")
-    return (r.withColumn("_local", local).join(offsets, ["_pid", key])
+    return (_join_on_range_key(r.withColumn("_local", local), offsets, key)
              .withColumn(name, (F.col("_off") + F.col("_local")).cast("int"))
-             .drop("_pid", "_local", "_off"))
+             .drop("_local", "_off"))
 
 
 def fill_forward(df: DataFrame, key: str, order: list[str], col: str, name: str | None = None,
@@ -79,6 +79,14 @@ def fill_forward(df: DataFrame, key: str, order: list[str], col: str, name: str
         F.max_by(col, F.when(F.col(col).isNotNull(), F.struct(*order))).alias("_lastv"))
     before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     carry = summ.select("_pid", key, F.last("_lastv", ignorenulls=True).over(before).alias("_carry"))
-    return (r.withColumn("_local", local).join(carry, ["_pid", key])
+    return (_join_on_range_key(r.withColumn("_local", local), carry, key)
              .withColumn(name, F.coalesce("_local", "_carry"))
-             .drop("_pid", "_local", "_carry"))
+             .drop("_local", "_carry"))
+
+
+def _join_on_range_key(rows: DataFrame, summary: DataFrame, key: str) -> DataFrame:
+    """Attach the per-(range, key) summary to its rows; a null key is a key like any
+    other here (null-safe equality), so rows with a null key are kept."""
+    s = summary.withColumnRenamed("_pid", "_spid").withColumnRenamed(key, "_skey")
+    cond = (F.col("_pid") == F.col("_spid")) & F.col(key).eqNullSafe(F.col("_skey"))
+    return rows.join(s, cond).drop("_pid", "_spid", "_skey")

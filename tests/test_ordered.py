@@ -58,3 +58,17 @@ def test_asof_lookup_equals_interval_join_with_hot_key(spark):
         got = {r["eseq"]: r["flag"] for r in
                asof.asof_lookup(ev, ch, "key", "ts", ["flag"], event_seq=seq, parts=5).collect()}
         assert got == want and len(got) == len(ev_rows)
+
+
+def test_null_keys_are_kept(spark):
+    from tagwise.operators import asof
+    df = spark.createDataFrame([(None, 1, 1, 0.5), (None, 2, 2, None), ("a", 1, 3, 1.0)],
+                               "key string, ts int, seq int, v double")
+    got = {r["seq"]: r["v"] for r in ordered.fill_forward(df, "key", ["ts", "seq"], "v", parts=2).collect()}
+    assert got == {1: 0.5, 2: 0.5, 3: 1.0}
+    assert {r["seq"]: r["rank"] for r in ordered.rank_in_key(df, "key", ["ts", "seq"], parts=2).collect()} == \
+        {1: 1, 2: 2, 3: 1}
+    ev = spark.createDataFrame([(None, 5, 10), ("a", 5, 11)], "key string, ts int, eseq int")
+    ch = spark.createDataFrame([(None, 1, 1, True), ("a", 1, 2, True)], "key string, ts int, seq int, flag boolean")
+    got = {r["eseq"]: r["flag"] for r in asof.asof_lookup(ev, ch, "key", "ts", ["flag"], event_seq="eseq").collect()}
+    assert got == {10: None, 11: True}
