@@ -79,7 +79,11 @@ def plan_actions(events: DataFrame) -> DataFrame:
 
 def plan_state(events: DataFrame) -> DataFrame:
     """W6 final state: latest plan per account, its billing customer (latest upgrade)."""
-    acts = plan_actions(events)
+    return state_from_actions(plan_actions(events))
+
+
+def state_from_actions(acts: DataFrame) -> DataFrame:
+    """Per account: latest plan, customer of the latest upgrade, last event, #changes."""
     order = F.struct("ts", "seq")
     return acts.groupBy("account_id").agg(
         F.max_by("plan", order).alias("plan"),

@@ -103,8 +103,8 @@ def stream_billing_state(spark, d):
     ev = tb.billing_events(spark, d)
     src = scratch_path(spark, "landing-billing")
     common.stage_files(ev, src, "ts", N_FILES)
-    log, state = scratch_path(spark, "billing-log"), scratch_path(spark, "billing-state")
-    sbill.start_billing(spark, common.file_stream(spark, src, ev.schema), log, state)
+    holders, state = scratch_path(spark, "billing-holders"), scratch_path(spark, "billing-state")
+    sbill.start_billing(spark, common.file_stream(spark, src, ev.schema), holders, state)
     return sbill.read_state(spark, state)
 
 
