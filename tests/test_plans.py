@@ -120,3 +120,13 @@ def test_nb_token_join_broadcast_is_size_checked(spark, monkeypatch):
     finally:
         for k in keys:
             spark.conf.unset(k)
+
+
+def test_line_cleaning_is_row_local(spark):
+    """P16 runs without a shuffle or a window: array work per document."""
+    from tagwise.plans import QUERIES
+    df = QUERIES["generated_line_cleaning"](spark, SF_SMALL)
+    df.collect()
+    plan = _plan(df)
+    assert "Window" not in plan and "SortMergeJoin" not in plan
+    assert plan.count("Exchange") == plan.count("RoundRobinPartitioning")      # only the scan spread
