@@ -72,3 +72,12 @@ def test_null_keys_are_kept(spark):
     ch = spark.createDataFrame([(None, 1, 1, True), ("a", 1, 2, True)], "key string, ts int, seq int, flag boolean")
     got = {r["eseq"]: r["flag"] for r in asof.asof_lookup(ev, ch, "key", "ts", ["flag"], event_seq="eseq").collect()}
     assert got == {10: None, 11: True}
+
+
+def test_asof_lookup_inner_drops_events_without_change(spark):
+    from tagwise.operators import asof
+    ev = spark.createDataFrame([("a", 1, 1), ("a", 5, 2), ("b", 5, 3)], "key string, ts int, eseq int")
+    ch = spark.createDataFrame([("a", 3, 10, "x")], "key string, ts int, seq int, v string")
+    left = {r["eseq"]: r["v"] for r in asof.asof_lookup(ev, ch, "key", "ts", ["v"]).collect()}
+    inner = {r["eseq"]: r["v"] for r in asof.asof_lookup(ev, ch, "key", "ts", ["v"], how="inner").collect()}
+    assert left == {1: None, 2: "x", 3: None} and inner == {2: "x"}
