@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagwise.llm import decontam, langid, token_files
+from tagwise.llm import decontam, langid, line_spread, minhash, mixing, pii, secret_scan, token_files, topk
 from tagwise.llm.common import in_residue, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,12 +30,46 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_near_duplicates")
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked at a similarity of 0.85 of their word 5-grams."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_pseudonyms")
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by format-preserving pseudonyms."""
+    done = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.EXAMPLE_KEY)
+    count = [(F.size("pii") - F.size(F.array_remove("pii", k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return done.select("doc_id", F.size("pii").cast("long").alias("n_pii"), *count, "text")
+
+
 @query("op3_token_files")
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents written as Elias-Fano shards and read back."""
     return token_files.token_table(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op5_secrets")
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: the base patterns and what the randomness battery adds."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    kinds = [*secret_scan.BASE, secret_scan.RANDOM]
+
+    def listed(names: list[str]):
+        def numbered(i: int):
+            return F.transform(names[i], lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["stop"].alias("stop")))
+
+        tagged = [numbered(i) for i in range(len(names))]
+        label = F.array(*[F.lit(k) for k in names])
+        return F.array_join(F.transform(F.array_sort(F.concat(*tagged)), lambda x: F.concat_ws(
+            ":", F.get(label, x["kind"]), x["start"].cast("string"), x["stop"].cast("string"))), ",")
+
+    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in secret_scan.BASE],
+                        F.sha2(listed(kinds[:3]), 256).alias("base_sha256"), listed(kinds).alias("spans"),
+                        F.size(secret_scan.RANDOM).cast("long").alias("n_random"))
+
+
 @query("op6_language")
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by rank-order profiles, learned from three quarters."""
@@ -46,6 +80,42 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
+@query("op7_source_mix")
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a 5:2:1 mix of the sources takes of every document."""
+    made = mixing.copies(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+@query("op8_top_vectors", sql=f"""
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % {topk.QUERY_STEP} = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= {topk.K}""")
+def op8_top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector with all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % topk.QUERY_STEP == 0)
+
+
+@query("op9_line_spread", sql=rf"""
+WITH l AS (SELECT doc_id, source, pos, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare
+           FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+                        generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL)),
+gone AS (SELECT bare FROM l WHERE bare <> '' AND source IS NOT NULL GROUP BY bare HAVING count(DISTINCT source) >= {line_spread.LEAST_SITES}),
+d AS (SELECT doc_id, count(*) FILTER (bare <> '') AS n_lines, count(*) FILTER (bare IN (SELECT bare FROM gone)) AS n_removed,
+             md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (bare NOT IN (SELECT bare FROM gone)), '')) AS clean_md5
+      FROM l GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, clean_md5
+FROM documents LEFT JOIN d USING (doc_id)""")
+def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that eight or more sources carry."""
+    done = line_spread.clean_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("clean_md5"))
+
+
 @query("op10_decontamination", sql=r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
