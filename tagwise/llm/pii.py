@@ -87,9 +87,8 @@ def permuted_symbols(values: Column, sizes: Column, key: str, kind: str, inverse
             new = let(mine, lambda m: let(other, lambda o: moved(m, o)))
             return F.struct(F.when(left, new).otherwise(a["l"]).alias("l"), F.when(left, a["r"]).otherwise(new).alias("r"))
 
-        turns = F.array(*[F.lit(i) for i in (reversed(range(ROUNDS)) if inverse else range(ROUNDS))])
         start = F.struct(F.slice(values, F.lit(1), half).alias("l"), F.slice(values, half + 1, F.size(values)).alias("r"))
-        return F.aggregate(turns, start, step, lambda a: F.concat(a["l"], a["r"]))
+        return F.aggregate(_turns(inverse), start, step, lambda a: F.concat(a["l"], a["r"]))
 
     return let(F.floor(F.size(values) / 2).cast("int"), lambda half: let(sizes, lambda z: rounds(half, z)))
 
@@ -98,18 +97,17 @@ def permuted_pair(left: Column, right: Column, size_l: int, size_r: int, key: st
     """(left, right) permuted in Z(size_l) x Z(size_r): ``struct<l, r>``."""
     sign = -1 if inverse else 1
 
-    def moved(i: int):
-        def drawn(other: Column) -> Column:
-            return sign * _number(_hash(key, kind, F.lit(i), other.cast("string")), F.lit(1), 13)
+    def step(a: Column, r: Column) -> Column:
+        left = r % 2 == 0
+        drawn = sign * _number(_hash(key, kind, r, F.when(left, a["r"]).otherwise(a["l"]).cast("string")), F.lit(1), 13)
+        return F.struct(F.when(left, F.pmod(a["l"] + drawn, F.lit(size_l))).otherwise(a["l"]).alias("l"),
+                        F.when(left, a["r"]).otherwise(F.pmod(a["r"] + drawn, F.lit(size_r))).alias("r"))
 
-        if i % 2:
-            return lambda a: F.struct(a["l"].alias("l"), F.pmod(a["r"] + drawn(a["l"]), F.lit(size_r)).alias("r"))
-        return lambda a: F.struct(F.pmod(a["l"] + drawn(a["r"]), F.lit(size_l)).alias("l"), a["r"].alias("r"))
+    return F.aggregate(_turns(inverse), F.struct(left.cast("bigint").alias("l"), right.cast("bigint").alias("r")), step)
 
-    state = F.struct(left.cast("bigint").alias("l"), right.cast("bigint").alias("r"))
-    for i in (reversed(range(ROUNDS)) if inverse else range(ROUNDS)):
-        state = let(state, moved(i))
-    return state
+
+def _turns(inverse: bool) -> Column:
+    return F.array(*[F.lit(i) for i in (reversed(range(ROUNDS)) if inverse else range(ROUNDS))])
 
 
 def permuted_string(s: Column, key: str, kind: str, inverse: bool = False) -> Column:
@@ -232,14 +230,12 @@ _MAKE = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ipv4": _ip
 def pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
     """``struct<kind, value>`` of one match: the kind that it is valid as and its pseudonym;
     kind null and the value itself if it is valid as none."""
-    out = F.struct(F.lit(None).cast("string").alias("kind"), value.alias("value"))
-    for kind, pattern in reversed(PATTERNS.items()):
-        out = F.when(value.rlike(f"^(?:{pattern})$"), let(_MAKE[kind](value, key, inverse), _valid_or(kind, out))).otherwise(out)
-    return out
+    tried = [F.when(value.rlike(f"^(?:{pattern})$"), _as(kind, _MAKE[kind](value, key, inverse))) for kind, pattern in PATTERNS.items()]
+    return F.coalesce(*tried, F.struct(F.lit(None).cast("string").alias("kind"), value.alias("value")))
 
 
-def _valid_or(kind: str, other: Column):
-    return lambda new: F.when(new.isNotNull(), F.struct(F.lit(kind).alias("kind"), new.alias("value"))).otherwise(other)
+def _as(kind: str, made: Column) -> Column:
+    return let(made, lambda new: F.when(new.isNotNull(), F.struct(F.lit(kind).alias("kind"), new.alias("value"))))
 
 
 def pseudonymised(text: Column, key: str, inverse: bool = False) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagwise.llm import decontam, langid, line_spread, minhash, mixing, pii, secret_scan, token_files, topk
+from tagwise.llm import decontam, langid, line_spread, minhash, mixing, neural_lm, pii, secret_scan, token_files, topk
 from tagwise.llm.common import in_residue, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op4_language_model")
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document by a log-bilinear model of six sevenths of them."""
+    docs = table(spark, sf_dir, "documents")
+    return neural_lm.score(docs, in_residue("doc_id", 7, 2))
+
+
 @query("op5_secrets")
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: the base patterns and what the randomness battery adds."""
