@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 PROFILE = 400
 UNKNOWN = "und"
+STRETCH = 1 << 20                  # characters, and n-grams, counted at once
 FLUSH = 1 << 20                    # n-grams of a language held by a task before it sends them on
 _LETTERS: list[np.ndarray] = []
 
@@ -39,11 +40,25 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def ngrams(text: str) -> np.ndarray:
-    """Every n-gram of the text's words, n from 1 to 3, as integers; empty without letters."""
+def ngrams(text: str) -> Iterator[np.ndarray]:
+    """Every n-gram of the text's words, n from 1 to 3, as integers, in stretches of about
+    :data:`STRETCH` characters cut between words (a longer word is cut, too); none without
+    letters."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    a = np.zeros(len(points) + 2, np.int64)
-    a[1:-1] = _letters()[points]
+    at = 0
+    while at < len(points):
+        letters = _letters()[points[at:at + STRETCH]]
+        if at + STRETCH < len(points) and not letters.all():
+            letters = letters[:len(letters) - int(np.argmin(letters[::-1] != 0))]
+        at += len(letters)
+        found = _ngrams(letters)
+        if len(found):
+            yield found
+
+
+def _ngrams(letters: np.ndarray) -> np.ndarray:
+    a = np.zeros(len(letters) + 2, np.int64)
+    a[1:-1] = letters
     a = a[np.concatenate([[True], (a[1:] != 0) | (a[:-1] != 0)])]       # one mark between words
     if len(a) < 3:
         return np.empty(0, np.int64)
@@ -59,6 +74,17 @@ def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[first], np.diff(np.append(first, len(codes)))
 
 
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of several counts."""
+    if len(parts) == 1:
+        return parts[0]
+    codes, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, np.int64)
+    return codes[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def top(codes: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
     """The most frequent n-grams in rank order, ties by code."""
     return codes[np.argsort(-n, kind="stable")[:size]]
@@ -86,10 +112,10 @@ class Profiles:
         """(language, 1 - its distance as a share of the largest possible)."""
         if not text or not self.names:
             return UNKNOWN, 0.0
-        codes = ngrams(text)
-        if not len(codes):
+        parts = [counted(codes) for codes in ngrams(text)]
+        if not parts:
             return UNKNOWN, 0.0
-        mine = top(*counted(codes), self.size)
+        mine = top(*merged(parts), self.size)
         at = np.minimum(np.searchsorted(self.grams, mine), len(self.grams) - 1)
         theirs = np.where((self.grams[at] == mine)[:, None], self.ranks[at], self.size)
         away = np.where(theirs == self.size, self.size, np.abs(theirs - np.arange(len(mine))[:, None])).sum(0)
@@ -103,28 +129,30 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", size: int =
     what reaches the driver is ``size`` n-grams a label."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        fresh: dict[str, list[np.ndarray]] = {}
+        size = 0
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            for name, found in fresh.items():
+                held[name] = merged([counted(np.concatenate(found)), *([held[name]] if name in held else [])])
+                if len(held[name][0]) > FLUSH:
+                    yield rows(name)
+            fresh.clear()
 
         def rows(name: str) -> pa.RecordBatch:
             codes, n = held.pop(name)
-            return pa.RecordBatch.from_arrays([pa.array([name] * len(codes)), pa.array(codes), pa.array(n)],
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())],
                                               names=["label", "gram", "n"])
 
         for batch in batches:
-            parts: dict[str, list[np.ndarray]] = {}
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts.setdefault(name, []).append(ngrams(t))
-            for name, found in parts.items():
-                codes, n = counted(np.concatenate(found))
-                if name in held:
-                    both = np.concatenate([held[name][0], codes])
-                    order = np.argsort(both, kind="stable")
-                    sums = np.concatenate([held[name][1], n])[order]
-                    both = both[order]
-                    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.empty(0, np.int64)
-                    codes, n = both[first], np.add.reduceat(sums, first) if len(first) else sums
-                held[name] = codes, n
-                if len(codes) > FLUSH:
-                    yield rows(name)
+                for found in ngrams(t):
+                    fresh.setdefault(name, []).append(found)
+                    size += len(found)
+                    if size > STRETCH:
+                        yield from settle()
+                        size = 0
+        yield from settle()
         for name in list(held):
             yield rows(name)
 
