@@ -36,7 +36,7 @@ from tagwise.llm.common import written
 
 FREQUENT, CLASSES, WIDTH = 768, 256, 32
 NOISE, STEP, RATE = 64, 2048, 0.08
-WARM_TOKENS = 400_000
+WARM_TOKENS, WARM_BLOCKS = 800_000, 4    # tokens visited by the warm-up, more than once if there are fewer
 BLOCK_TOKENS = 3_000_000
 RANGE_TOKENS = 2_000_000           # entries of block vocabularies merged by a task
 FAN_IN = 32
@@ -321,33 +321,35 @@ def _sequence(row: dict, names: Symbols) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def fit(packed: DataFrame, names: Symbols) -> LogBilinear:
-    """The model after a warm-up on at most WARM_TOKENS training tokens and one pass over all
-    blocks, averaged by their training tokens."""
+    """The model after a warm-up, WARM_TOKENS visits to the training tokens of WARM_BLOCKS
+    blocks, and one pass over all blocks, averaged by their training tokens."""
     model = LogBilinear.start(names.counts)
     if not names.total:
         return model
     sample = packed.where("n_train > 0").select("block", "n_vocab", "held", "lengths", "vocab", "classes", "tokens")
 
-    def learn(tokens: int | None, begin: np.ndarray):
+    def learn(visits: int | None, begin: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
                     target, one, two, _, use = _sequence(row, names)
-                    target, one, two = target[use][:tokens], one[use][:tokens], two[use][:tokens]
+                    target, one, two = target[use][:visits], one[use][:visits], two[use][:visits]
                     own = LogBilinear(names.n, begin.copy())
                     seed = row["block"] % (1 << 31)
-                    order = np.random.Generator(np.random.PCG64(seed)).permutation(-(-len(target) // STEP))
-                    mixed = (order[:, None] * STEP + np.arange(STEP)).ravel()
-                    mixed = mixed[mixed < len(target)]
-                    own.train(one[mixed], two[mixed], target[mixed], names.counts, seed)
+                    memory = None
+                    for again in range(-(-visits // len(target)) if visits else 1):
+                        order = np.random.Generator(np.random.PCG64([seed, again])).permutation(-(-len(target) // STEP))
+                        mixed = (order[:, None] * STEP + np.arange(STEP)).ravel()
+                        mixed = mixed[mixed < len(target)]
+                        memory = own.train(one[mixed], two[mixed], target[mixed], names.counts, seed + again, memory)
                     n = float(len(target))
                     yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([n]), pa.array([(own.flat * np.float64(n)).astype("<f8").tobytes()], pa.binary())],
                                                      names=["block", "n", "weights"])
         return run
 
     schema = "block long, n double, weights binary"
-    few = sample.orderBy(F.xxhash64("block")).limit(4)
-    warm = _averaged(few.mapInArrow(learn(WARM_TOKENS // 4, model.flat), schema), names.n)
+    few = sample.orderBy(F.xxhash64("block")).limit(WARM_BLOCKS)
+    warm = _averaged(few.mapInArrow(learn(WARM_TOKENS // WARM_BLOCKS, model.flat), schema), names.n)
     return _averaged(sample.mapInArrow(learn(None, warm.flat), schema), names.n)
 
 

@@ -4,7 +4,7 @@ Numbers and dates are found, validated, and permuted within their own format by
 Feistel network, so a pseudonym is again a valid value of its kind, equal values get equal
 pseudonyms in every document, and the holder of the key can go back. Kinds:
 
-card     13 to 19 digits with a valid Luhn digit: all but the first and the Luhn digit are
+card     13 to 19 digits, or groups of four (4-6-5), with a valid Luhn digit: all but the first and the Luhn digit are
          permuted, the Luhn digit is computed anew
 iban     country, two check digits, 11 to 30 capitals and digits, valid modulo 97: the part
          after the check digits is permuted, these are computed anew
@@ -44,9 +44,9 @@ PATTERNS = {
     "date": _FREE + r"(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})" + r"(?![0-9A-Za-z]|[.\-/][0-9])",
     "ssn": r"(?<![0-9A-Za-z]|[0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}" + r"(?![0-9A-Za-z]|-[0-9])",
     "ipv4": r"(?<![0-9A-Za-z]|[0-9]\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}" + r"(?![0-9A-Za-z]|\.[0-9])",
-    "card": r"(?<![0-9A-Za-z]|[0-9][ -])[0-9](?:[ -]?[0-9]){12,18}" + r"(?![0-9A-Za-z]|[ -][0-9])",
+    "card": r"(?<![0-9A-Za-z]|[0-9]-)(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + r"(?![0-9A-Za-z]|-[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}" + r"(?![0-9A-Za-z]|[.-][0-9])"
-             + r"|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}" + r"(?![0-9A-Za-z]|[.-][0-9])",
+             + r"|(?<![0-9A-Za-z+])\+(?:[0-9]{8,15}|[0-9]{1,3}(?:[ .-][0-9]{1,4}){2,5})" + r"(?![0-9A-Za-z]|[.-][0-9])",
 }
 KINDS = ("card", "iban", "ssn", "phone", "ipv4", "date", "email")
 _ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())

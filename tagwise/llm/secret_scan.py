@@ -33,7 +33,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 BASE = {"assign": (ASSIGN, 2, 6), "access": ("AKIA[A-Z0-9]{16,}", 0, 20), "hex": ("[0-9a-f]{24,}", 0, 24)}
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 RANDOM = "random"
-LIMIT = 3.5
+LIMIT = 4.0
 RATE = 0.01
 BINS = 2000
 BIN_NATS = 0.1
