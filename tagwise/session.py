@@ -60,12 +60,16 @@ def build_session(master: str | None = None, app_name: str = "tagwise",
 def checkpoint_root(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    When the session has none (local tests), a fresh folder is created once and
-    registered on the session; on a cluster the configured shared folder is used as-is.
+    A session that runs in this process alone (``local[...]``) and names none gets a fresh
+    folder. Any other session must name one: executors write to it and the driver and other
+    executors read it, so a machine-local folder would lose rows without a word.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="tagwise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc = spark.sparkContext
@@ -80,6 +84,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_SHARED: dict[tuple[str, str], str] = {}
+
+
+def shared_table(spark: SparkSession, name: str, key: str, build):
+    """The table that ``build()`` describes, written once for each application and ``key`` (the
+    input it derives from) and read back by every later caller: queries over one curated corpus
+    or one fitted model do not derive it again."""
+    at = (f"{spark.sparkContext.applicationId}/{name}", key)
+    if at not in _SHARED:
+        path = scratch_path(spark, name)
+        build().write.mode("overwrite").parquet(path)
+        _SHARED[at] = path
+    return spark.read.parquet(_SHARED[at])
+
+
 def materialize(df, name: str):
     """Write ``df`` once as Parquet under the shared checkpoint folder and return a
     DataFrame reading it back. Used where one intermediate feeds several branches of a

@@ -7,8 +7,6 @@ The bindings (which column plays which role) are documented in FIXTURES.md.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,40 +17,10 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-# Tables whose rows carry long texts: per-row CPU (regex, hashing, lower-casing)
-# dominates, so the scan stage needs enough tasks.
-TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
-SMALL_SCAN_BYTES = 512 << 20
-
-
-def _input_bytes(spark: SparkSession, path: str) -> int:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(hpath).getLength())
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet table ``name``. A text table smaller than 512 MB is spread over the
-    session's parallelism with a round-robin repartition: a small file can be a single
-    row group, i.e. a single scan task doing all of the text work. Large inputs keep
-    their scan splits (no extra shuffle) and every filter reaches the scan.
-
-    Catalyst pushes filters through a repartition, which would pull the expensive text
-    predicates (word counts, tokenisation) back into the one scan task. An ``observe``
-    (a row counter) above the repartition stops that: filters and text expressions run
-    on the spread partitions, while column pruning still reaches the scan."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if name in TEXT_TABLES and _input_bytes(spark, path) < SMALL_SCAN_BYTES:
-        df = df.repartition(2 * spark.sparkContext.defaultParallelism) \
-            .observe(f"spread_{name}_{uuid.uuid4().hex[:12]}", F.count(F.lit(1)).alias("rows"))
-    return df
-
-
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    for name in TABLES:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    """Parquet table ``name``, one plan at every size: filters and columns reach the scan, and
+    its splits (``spark.sql.files.maxPartitionBytes``, row groups) are its parallelism."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 # --- ticket corpus ------------------------------------------------------------------
