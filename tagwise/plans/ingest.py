@@ -29,14 +29,8 @@ def csv_roundtrip(spark, d):
     return back.select("doc_id", F.md5("text").alias("text_md5"), "lang")
 
 
-def _stem():
-    return F.when(F.regexp_extract("source", r"([0-9]+)$", 1).cast("int") % 2 == 0,
-                  F.lit("bitext_even")).otherwise(F.lit("bitext_odd"))
-
-
 @query("multi_source_ingest", covers="S3 S4 S5 S6 S2 P2 A8 U1",
-       sql="""WITH r AS (SELECT CASE WHEN CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 2 = 0
-                         THEN 'bitext_even' ELSE 'bitext_odd' END AS source, lang AS label
+       sql="""WITH r AS (SELECT 'bitext_' || (CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 4)::VARCHAR AS source, lang AS label
            FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND doc_id % 11 <> 0),
 g AS (SELECT source, label, count(*) AS n FROM r GROUP BY source, label)
 SELECT source, label, n, CAST(sum(n) OVER (PARTITION BY source) AS BIGINT) AS total_rows,
@@ -46,12 +40,18 @@ def multi_source_ingest(spark, d):
     docs = tb.table(spark, d, "documents").select(
         F.col("text").alias("Instruction"),
         F.when(F.col("doc_id") % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("lang")).alias("Intent"),
-        _stem().alias("stem"))
-    even = docs.filter(F.col("stem") == "bitext_even").drop("stem")
-    odd = docs.filter(F.col("stem") == "bitext_odd").drop("stem")
-    even.write.mode("overwrite").parquet(f"{folder}/bitext_even.parquet")
-    fl.write_csv(even, f"{folder}/bitext_even.csv")          # shadowed by the Parquet stem
-    fl.write_csv(odd, f"{folder}/bitext_odd.csv")
+        (F.regexp_extract("source", r"([0-9]+)$", 1).cast("int") % 4).alias("stem"))
+
+    def layout(stem, *names):
+        return docs.filter(F.col("stem") == stem).select(*[F.col(old).alias(new) for old, new in names])
+
+    # four layouts: reference names, canonical names, no known name (first and last column),
+    # and a CSV whose header is in the other order
+    layout(0, ("Instruction", "Instruction"), ("Intent", "Intent")).write.parquet(f"{folder}/bitext_0.parquet")
+    layout(1, ("Intent", "label"), ("Instruction", "text")).write.parquet(f"{folder}/bitext_1.parquet")
+    layout(2, ("Instruction", "utterance"), ("stem", "batch"), ("Intent", "category")).write.parquet(f"{folder}/bitext_2.parquet")
+    fl.write_csv(layout(3, ("Intent", "Intent"), ("Instruction", "Instruction")), f"{folder}/bitext_3.csv")
+    fl.write_csv(layout(0, ("Instruction", "Instruction"), ("Intent", "Intent")), f"{folder}/bitext_0.csv")   # shadowed by the Parquet stem
     src = fl.read_sources(spark, folder, RAW_CSV_SCHEMA).na.drop(subset=["text", "label"])
     from pyspark.sql import Window
     g = src.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"))

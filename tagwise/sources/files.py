@@ -1,20 +1,24 @@
 """File sources and sinks.
 
 * Discovery lists a folder through the Hadoop FileSystem of the session (works for any
-  cluster file system), prefers Parquet over CSV for the same stem, and reads each
-  format with **one** scan over all its paths; the source tag comes from
-  ``_metadata.file_path``, not from one read per file.
-* CSV is read with an explicit schema (never ``inferSchema``), ``multiLine`` and
-  RFC-4180 quote doubling, so texts with quotes and newlines round-trip.
-* Sinks are plain DataFrame writers: ``partitionBy`` for per-split / per-user layouts,
-  ``mode("append")`` for logs; the output committer makes each write atomic.
+  cluster file system) and keeps one entry per stem, Parquet before CSV.
+* Files that share a layout are read by **one** scan over all their paths; files of different
+  layouts are read apart, brought to ``(text, label, source)`` and united by name, so no file
+  is read with another one's schema. A layout is metadata: a Parquet footer, a CSV header.
+* CSV is bound by header name to an explicit schema (never ``inferSchema``), ``multiLine`` and
+  RFC-4180 quote doubling, so texts with quotes and newlines round-trip; a header that the
+  schema does not know is an error.
+* Sinks are plain DataFrame writers: ``partitionBy`` for per-split layouts, a bucket of the
+  key for per-user logs, ``mode("append")``; the output committer makes each write atomic.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,60 +36,75 @@ def list_dir(spark: SparkSession, path: str) -> list[str]:
     return sorted(st.getPath().getName() for st in fs.listStatus(hpath))
 
 
+FORMATS = ("parquet", "csv")           # in order of preference for equal stems
+
+
 def discover_sources(spark: SparkSession, folder: str, prefix: str = "bitext_") -> dict[str, list[str]]:
-    """S3: ``{'parquet': [...], 'csv': [...]}`` — names sorted, Parquet first; a CSV whose
-    stem already has a Parquet entry is skipped. Nothing found -> empty lists (the caller
-    decides between synthetic-only mode and failing fast)."""
-    names = list_dir(spark, folder)
-    seen: set[str] = set()
-    out: dict[str, list[str]] = {"parquet": [], "csv": []}
-    for ext in ("parquet", "csv"):
-        for n in names:
-            if n.startswith(prefix) and n.endswith("." + ext):
-                stem = n[: -len(ext) - 1]
-                if stem not in seen:
-                    seen.add(stem)
-                    out[ext].append(f"{folder}/{n}")
-    return out
-
-
-def detect_columns(columns: list[str]) -> tuple[str, str]:
-    """Text column = ``instruction`` if present else the first column; label column
-    = ``intent``, else the first column containing 'intent' (any case), else the last."""
-    text_col = "instruction" if "instruction" in columns else columns[0]
-    if "intent" in columns:
-        label_col = "intent"
-    else:
-        cands = [c for c in columns if "intent" in c.lower()]
-        label_col = cands[0] if cands else columns[-1]
-    return text_col, label_col
-
-
-def normalise_columns(df: DataFrame) -> DataFrame:
-    """``instruction -> text`` only when ``text`` is absent; ``intent -> label`` only
-    when ``label`` is absent (schema-only, no job)."""
-    cols = [c.lower() for c in df.columns]
-    df = df.toDF(*cols)
-    if "text" not in cols:
-        text_col, _ = detect_columns(cols)
-        df = df.withColumnRenamed(text_col, "text")
-    if "label" not in df.columns:
-        _, label_col = detect_columns(df.columns)
-        df = df.withColumnRenamed(label_col, "label")
-    return df
-
-
-def with_source_from_path(df: DataFrame) -> DataFrame:
-    """``source`` = stem of the file (or directory) the row came from, when absent."""
-    if "source" in df.columns:
-        return df
-    stem = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.(parquet|csv)/[^/]*$", 1)
-    return df.withColumn("source", stem)
+    """S3: the paths of each format's entries in order of their names. Of the entries of one
+    stem the preferred format's stays. Nothing found is an empty list for each format."""
+    best: dict[str, str] = {}
+    for stem, dot, ext in (name.rpartition(".") for name in list_dir(spark, folder)):
+        if dot and stem.startswith(prefix) and ext in FORMATS:
+            best[stem] = min(best.get(stem, ext), ext, key=FORMATS.index)
+    return {f: [f"{folder}/{stem}.{f}" for stem in sorted(best) if best[stem] == f] for f in FORMATS}
+
+
+def source_columns(columns: list[str]) -> tuple[str, str]:
+    """S4 + S5: the columns that hold text and label, by name whatever the case. Text: ``text``,
+    ``instruction``, else the first column. Label: ``label``, ``intent``, the first whose name
+    contains 'intent', else the last column."""
+    named = {c.lower(): c for c in reversed(columns)}
+    text = next((named[n] for n in ("text", "instruction") if n in named), columns[0])
+    alike = [c for c in columns if "intent" in c.lower()]
+    label = next((named[n] for n in ("label", "intent") if n in named), (alike or columns[-1:])[0])
+    return text, label
+
+
+def normalised(df: DataFrame) -> DataFrame:
+    """``(text, label, source)`` of a source read from files. The columns are found before
+    anything is added; ``source`` is the frame's own, or the stem of the file or directory that
+    the row came from (S6)."""
+    text, label = source_columns(df.columns)
+    own = [c for c in df.columns if c.lower() == "source" and c not in (text, label)]
+    stem = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.(?:parquet|csv)(?:/[^/]*)?$", 1)
+    return df.select(F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label"),
+                     (F.col(own[0]) if own else stem).alias("source"))
+
+
+def _by_layout(paths: list[str], layout) -> list[tuple]:
+    """``(layout, paths)`` for each layout among the paths, in order of first occurrence."""
+    groups: dict = {}
+    for path in paths:
+        groups.setdefault(layout(path), []).append(path)
+    return list(groups.items())
+
+
+def read_parquet_groups(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
+    """One frame for each schema among the Parquet files."""
+    return [spark.read.parquet(*some) for _, some in _by_layout(paths, lambda p: spark.read.parquet(p).schema.json())]
+
+
+def read_csv_groups(spark: SparkSession, paths: list[str], schema: T.StructType | str) -> list[DataFrame]:
+    """One frame for each header among the CSV files, its columns bound by name (whatever the
+    case) to the fields of ``schema``. A header of an unknown name, or without one of the
+    schema's, is an error."""
+    fields = {f.name.lower(): f for f in (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields}
+    frames = []
+    for header, some in _by_layout(paths, lambda p: tuple(spark.read.options(**CSV_OPTIONS).csv(p).columns)):
+        if sorted(h.lower() for h in header) != sorted(fields):
+            raise ValueError(f"the columns of {some[0]} are {list(header)}, expected {sorted(f.name for f in fields.values())}")
+        bound = T.StructType([T.StructField(h, fields[h.lower()].dataType) for h in header])
+        frames.append(spark.read.options(**CSV_OPTIONS).schema(bound).csv(some))
+    return frames
 
 
 def read_csv(spark: SparkSession, paths, schema: T.StructType | str) -> DataFrame:
-    """Header CSV with explicit schema; quotes and newlines inside fields allowed."""
-    return spark.read.options(**CSV_OPTIONS).schema(schema).csv(paths)
+    """Header CSV with explicit schema, bound by header name; quotes and newlines inside
+    fields allowed. Columns come back in the schema's order and spelling."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    names = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).names
+    frames = [f.select(*[F.col(n).alias(n) for n in names]) for f in read_csv_groups(spark, paths, schema)]
+    return reduce(DataFrame.unionByName, frames)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -96,19 +115,27 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def read_sources(spark: SparkSession, folder: str, csv_schema: T.StructType | str) -> DataFrame:
     """S3 + S4 + S5 + S6 + U1: every discovered source as ``(text, label, source)``."""
     found = discover_sources(spark, folder)
-    frames = []
-    if found["parquet"]:
-        frames.append(spark.read.parquet(*found["parquet"]))
-    if found["csv"]:
-        frames.append(read_csv(spark, found["csv"], csv_schema))
+    frames = read_parquet_groups(spark, found["parquet"]) + read_csv_groups(spark, found["csv"], csv_schema)
     if not frames:
         raise FileNotFoundError(f"no source files under {folder}")
-    out = None
-    for f in frames:
-        f = with_source_from_path(f)
-        f = normalise_columns(f).select("text", "label", "source")
-        out = f if out is None else out.unionByName(f)
-    return out
+    return reduce(DataFrame.unionByName, map(normalised, frames))
+
+
+def read_corpus(spark: SparkSession, folder: str, csv_schema: T.StructType | str, map_label: Callable[[str], Column],
+                synthetic: str | None = None) -> DataFrame:
+    """S3: ``(text, label, source)`` with canonical labels: the raw sources' labels mapped, the
+    synthetic table's taken as they are. Without raw sources the synthetic table is the corpus;
+    without either there is none, which is an error."""
+    found = discover_sources(spark, folder)
+    frames = []
+    if any(found.values()):
+        raw = read_sources(spark, folder, csv_schema).na.drop(subset=["text", "label"])
+        frames.append(raw.withColumn("label", map_label("label")))
+    if synthetic is not None:
+        frames.append(spark.read.parquet(synthetic).select("text", "label", "source"))
+    if not frames:
+        raise FileNotFoundError(f"no source files under {folder} and no synthetic table")
+    return reduce(DataFrame.unionByName, frames)
 
 
 def read_json_config(spark: SparkSession, path: str) -> DataFrame:
