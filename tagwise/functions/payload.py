@@ -10,6 +10,9 @@ with string values, and a nested ``event.object`` / ``data.object`` form. The ru
 * HTML tags -> one space each (only if the text holds ``<``), strip;
 * ticket id parsed as an integer, failure -> 0; text stripped, then cut to 512.
 
+A document is one JSON object with nothing but JSON white space around it; of a repeated key
+the last value counts; a number that is no integer literal (12.0) is cut to one.
+
 Empty strings count as missing everywhere (the reference chains ``or``), hence the
 ``nullif(x, '')`` before every ``coalesce``. Malformed JSON or a non-object document
 is flagged ``malformed`` so the job can route it to a quarantine table.
@@ -28,6 +31,7 @@ from tagwise.taxonomy import MAX_TEXT_LENGTH
 # JSON text) and one parse of the nested ticket object, instead of one JSON parse per
 # extracted path; the small expressions also keep the stage inside whole-stage codegen.
 TOP_LEVEL = "map<string,string>"
+JSON_EDGES = "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$"
 TICKET_OBJECT = "struct<id:string,subject:string,messages:array<struct<body_text:string,body_html:string>>>"
 
 
@@ -36,25 +40,37 @@ def _nz(c: Column) -> Column:
 
 
 def _field(m: Column, key: str) -> Column:
-    return F.try_element_at(m, F.lit(key))
+    """A key's value; of a repeated key the last one's."""
+    return F.try_element_at(F.filter(F.map_entries(m), lambda e: e["key"] == key), F.lit(-1))["value"]
+
+
+def _whole_number(document: Column, key: str, text: Column) -> Column:
+    """``text`` (the key's value) where it is written as an integer; a JSON number in another
+    form (12.0, 1e3) cut to one; else ``text`` again."""
+    number = F.from_json(document, f"struct<{key}:double>")[key]
+    return F.when(text.rlike("^-?[0-9]+$") | number.isNull(), text).otherwise(number.try_cast("bigint").cast("string"))
 
 
 def parse_ticket_payload(df: DataFrame, value_col: str = "value") -> DataFrame:
     """Add ``malformed, from_agent, ticket_id, text`` parsed from a JSON string column."""
     v = F.col(value_col)
-    top = F.from_json(v, TOP_LEVEL)
-    flat_id = _nz(_field(top, "ticket_id"))
+    # One document and nothing else: as the only element of an array, whatever follows its
+    # closing brace is a syntax error or a second element. JSON white space around it is none.
+    bare = F.regexp_replace(v, JSON_EDGES, "")
+    documents = F.from_json(F.concat(F.lit("["), bare, F.lit("]")), f"array<{TOP_LEVEL}>")
+    top = F.when(bare.startswith("{") & (F.size(documents) == 1), F.get(documents, F.lit(0)))
+    flat_id = _nz(_whole_number(bare, "ticket_id", _field(top, "ticket_id")))
     flat_text = _nz(_field(top, "body_text"))
     use_nested = flat_id.isNull() & flat_text.isNull()
-    obj_json = F.coalesce(F.nullif(_nz(F.get_json_object(_field(top, "event"), "$.object")), F.lit("{}")),
-                          F.get_json_object(_field(top, "data"), "$.object"))
+    inner = lambda key: _field(F.from_json(_field(top, key), TOP_LEVEL), "object")
+    obj_json = F.coalesce(F.nullif(_nz(inner("event")), F.lit("{}")), inner("data"))
     obj = F.from_json(obj_json, TICKET_OBJECT)
     first = F.try_element_at(obj["messages"], F.lit(1))
     nested_text = F.coalesce(_nz(first["body_text"]), _nz(first["body_html"]), _nz(obj["subject"]))
-    raw_id = F.when(use_nested, obj["id"]).otherwise(flat_id)
+    raw_id = F.when(use_nested, _whole_number(obj_json, "id", obj["id"])).otherwise(flat_id)
     raw_text = F.coalesce(F.when(use_nested, nested_text).otherwise(flat_text),
                           _nz(_field(top, "subject")), F.lit(""))
-    malformed = top.isNull() | ~F.ltrim(v).startswith("{")
+    malformed = top.isNull()
     return (df
             .withColumn("malformed", malformed)
             .withColumn("from_agent", F.lower(F.coalesce(_field(top, "from_agent"), F.lit(""))) == "true")

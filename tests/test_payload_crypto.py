@@ -63,3 +63,19 @@ def test_signature_status(spark):
                                "body binary, sig string")
     got = [r[0] for r in df.select(crypto.signature_status(F.col("body"), F.col("sig"), [secret])).collect()]
     assert got == ["valid", "invalid", "missing", "missing"]
+
+
+def test_payload_documents(spark):
+    """One object and nothing else; the last of repeated keys; numbers that are no integers."""
+    from tagwise.functions import payload
+    rows = [("a", '\n{"ticket_id": "1", "body_text": "x"}'), ("b", '{"ticket_id": "1", "body_text": "x"} xx'),
+            ("c", '{"ticket_id": "1", "ticket_id": "2", "body_text": "x"}'), ("d", '{"ticket_id": 12.0, "body_text": "x"}'),
+            ("e", '{"event": {"object": {"id": 12.0, "subject": "s"}}}'), ("f", '{"ticket_id": "12.0", "body_text": "x"}'),
+            ("g", '{"ticket_id": "1"}, {"ticket_id": "2"}'), ("h", '[{"ticket_id": "1"}]'), ("i", ' \t\r\n{"ticket_id": "7", "body_text": "x"}\n'),
+            ("j", '"text"'), ("k", None), ("l", '{"ticket_id": "1", "body_text": "x"'), ("m", '{"ticket_id": 9007199254740993, "body_text": "x"}'),
+            ("n", '{"event": {"object": {"id": 3, "subject": "a"}, "object": {"id": 4, "subject": "b"}}}'), ("o", '{}')]
+    got = {r.k: (r.malformed, None if r.malformed else r.ticket_id) for r in payload.parse_ticket_payload(
+        spark.createDataFrame(rows, "k string, value string")).collect()}
+    assert got == {"a": (False, 1), "b": (True, None), "c": (False, 2), "d": (False, 12), "e": (False, 12), "f": (False, 0),
+                   "g": (True, None), "h": (True, None), "i": (False, 7), "j": (True, None), "k": (True, None), "l": (True, None),
+                   "m": (False, 9007199254740993), "n": (False, 4), "o": (False, 0)}
