@@ -17,7 +17,7 @@ from tagwise.streaming import counters as scnt
 from tagwise.streaming import tagging as stag
 from tagwise.streaming import windows as swin
 
-N_FILES = 4
+TRIGGERS = 4
 LOG_SCHEMA = ("ts timestamp, account_id bigint, ticket_id bigint, event_type string, intent string, "
               "confidence double, success boolean, latency_ms double, text string")
 
@@ -25,8 +25,8 @@ LOG_SCHEMA = ("ts timestamp, account_id bigint, ticket_id bigint, event_type str
 def _log_stream(spark, d, name, df=None, key="ts"):
     path = scratch_path(spark, f"landing-{name}")
     df = tb.classification_log(spark, d) if df is None else df
-    common.stage_files(df, path, key, N_FILES)
-    return common.file_stream(spark, path, df.schema)
+    files = common.stage_files(df, path, key, TRIGGERS)
+    return common.file_stream(spark, path, df.schema, files)
 
 
 @query("stream_ticket_tags", covers="ST1 ST3 S14",
@@ -34,8 +34,8 @@ def _log_stream(spark, d, name, df=None, key="ts"):
 def stream_ticket_tags(spark, d):
     src = scratch_path(spark, "landing-payloads")
     pay = tb.ticket_payloads(spark, d)
-    common.stage_files(pay, src, "conv_id", N_FILES)
-    stream = common.file_stream(spark, src, pay.schema)
+    files = common.stage_files(pay, src, "conv_id", TRIGGERS)
+    stream = common.file_stream(spark, src, pay.schema, files)
     model = stag.materialise_model(spark, scoring.nb_model(spark, d))
     out, log, quarantine = (scratch_path(spark, n) for n in ("tags", "tag-log", "quarantine"))
     stag.start_tagging(spark, stream, model, tb.installed_accounts(spark, d), tb.account_settings(spark, d),
@@ -102,9 +102,9 @@ def stream_dedup_replay(spark, d):
 def stream_billing_state(spark, d):
     ev = tb.billing_events(spark, d)
     src = scratch_path(spark, "landing-billing")
-    common.stage_files(ev, src, "ts", N_FILES)
+    files = common.stage_files(ev, src, "ts", TRIGGERS)
     holders, state = scratch_path(spark, "billing-holders"), scratch_path(spark, "billing-state")
-    sbill.start_billing(spark, common.file_stream(spark, src, ev.schema), holders, state)
+    sbill.start_billing(spark, common.file_stream(spark, src, ev.schema, files), holders, state)
     return sbill.read_state(spark, state)
 
 

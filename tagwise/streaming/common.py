@@ -8,6 +8,7 @@ results on a file sink. Checkpoints live under the shared checkpoint folder.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,21 +17,22 @@ from pyspark.sql import functions as F
 from tagwise.session import scratch_path
 
 
-def stage_files(df: DataFrame, path: str, key: str, n_files: int) -> None:
-    """Write ``df`` in ``n_files`` consecutive ``key`` ranges, one append per range, so the
-    file source (which replays files oldest first) sees the data in ``key`` order, one
-    range per trigger. Staging helper for local replays; in production the source is a
-    landing folder or Kafka topic."""
-    k = F.col(key).cast("double") if dict(df.dtypes)[key] != "timestamp" else F.unix_micros(F.col(key)).cast("double")
-    lo, hi = df.agg(F.min(k), F.max(k)).first()
-    if lo is None:
-        df.limit(0).write.mode("overwrite").parquet(path)
-        return
-    width = (hi - lo) / n_files or 1.0
-    bucket = F.least(F.floor((k - F.lit(lo)) / F.lit(width)), F.lit(n_files - 1))
-    tagged = df.withColumn("_bucket", bucket)
-    for i in range(n_files):
-        tagged.filter(F.col("_bucket") == i).drop("_bucket").coalesce(1).write.mode("append").parquet(path)
+def stage_files(df: DataFrame, path: str, key: str, triggers: int) -> int:
+    """Write ``df`` as files of consecutive ``key`` ranges, stamped with times in that order, so
+    that the file source (oldest first) replays the data in ``key`` order. One range sort by as
+    many tasks as the session shuffles with writes all of them at once. Returns how many files
+    a trigger takes for about ``triggers`` triggers. Staging helper for local replays; in
+    production the source is a landing folder or a topic."""
+    df.repartitionByRange(key).sortWithinPartitions(key).write.mode("append").parquet(path)
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
+    now = int(time.time() * 1000)
+    for i, name in enumerate(names):                    # metadata only: task numbers are in key order
+        fs.setTimes(hadoop.Path(f"{path}/{name}"), now - 1000 * (len(names) - i), -1)
+    return max(1, -(-len(names) // triggers))
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -56,13 +58,6 @@ def run_available_now(writer, name: str, spark: SparkSession) -> str:
     return ckpt
 
 
-def read_batches(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    reader = spark.read
-    if schema:
-        reader = reader.schema(schema)
-    return reader.parquet(path)
-
-
 def latest_per_key(df: DataFrame, key: str, order: str = "batch_id") -> DataFrame:
     """Upsert-on-read: the newest row per key across micro-batch folders (partial
     aggregate, no sort of the whole table)."""

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagwise import taxonomy as tx
 from tagwise.functions import text as fx
 from tagwise.operators import asof
 from tagwise.operators import naive_bayes as nb
@@ -69,10 +70,11 @@ def start_capture(spark: SparkSession, calls: DataFrame, opt_in_changes: DataFra
     callers' changes, with no pairing of a caller's calls and changes."""
     def transform(batch: DataFrame, batch_id: int) -> DataFrame:
         mine = opt_in_changes.join(batch.select("user_key").distinct(), "user_key", "left_semi")
-        at_call = asof.asof_lookup(batch, mine, "user_key", "ts", ["opt_in"], event_seq="ticket_id")
-        low = at_call.filter(F.coalesce("opt_in", F.lit(False)) & (F.col("confidence") < 0.75))
-        return low.select(fx.file_key("user_key").alias("file_key"), "user_key", "ticket_id",
-                          fx.text_hash("text").alias("text_hash"), "intent",
+        low = batch.filter(F.col("confidence") < tx.LOW_CONFIDENCE_CAPTURE) \
+            .select("user_key", "ts", "ticket_id", fx.text_hash("text").alias("text_hash"), "intent", "confidence")
+        at_call = asof.asof_lookup(low, mine, "user_key", "ts", ["opt_in"], event_seq="ticket_id")
+        opted = at_call.filter(F.coalesce("opt_in", F.lit(False)))
+        return opted.select(fx.file_key("user_key").alias("file_key"), "user_key", "ticket_id", "text_hash", "intent",
                           F.round("confidence", 4).alias("confidence"), "ts")
     common.run_available_now(calls.writeStream.foreachBatch(common.idempotent_writer(out_path, transform)),
                              "capture", spark)
