@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tagwise import taxonomy as tx
 from tagwise.operators import curate as cu
+from tagwise.operators.ordered import percentiles
 
 
 def pair_counts(pred: DataFrame) -> DataFrame:
@@ -35,8 +36,8 @@ def confusion_matrix(spark: SparkSession, pred: DataFrame) -> DataFrame:
     present = present_labels(pairs)
     grid = spark.createDataFrame([(a, i, b, j) for i, a in enumerate(tx.LABELS) for j, b in enumerate(tx.LABELS)],
                                  "y_true string, true_id int, y_pred string, pred_id int")
-    grid = (grid.join(F.broadcast(present.withColumnRenamed("label", "y_true")), "y_true", "left_semi")
-                .join(F.broadcast(present.withColumnRenamed("label", "y_pred")), "y_pred", "left_semi"))
+    grid = (grid.join(present.withColumnRenamed("label", "y_true"), "y_true", "left_semi")
+                .join(present.withColumnRenamed("label", "y_pred"), "y_pred", "left_semi"))
     return (grid.join(pairs, ["y_true", "y_pred"], "left")
                 .select("y_true", "true_id", "y_pred", "pred_id",
                         F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
@@ -100,16 +101,16 @@ def threshold_sweep(scored: DataFrame, thresholds=tx.SWEEP_THRESHOLDS) -> DataFr
 
 
 def latency_report(log: DataFrame, latency_col: str = "latency_ms") -> DataFrame:
-    """A18 + A19: p50/p95/p99 (linear interpolation) and mean latency, cost per 1k calls
-    at the GPU hourly price. Latencies are logged at 2 dp, so exact ``percentile`` keeps a
-    bounded value->count map; ``percentile_approx`` is the drop-in for unrounded logs."""
-    v = F.round(F.col(latency_col), 2)
-    q = log.agg(F.percentile(v, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("_q"),
-                F.avg(v).alias("_mean"), F.count(v).alias("n_calls"))
-    p95 = F.col("_q")[1]
+    """A18 + A19: p50/p95/p99 (linear interpolation) and mean latency of the raw values, cost
+    per 1k calls at the GPU hourly price. The percentiles come from the ranks of a range sort,
+    so no task holds all values."""
+    v = log.select(F.col(latency_col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    at = percentiles(v, "v", [0.5, 0.95, 0.99])
+    q = v.agg(F.avg("v").alias("_mean"), F.count(F.lit(1)).alias("n_calls"))
+    p95 = F.lit(at[1])
     return q.select("n_calls",
-                    F.round(F.col("_q")[0], 4).alias("p50_ms"), F.round(p95, 4).alias("p95_ms"),
-                    F.round(F.col("_q")[2], 4).alias("p99_ms"), F.round("_mean", 4).alias("mean_ms"),
+                    F.round(F.lit(at[0]), 4).alias("p50_ms"), F.round(p95, 4).alias("p95_ms"),
+                    F.round(F.lit(at[2]), 4).alias("p99_ms"), F.round("_mean", 4).alias("mean_ms"),
                     F.round(p95 / 1000 * (tx.GPU_DOLLARS_PER_HOUR / 3600) * 1000, 4)
                     .alias("cost_per_1k_calls_usd"))
 
@@ -152,11 +153,3 @@ def final_results(summary_df: DataFrame, latency_df: DataFrame) -> DataFrame:
                               "'mean_ms', mean_ms, 'cost_per_1k_calls_usd', cost_per_1k_calls_usd) "
                               "AS (metric, value)")
     return a.unionByName(b)
-
-
-def per_window_volume(df: DataFrame, ts_col: str, unit: str, key: str) -> DataFrame:
-    return df.groupBy(F.date_trunc(unit, F.col(ts_col)).alias("period"), key) \
-        .agg(F.count(F.lit(1)).alias("n"))
-
-
-

@@ -2,16 +2,13 @@
 
 Fit:   tokens of training docs -> (class, token) counts (partial aggregate) ->
        one row per token with a class->count map (a group has <= #classes rows).
-Score: docs -> explode_outer(tokens) -> left join token rows -> per-row log-probability
-       per class (array expression) -> sum per doc (partial aggregate) -> softmax and
-       argmax in array expressions. No Python on the row path.
+Score: each document's tokens are counted in its own row (sorted array, run lengths) ->
+       rows (id, token, tf) without any other column -> join on the token -> sum of
+       tf * log-probability per document and class -> joined back to the document ->
+       softmax and argmax in array expressions. No Python on the row path.
 
-The token join is the only wide join. Its build side grows with the vocabulary, whose
-exact size is known after the fit (one of the collected statistics): up to
-``BROADCAST_MAX_TOKENS`` distinct tokens (about 100 MB as a hashed relation) the token
-table is broadcast and the exploded documents never shuffle; beyond it the join stays a
-shuffle join whose hot tokens ("the", in a third of all rows) AQE's skew-join handling
-splits.
+The token join carries three narrow columns; AQE broadcasts the token table if it turns out
+small and splits the partitions of hot tokens otherwise.
 
 The per-class statistics (count, tokens, prior) are collected to the driver: one row per
 class, bounded by the taxonomy, never by data size.
@@ -29,8 +26,6 @@ from tagwise import taxonomy as tx
 from tagwise.functions import text as fx
 from tagwise.session import materialize as write_once
 
-# Largest vocabulary whose token table is broadcast to every executor.
-BROADCAST_MAX_TOKENS = 1_000_000
 
 @dataclass
 class NaiveBayesModel:
@@ -53,11 +48,20 @@ def fit(train: DataFrame, label_col: str = "label", tokens_col: str = "tokens")
     row per class — is computed in one pass and written once to the shared folder (the
     model artifact); the driver statistics and the scoring join both read it, so the
     training corpus is scanned and tokenised once."""
+    return from_table(write_once(model_table(train, label_col, tokens_col), "nb-model"))
+
+
+def model_table(train: DataFrame, label_col: str = "label", tokens_col: str = "tokens") -> DataFrame:
+    """``(class, token, n)`` token counts and one ``(class, null, documents)`` row per class."""
     per = (train.select(F.col(label_col).alias("_c"), F.explode(tokens_col).alias("token"))
                 .groupBy("_c", "token").agg(F.count(F.lit(1)).alias("n")))
     docs = train.groupBy(F.col(label_col).alias("_c")).agg(F.count(F.lit(1)).alias("n")) \
         .select("_c", F.lit(None).cast("string").alias("token"), "n")
-    table = write_once(per.unionByName(docs), "nb-model")
+    return per.unionByName(docs)
+
+
+def from_table(table: DataFrame) -> NaiveBayesModel:
+    """The model of a written :func:`model_table`."""
     counts = table.filter(F.col("token").isNotNull())
     token_counts = counts.groupBy("token").agg(
         F.map_from_entries(F.collect_list(F.struct("_c", "n"))).alias("counts"))
@@ -81,35 +85,46 @@ def fit(train: DataFrame, label_col: str = "label", tokens_col: str = "tokens")
                            [int(stats[c][1]) for c in classes], int(vocab), token_counts)
 
 
+def token_frequencies(tokens: F.Column) -> F.Column:
+    """``array<struct<token, tf>>`` of a token array: sorted, then the lengths of equal runs."""
+    def runs(s: F.Column) -> F.Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return F.get(F.transform(F.array(starts), lambda at: F.transform(at, lambda i, j: F.struct(
+            F.get(s, i).alias("token"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).alias("tf")))), F.lit(0))
+    return F.get(F.transform(F.array(F.array_sort(tokens)), runs), F.lit(0))
+
+
 def score(model: NaiveBayesModel, docs: DataFrame, id_col: str, tokens_col: str = "tokens",
           keep: list[str] | None = None) -> DataFrame:
     """Add ``scores`` (array of (label, prob) sorted by class), ``pred``, ``confidence``
-    (rounded to 4 dp) for each row of ``docs`` keyed by ``id_col``."""
+    (rounded to 4 dp) for each row of ``docs`` keyed by the unique ``id_col``. Equal scores go
+    to the smaller label id."""
     keep = keep or []
-    rows = docs.select(id_col, *keep, F.explode_outer(tokens_col).alias("token"))
-    table = F.broadcast(model.token_counts) if model.vocab_size <= BROADCAST_MAX_TOKENS else model.token_counts
-    joined = rows.join(table, "token", "left")
+    rows = docs.select(F.col(id_col).alias("_id"), F.explode(token_frequencies(F.col(tokens_col))).alias("t")) \
+        .select("_id", "t.token", "t.tf")
+    joined = rows.join(model.token_counts, "token", "left")
     # Contribution of one token to each class with add-one smoothing over the training
-    # vocabulary: a token unseen in a class (or in training at all) counts 0. The null
-    # token row of a document without tokens contributes nothing.
+    # vocabulary: a token unseen in a class (or in training at all) counts 0.
     parts = []
     for c, tot in zip(model.classes, model.totals):
         lp = F.log((F.coalesce(F.col("counts")[c], F.lit(0)) + 1) / F.lit(float(tot + model.vocab_size)))
-        parts.append(F.sum(F.when(F.col("token").isNotNull(), lp).otherwise(F.lit(0.0))).alias(f"_s{len(parts)}"))
-    per_doc = joined.groupBy(id_col, *keep).agg(*parts)
-    s = F.array(*[F.col(f"_s{i}") + F.lit(p) for i, p in enumerate(model.log_priors)])
+        parts.append(F.sum(F.col("tf") * lp).alias(f"_s{len(parts)}"))
+    sums = joined.groupBy("_id").agg(*parts)
+    per_doc = docs.select(id_col, *keep).join(sums, F.col(id_col) == F.col("_id"), "left")
+    s = F.array(*[F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) + F.lit(p) for i, p in enumerate(model.log_priors)])
     cls = F.array(*[F.lit(c) for c in model.classes])
+    order = F.array(*[F.lit(-tx.LABEL_ID.get(c, len(tx.LABEL_ID) + i)) for i, c in enumerate(model.classes)])
     out = (per_doc.withColumn("_ls", s)
            .withColumn("_mx", F.array_max("_ls"))
            .withColumn("_e", F.transform("_ls", lambda x: F.exp(x - F.col("_mx"))))
            .withColumn("_z", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
-           .withColumn("_best", F.array_max(F.arrays_zip(F.col("_ls").alias("s"), cls.alias("label"))))
+           .withColumn("_best", F.array_max(F.arrays_zip(F.col("_ls").alias("s"), order.alias("o"), cls.alias("label"))))
            .withColumn("pred", F.col("_best.label"))
            .withColumn("_p", F.transform("_e", lambda x: x / F.col("_z")))
            .withColumn("confidence", F.round(F.array_max("_p"), 4))
            .withColumn("scores", F.arrays_zip(cls.alias("label"),
                                               F.transform("_p", lambda x: F.round(x, 4)).alias("score"))))
-    return out.drop("_ls", "_mx", "_e", "_z", "_best", "_p", *[f"_s{i}" for i in range(len(model.classes))])
+    return out.drop("_id", "_ls", "_mx", "_e", "_z", "_best", "_p", *[f"_s{i}" for i in range(len(model.classes))])
 
 
 def apply_threshold(df: DataFrame, threshold, pred_col: str = "intent_raw") -> DataFrame:
@@ -121,6 +136,11 @@ def apply_threshold(df: DataFrame, threshold, pred_col: str = "intent_raw") -> D
                           .otherwise(F.col(pred_col))))
 
 
+def sql_label_order(label: str) -> str:
+    """The label's id in the taxonomy, by which ties are broken."""
+    return f"(CASE {label} " + " ".join(f"WHEN '{x}' THEN {i}" for x, i in tx.LABEL_ID.items()) + f" ELSE {len(tx.LABEL_ID)} END), {label}"
+
+
 def sql_scores(docs_sql: str, id_col: str = "doc_id") -> str:
     """DuckDB twin. ``docs_sql`` must define CTEs ``train(label, toks)`` and
     ``test(<id_col>, toks, ...)``; the result CTE ``best`` has ``<id_col>, pred,
@@ -143,5 +163,5 @@ allsc AS (SELECT t.{id_col}, c.label, c.prior + coalesce(sc.ls, 0) AS s
 sm AS (SELECT *, exp(s - max(s) OVER (PARTITION BY {id_col})) AS e FROM allsc),
 probs AS (SELECT {id_col}, label, s, e / sum(e) OVER (PARTITION BY {id_col}) AS p FROM sm),
 best AS (SELECT {id_col}, label AS pred, round(p, 4) AS confidence FROM (
-           SELECT *, row_number() OVER (PARTITION BY {id_col} ORDER BY s DESC, label DESC) AS rn
+           SELECT *, row_number() OVER (PARTITION BY {id_col} ORDER BY s DESC, {sql_label_order('label')}) AS rn
            FROM probs) WHERE rn = 1)"""

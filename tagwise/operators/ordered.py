@@ -11,6 +11,8 @@ size is bounded by the number of ranges (for ``next_in_key``) or by the number o
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,18 +54,33 @@ def next_in_key(df: DataFrame, key: str, order: list[str], cols: list[str], pref
 
 
 def rank_in_key(df: DataFrame, key: str, order: list[str], name: str = "rank",
-                parts: int | None = None) -> DataFrame:
-    """Add ``name`` = 1-based ``row_number`` of the row within its key in ``order``."""
+                parts: int | None = None, dtype: str = "int") -> DataFrame:
+    """Add ``name`` = 1-based ``row_number`` of the row within its key in ``order``
+    (``dtype="long"`` where a key may hold more than 2^31 rows)."""
     r = _ranges(df, key, order, parts)
     local = F.row_number().over(Window.partitionBy("_pid", key).orderBy(*order))
     counts = r.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_c"))
     before = F.sum("_c").over(Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.withColumn("_off", F.coalesce(before, F.lit(0))).select("_pid", key, "_off")
     return (_join_on_range_key(r.withColumn("_local", local), offsets, key)
-             .withColumn(name, (F.col("_off") + F.col("_local")).cast("int"))
+             .withColumn(name, (F.col("_off") + F.col("_local")).cast(dtype))
              .drop("_local", "_off"))
 
 
+def percentiles(df: DataFrame, col: str, shares: list[float]) -> list[float | None]:
+    """Exact percentiles of a non-null column, interpolated linearly between the two values at
+    ``share * (n - 1)``: the rows of those ranks in a range sort, at most two a share, reach
+    the driver. None for an empty column."""
+    n = df.count()
+    if not n:
+        return [None for _ in shares]
+    places = [share * (n - 1) for share in shares]
+    wanted = sorted({1 + k for p in places for k in (math.floor(p), math.ceil(p))})
+    ranked = rank_in_key(df.select(F.lit(0).alias("_all"), col), "_all", [col], "_rank", dtype="long")
+    at = {r["_rank"]: r[col] for r in ranked.where(F.col("_rank").isin(wanted)).collect()}
+    return [at[1 + math.floor(p)] + (p - math.floor(p)) * (at[1 + math.ceil(p)] - at[1 + math.floor(p)]) for p in places]
+
+
 def fill_forward(df: DataFrame, key: str, order: list[str], col: str, name: str | None = None,
                  parts: int | None = None) -> DataFrame:
     """Add ``name`` (default ``col``) = the last non-null ``col`` at or before the row

@@ -13,24 +13,23 @@ from tagwise.operators import evaluate as ev
 from tagwise.operators import naive_bayes as nb
 from tagwise.plans.curation import SQL_BASE, curated
 from tagwise.plans.registry import query
-from tagwise.session import materialize as write_once
+from tagwise.session import shared_table
 from tagwise.sources import tables as tb
 
 
 def nb_docs(spark, d):
-    return curated(spark, d).select("doc_id", "label", "split", nb.tokens("text").alias("tokens"))
+    """The curated corpus, tokenised: written once for an application and input."""
+    return shared_table(spark, "nb-docs", d, lambda: curated(spark, d).select(
+        "doc_id", "label", "split", nb.tokens("text").alias("tokens")))
 
 
 def nb_model(spark, d):
-    return nb.fit(nb_docs(spark, d).filter(F.col("split") == "train"))
+    return nb.from_table(shared_table(spark, "nb-model", d, lambda: nb.model_table(
+        nb_docs(spark, d).filter(F.col("split") == "train"))))
 
 
 def nb_scored(spark, d):
-    # fit and scoring both read the split: write the tokenised corpus once instead of
-    # re-deriving the split assignment for each side
-    docs = write_once(nb_docs(spark, d), "nb-docs")
-    model = nb.fit(docs.filter(F.col("split") == "train"))
-    return nb.score(model, docs.filter(F.col("split") == "test"), "doc_id", keep=["label"])
+    return nb.score(nb_model(spark, d), nb_docs(spark, d).filter(F.col("split") == "test"), "doc_id", keep=["label"])
 
 
 def predictions(spark, d):
@@ -63,6 +62,19 @@ def nb_predictions(spark, d):
     return predictions(spark, d).select("doc_id", "y_true", "y_pred", "confidence", "below_threshold", "intent")
 
 
+SQL_ALL = nb.sql_scores(f"""{SQL_NB_TRAIN},
+test AS (SELECT doc_id, split, toks FROM docs)""")
+
+
+@query("nb_corpus_scores", covers="M2 F9",
+       sql=f"""WITH {SQL_ALL}
+SELECT b.doc_id, t.split, b.pred, b.confidence FROM best b JOIN test t ON t.doc_id = b.doc_id""")
+def nb_corpus_scores(spark, d):
+    """The model over the whole curated corpus, every split."""
+    return nb.score(nb_model(spark, d), nb_docs(spark, d), "doc_id", keep=["split"]) \
+        .select("doc_id", "split", "pred", "confidence")
+
+
 @query("nb_ranked_scores", covers="T3 F16 F9",
        sql=f"""WITH {nb.sql_scores(SQL_NB_DOCS)}
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(p, 4) DESC, label) AS INTEGER) AS rank,
@@ -152,7 +164,7 @@ def threshold_sweep_q(spark, d):
     return ev.threshold_sweep(predictions(spark, d))
 
 
-SQL_LATENCY = """lat AS (SELECT quantile_cont(round(value, 2), [0.5, 0.95, 0.99]) AS q, avg(round(value, 2)) AS m,
+SQL_LATENCY = """lat AS (SELECT quantile_cont(value, [0.5, 0.95, 0.99]) AS q, avg(value) AS m,
                 count(value) AS n_calls FROM events),
 latr AS (SELECT n_calls, round(q[1], 4) AS p50_ms, round(q[2], 4) AS p95_ms, round(q[3], 4) AS p99_ms,
                 round(m, 4) AS mean_ms, round(q[2] / 1000 * (1.10 / 3600) * 1000, 4) AS cost_per_1k_calls_usd
