@@ -1,60 +1,57 @@
-"""Spark ML training / scoring (M1, M3, M4) and the pluggable Arrow scorer hook (UDF3).
+"""Spark ML training / scoring (M1, M4) and a nearest-centroid scorer (UDF3).
 
 M1 replaces the reference's GPU fine-tuning with a data-parallel Spark ML pipeline:
-``RegexTokenizer -> truncate (M3) -> HashingTF -> IDF -> LogisticRegression``. Model
-selection follows the reference: candidates are scored on the *given* validation split
-by weighted F1 and the best one is kept; the release gate (weighted F1 >= 0.88) is
-reported, not enforced.
-
-UDF3 is the slow path by design: a scalar-iterator ``pandas_udf`` that builds its model
-once per Python worker and scores Arrow batches, for external models that Spark cannot
-express (e.g. an ONNX file). Everything else in the library stays in Catalyst.
+``RegexTokenizer -> HashingTF -> IDF -> LogisticRegression`` on whole texts. The features are
+fitted and written once; the candidates differ in the classifier only. Model selection follows
+the reference: candidates are scored on the *given* validation split by weighted F1 and the
+best one is kept; the release gate (weighted F1 >= 0.88) is reported, not enforced.
+
+UDF3, scoring rows with an external model, is array expressions here: class centroids fitted
+from partial aggregates, distances by ``zip_with``.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tagwise import taxonomy as tx
+from tagwise.session import materialize
 
 
-def text_pipeline(num_features: int, reg_param: float) -> Pipeline:
-    """Letter tokens of the whole text -> hashed term frequencies -> IDF -> multinomial LR."""
+def feature_pipeline(num_features: int) -> Pipeline:
+    """Letter tokens of the whole text -> hashed term frequencies -> IDF."""
     tok = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"[^\p{L}]+", toLowercase=True,
                          gaps=True, minTokenLength=1)
     tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features)
-    idf = IDF(inputCol="tf", outputCol="features")
-    lr = LogisticRegression(featuresCol="features", labelCol="label_d", maxIter=30, regParam=reg_param,
-                            family="multinomial")
-    return Pipeline(stages=[tok, tf, idf, lr])
+    return Pipeline(stages=[tok, tf, IDF(inputCol="tf", outputCol="features")])
 
 
 def train_select(train: DataFrame, validation: DataFrame, reg_params=(0.0, 0.01, 0.1),
                  num_features: int = 1 << 16) -> tuple[PipelineModel, DataFrame]:
-    """Fit one pipeline per candidate on ``train``; keep the best weighted F1 on
-    ``validation``. Returns the model and the one-row training summary (M4)."""
+    """Fit the features on ``train`` once and one classifier per candidate; keep the best
+    weighted F1 on ``validation``. Returns the model and the one-row training summary (M4)."""
     spark = train.sparkSession
-    tr = train.withColumn("label_d", F.col("label_id").cast("double"))
-    va = validation.withColumn("label_d", F.col("label_id").cast("double"))
+    t0 = time.time()
+    features = feature_pipeline(num_features).fit(train)
+
+    def featured(df: DataFrame, name: str) -> DataFrame:
+        return materialize(features.transform(df).select(F.col("label_id").cast("double").alias("label_d"), "features"), name)
+
+    tr, va = featured(train, "ml-train"), featured(validation, "ml-validation")
     f1 = MulticlassClassificationEvaluator(labelCol="label_d", predictionCol="prediction", metricName="f1")
     acc = MulticlassClassificationEvaluator(labelCol="label_d", predictionCol="prediction", metricName="accuracy")
-    t0 = time.time()
     best = None
     for rp in reg_params:
-        model = text_pipeline(num_features, rp).fit(tr)
-        pred = model.transform(va)
+        model = LogisticRegression(featuresCol="features", labelCol="label_d", maxIter=30, regParam=rp, family="multinomial").fit(tr)
+        pred = materialize(model.transform(va).select("label_d", "prediction"), "ml-predictions")
         score = (f1.evaluate(pred), acc.evaluate(pred), rp)
         if best is None or score[0] > best[0][0]:
             best = (score, model)
@@ -65,7 +62,7 @@ def train_select(train: DataFrame, validation: DataFrame, reg_params=(0.0, 0.01,
         "model_name string, num_features int, num_labels int, train_samples bigint, val_samples bigint, "
         "best_val_f1_weighted double, best_val_accuracy double, reg_param double, "
         "training_time_seconds double, release_gate_passed boolean")
-    return model, summary
+    return PipelineModel(features.stages + [model]), summary
 
 
 def predict(model: PipelineModel, df: DataFrame, id_col: str) -> DataFrame:
@@ -76,59 +73,24 @@ def predict(model: PipelineModel, df: DataFrame, id_col: str) -> DataFrame:
                       F.round(F.array_max(probs), 4).alias("confidence"))
 
 
-# --- UDF3: pluggable external scorer ------------------------------------------------------
-
-def external_scorer(load: Callable[[], Callable[[np.ndarray], np.ndarray]], n_classes: int):
-    """A scalar-iterator pandas UDF ``array<float> -> array<double>`` (class probabilities).
-
-    ``load()`` runs once per Python worker and returns ``f(matrix) -> probabilities``; it
-    is where an ONNX session or any other model is opened. Batches arrive as Arrow
-    record batches (``spark.sql.execution.arrow.maxRecordsPerBatch`` rows)."""
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        f = load()
-        for s in batches:
-            mat = np.stack(s.to_numpy()).astype(np.float64) if len(s) else np.zeros((0, 1))
-            probs = f(mat) if len(s) else np.zeros((0, n_classes))
-            yield pd.Series(list(probs))
-    return score
-
-
-def centroid_model(spark: SparkSession, df: DataFrame, vec_col: str, label_col: str):
-    """A nearest-centroid model fitted in Spark: per-class mean vectors from a
-    ``posexplode`` + ``groupBy`` (classes x dims numbers, collected once — bounded by the
-    model size, not the data). Returns ``(labels, load)`` for :func:`external_scorer`."""
-    per = (df.select(label_col, F.posexplode(vec_col).alias("dim", "x"))
-             .groupBy(label_col, "dim").agg(F.avg("x").alias("m")))
-    rows = per.collect()
-    labels = sorted({r[label_col] for r in rows})
-    dims = 1 + max(r["dim"] for r in rows)
-    cent = np.zeros((len(labels), dims))
-    index = {lab: i for i, lab in enumerate(labels)}
-    for r in rows:
-        cent[index[r[label_col]], r["dim"]] = r["m"]
-    bc = spark.sparkContext.broadcast(cent)
-
-    def load():
-        c = bc.value
-
-        def f(mat: np.ndarray) -> np.ndarray:
-            d2 = ((mat[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
-            z = -d2 + d2.min(axis=1, keepdims=True)
-            e = np.exp(z)
-            return e / e.sum(axis=1, keepdims=True)
-        return f
-    return labels, load
-
-
-def onnx_loader(model_path: str):
-    """Loader for an ONNX classifier (first input: float matrix; first output: scores)."""
-    def load():
-        import onnxruntime as ort  # imported on the worker
-        sess = ort.InferenceSession(model_path, providers=["CPUExecutionProvider"])
-        name = sess.get_inputs()[0].name
-
-        def f(mat: np.ndarray) -> np.ndarray:
-            return np.asarray(sess.run(None, {name: mat.astype(np.float32)})[0], dtype=np.float64)
-        return f
-    return load
+# --- UDF3 as array expressions -------------------------------------------------------------
+
+def centroids(df: DataFrame, vec_col: str, label_col: str) -> DataFrame:
+    """``label, centroid`` (mean vector): per-dimension means from partial aggregates, a row a
+    label."""
+    per = df.select(label_col, F.posexplode(vec_col).alias("dim", "x")) \
+        .groupBy(label_col, "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return per.groupBy(label_col).agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("c")) \
+        .select(label_col, F.transform("c", lambda x: x["m"]).alias("centroid"))
+
+
+def nearest_centroid(df: DataFrame, model: DataFrame, vec_col: str, label_col: str) -> DataFrame:
+    """Every row of ``df`` with ``pred_label`` (ties to the smaller label) and ``distance2``: the
+    labels' centroids, one array of the model, meet the rows as a literal of the plan."""
+    rows = sorted((r[label_col], r["centroid"]) for r in model.collect())      # labels x dimensions numbers
+    table = F.array(*[F.struct(F.lit(lab).alias("label"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for lab, c in rows])
+    apart = F.transform(table, lambda m: F.struct(
+        F.aggregate(F.zip_with(vec_col, m["c"], lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda t, x: t + x).alias("d2"),
+        m["label"].alias("label")))
+    return df.withColumn("_best", F.array_min(apart)) \
+        .withColumn("pred_label", F.col("_best.label")).withColumn("distance2", F.col("_best.d2")).drop("_best")

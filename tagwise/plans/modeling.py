@@ -1,5 +1,5 @@
-"""Spark ML training and the Arrow scorer hook (no SQL oracle: iterative training and a
-Python model are not SQL-expressible; metrics are re-derived relationally)."""
+"""Spark ML training (no SQL oracle: iterative training is not SQL-expressible; metrics are
+re-derived relationally) and the nearest-centroid scorer."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from tagwise import taxonomy as tx
 from tagwise.operators import curate as cu
 from tagwise.operators import evaluate as ev
 from tagwise.operators import ml
-from tagwise.operators import ranking
 from tagwise.plans.curation import curated
 from tagwise.plans.registry import query
 from tagwise.sources import tables as tb
@@ -24,7 +23,7 @@ def _fit(spark, d):
     return cur, model, summary
 
 
-@query("mllib_training_summary", covers="M1 M3 M4 P18")
+@query("mllib_training_summary", covers="M1 M4 P18")
 def mllib_training_summary(spark, d):
     _, _, summary = _fit(spark, d)
     return summary
@@ -39,16 +38,15 @@ def mllib_test_report(spark, d):
     return ev.class_report(pred)
 
 
-@query("external_scorer", covers="UDF3")
+@query("external_scorer", covers="UDF3",
+       sql="""WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings),
+c AS (SELECT label, dim, avg(x) AS m FROM x GROUP BY label, dim),
+d AS (SELECT x.vec_id, x.label AS true_label, c.label, sum((x.x - c.m) * (x.x - c.m)) AS d2
+      FROM x JOIN c USING (dim) GROUP BY ALL)
+SELECT vec_id, true_label, label AS pred_label, round(d2, 4) AS distance2
+FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d2, label) = 1""")
 def external_scorer(spark, d):
-    # Seeded 80/20 hash split on the row id (deterministic, so a recomputed task sees the
-    # same rows): fit the centroids on the 80 %, score the rest through the Arrow hook.
+    """Every embedding scored by the centroids of the labels of all of them."""
     emb = tb.table(spark, d, "embeddings")
-    unit = F.conv(F.substring(ranking.hash_order_key("vec_id", tx.SPLIT_SEED), 1, 8), 16, 10).cast("double") / 2.0 ** 32
-    emb = emb.withColumn("_train", unit < tx.TRAIN_FRACTION)
-    labels, load = ml.centroid_model(spark, emb.filter("_train"), "embedding", "label")
-    score = ml.external_scorer(load, len(labels))
-    scored = emb.filter(~F.col("_train")).withColumn("probs", score("embedding"))
-    best = F.array_max(F.arrays_zip(F.col("probs").alias("p"), F.array(*[F.lit(x) for x in labels]).alias("label")))
-    return scored.select("vec_id", F.col("label").alias("true_label"), best["label"].alias("pred_label"),
-                         F.round(best["p"], 4).alias("confidence"))
+    scored = ml.nearest_centroid(emb, ml.centroids(emb, "embedding", "label"), "embedding", "label")
+    return scored.select("vec_id", F.col("label").alias("true_label"), "pred_label", F.round("distance2", 4).alias("distance2"))
