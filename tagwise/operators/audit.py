@@ -125,8 +125,9 @@ def sample_per_label(df: DataFrame, k: int, label_col: str = "label", chars: int
                      seed: int = tx.SPLIT_SEED) -> DataFrame:
     """Up to ``k`` rows per label in seeded hash order (WindowGroupLimit)."""
     w = Window.partitionBy(label_col).orderBy(ranking.hash_order_key("doc_id", seed), "doc_id")
-    return (df.withColumn("sample_rank", F.row_number().over(w)).filter(F.col("sample_rank") <= k)
-              .select(label_col, "doc_id", "sample_rank", F.substring("text", 1, chars).alias("preview")))
+    short = df.select(label_col, "doc_id", F.substring("text", 1, chars).alias("preview"))
+    return short.withColumn("sample_rank", F.row_number().over(w)).filter(F.col("sample_rank") <= k) \
+        .select(label_col, "doc_id", "sample_rank", "preview")
 
 
 def top_labels(df: DataFrame, k: int = 3, group_col: str = "source", label_col: str = "label") -> DataFrame:
@@ -140,8 +141,8 @@ def top_label_samples(df: DataFrame, k: int = 4, group_col: str = "source", labe
                       seed: int = tx.SPLIT_SEED) -> DataFrame:
     """Up to ``k`` examples (80 chars) of each group's most frequent label."""
     top = top_labels(df, 1, group_col, label_col).select(group_col, label_col)
-    rows = df.join(top, [group_col, label_col], "left_semi")
+    short = df.select(group_col, label_col, "doc_id", F.substring("text", 1, tx.PREVIEW_CHARS).alias("preview"))
+    rows = short.join(top, [group_col, label_col], "left_semi")
     w = Window.partitionBy(group_col).orderBy(ranking.hash_order_key("doc_id", seed), "doc_id")
     return (rows.withColumn("sample_rank", F.row_number().over(w)).filter(F.col("sample_rank") <= k)
-                .select(group_col, label_col, "doc_id", "sample_rank",
-                        F.substring("text", 1, tx.PREVIEW_CHARS).alias("preview")))
+                .select(group_col, label_col, "doc_id", "sample_rank", "preview"))

@@ -152,12 +152,13 @@ def _opt_in_changes(calls):
 
 def captured(spark, d):
     calls = _calls(spark, d)
-    at_call = asof.asof_lookup(calls, _opt_in_changes(calls), "user_key", "ts", ["opt_in"],
-                               event_seq="ticket_id")
+    # only the low-confidence calls look up their opt-in, and without their texts
+    low = calls.filter(F.col("confidence") < tx.LOW_CONFIDENCE_CAPTURE) \
+        .select("user_key", "ts", "ticket_id", fx.text_hash("text").alias("text_hash"), "intent", "confidence")
+    at_call = asof.asof_lookup(low, _opt_in_changes(calls), "user_key", "ts", ["opt_in"], event_seq="ticket_id")
     opted = at_call.filter(F.coalesce("opt_in", F.lit(False)))
-    low = opted.filter(F.col("confidence") < tx.LOW_CONFIDENCE_CAPTURE)
-    return low.select(fx.file_key("user_key").alias("file_key"), "user_key", "ticket_id",
-                      fx.text_hash("text").alias("text_hash"), "intent",
+    return opted.select(fx.file_key("user_key").alias("file_key"), "user_key", "ticket_id",
+                      "text_hash", "intent",
                       F.round("confidence", 4).alias("confidence"), "ts")
 
 
