@@ -3,13 +3,12 @@
 The score of a query and a candidate is a sum over *lists*: each list is a slice of the
 dimensions, kept apart from the others, and yields a partial score for every candidate.
 
-1. Every list's tasks send their ``k`` best partial scores a query. Adding a list's least
-   partial score for what is not known bounds candidates from below; the k-th best of these
-   bounds is a safe cutoff tau.
+1. Every list's tasks send their ``k`` best partial scores a query. The few candidates seen
+   in them get their whole scores; the k-th best of these is a safe cutoff tau.
 2. Each list gets its share: its least partial score plus an equal part of what tau leaves
    above the sum of these. A candidate below that in every list is below tau, so sending all
-   entries at or above it misses none that can be among the best. Bounds from above then
-   drop those that cannot reach the new cutoff.
+   entries at or above it misses none that can be among the best. Bounds from above (a list's
+   share for what it did not send) then drop those that cannot reach tau.
 3. What remains gets its exact score from the whole vectors.
 
 Queries and candidates meet in blocks of rows packed as matrices, a task a pair of blocks;
@@ -125,15 +124,22 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, lists: int = LISTS,
     least = sent.where("list < 0").groupBy("query", (-F.col("list") - 1).alias("list")).agg(F.min("score").alias("least"))
     floors = written(least.groupBy("query").agg(F.sum("least").alias("floor"), F.map_from_entries(F.collect_list(F.struct("list", "least"))).alias("least")), "floors")
 
-    def cutoff(entries: DataFrame) -> DataFrame:
-        """query -> the need-th best lower bound (or the floor if there are fewer)."""
-        lower = entries.groupBy("query", "candidate").agg(F.sum(F.col("score") - F.col("least_here")).alias("over"))
-        ranked = lower.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("over")))).where(F.col("r") <= need)
-        return ranked.groupBy("query").agg(F.when(F.count(F.lit(1)) >= need, F.min("over")).otherwise(F.lit(0)).alias("over"))
+    # the best of each list over all blocks, scored exactly: their need-th best is the cutoff
+    place = F.row_number().over(Window.partitionBy("query", "list").orderBy(F.desc("score"), "candidate"))
+    first = sent.where("list >= 0").withColumn("place", place).where(F.col("place") <= need).select("query", "candidate").distinct()
+    mine = groups.select(F.col("id").alias("query"), F.col("vector").alias("q_vector"))
+    theirs = groups.select(F.col("id").alias("candidate"), F.col("vector").alias("c_vector"), "ids")
+    product = F.aggregate(F.zip_with("q_vector", "c_vector", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def whole(pairs: DataFrame) -> DataFrame:
+        return pairs.join(mine, "query").join(theirs, "candidate").select("query", "candidate", product.alias("score"), "ids")
 
-    first = sent.where("list >= 0").join(floors, "query").withColumn("least_here", F.element_at("least", F.col("list")))
-    share = floors.join(cutoff(first), "query").select(
-        "query", F.transform_values("least", lambda _, v: v + F.ceil(F.col("over") / lists)).alias("share"))
+    in_order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "candidate"))
+    tau = whole(first).select("query", "candidate", "score").withColumn("place", in_order).where(F.col("place") <= need) \
+        .groupBy("query").agg(F.when(F.count(F.lit(1)) >= need, F.min("score")).alias("tau"))
+    share = written(floors.join(tau, "query").select(
+        "query", "least", F.greatest(F.coalesce(F.col("tau") - F.col("floor"), F.lit(0)), F.lit(0)).alias("over"))
+        .withColumn("share", F.transform_values("least", lambda _, v: v + F.ceil(F.col("over") / lists))), "cutoffs")
 
     # phase 2: the shares go back to the blocks, one array a block of queries
     by_block = q.select("q_block", "q_ids").distinct()
@@ -151,19 +157,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, lists: int = LISTS,
                     yield _columns(qs[a], cs[b], np.full(len(a), row["list"]), s[a, b])
 
     entries = written(asked_pairs.mapInArrow(enough, _ENTRY), "above-share")
-    known = entries.join(floors, "query").withColumn("least_here", F.element_at("least", F.col("list")))
-    tau = cutoff(known)
-    limit = share.join(tau, "query").join(floors.select("query", "least"), "query")
     seen = entries.groupBy("query", "candidate").agg(F.map_from_entries(F.collect_list(F.struct("list", "score"))).alias("seen"))
     above = F.aggregate(F.sequence(F.lit(0), F.lit(lists - 1)), F.lit(0).cast("long"), lambda a, i: a + F.coalesce(
         F.try_element_at("seen", i), F.element_at("share", i)) - F.element_at("least", i))
-    left = seen.join(limit, "query").where(above >= F.col("over")).select("query", "candidate")
+    left = seen.join(share, "query").where(above >= F.col("over")).select("query", "candidate")
 
     # phase 3: exact scores of what is left
-    mine = groups.select(F.col("id").alias("query"), F.col("vector").alias("q_vector"))
-    theirs = groups.select(F.col("id").alias("candidate"), F.col("vector").alias("c_vector"), "ids")
-    product = F.aggregate(F.zip_with("q_vector", "c_vector", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x)
-    scored = left.join(mine, "query").join(theirs, "candidate").select("query", product.alias("score"), "ids")
+    scored = whole(left)
     top = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     flat = scored.select("query", "score", F.explode("ids").alias("vec_id")) \
         .withColumn("r", F.row_number().over(top)).where(F.col("r") <= need).drop("r")
