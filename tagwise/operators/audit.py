@@ -52,7 +52,7 @@ def split_overlap(df: DataFrame, key: F.Column) -> DataFrame:
 
 def test_rows_in_train(df: DataFrame) -> DataFrame:
     """Test rows (not distinct) whose exact text is also in train."""
-    per_key = df.groupBy(F.md5("text").alias("_h")).agg(
+    per_key = df.groupBy(F.unhex(F.md5("text")).alias("_h")).agg(
         F.bit_or(split_bit()).alias("_m"),
         F.count_if(F.col("split") == "test").alias("_t"))
     return per_key.agg(
@@ -66,8 +66,8 @@ def near_exact(df: DataFrame) -> DataFrame:
     """Train ∩ test after case/whitespace folding, next to the exact count."""
     tt = df.filter(F.col("split").isin("train", "test"))
     keys = tt.select(F.explode(F.array(
-        F.struct(F.lit("exact").alias("kind"), F.md5("text").alias("_h")),
-        F.struct(F.lit("folded").alias("kind"), F.md5(fx.fold("text")).alias("_h")))).alias("k"),
+        F.struct(F.lit("exact").alias("kind"), F.unhex(F.md5("text")).alias("_h")),
+        F.struct(F.lit("folded").alias("kind"), F.unhex(F.md5(fx.fold("text"))).alias("_h")))).alias("k"),
         split_bit().alias("_bit")).select("k.kind", "k._h", "_bit")
     per_key = keys.groupBy("kind", "_h").agg(F.bit_or("_bit").alias("_m"))
     return per_key.agg(
@@ -88,7 +88,7 @@ def near_exact_examples(df: DataFrame, n: int = 3) -> DataFrame:
 def unique_ratio(df: DataFrame, group_col: str = "source") -> DataFrame:
     """distinct/total non-null texts per group (exact distinct on md5 keys)."""
     t = df.filter(F.col("text").isNotNull())
-    per = t.groupBy(group_col, F.md5("text").alias("_h")).agg(F.count(F.lit(1)).alias("_c"))
+    per = t.groupBy(group_col, F.unhex(F.md5("text")).alias("_h")).agg(F.count(F.lit(1)).alias("_c"))
     return per.groupBy(group_col).agg(
         F.count(F.lit(1)).alias("unique_texts"), F.sum("_c").cast("bigint").alias("total_texts")
     ).withColumn("unique_ratio", F.round(F.col("unique_texts") / F.col("total_texts"), 4))

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tagwise import taxonomy as tx
 from tagwise.functions import payload as pl
-from tagwise.functions import text as fx
 from tagwise.operators import curate as cu
 from tagwise.operators import naive_bayes as nb
 
@@ -103,16 +102,6 @@ def route(tagged: DataFrame) -> DataFrame:
                               (F.col("confidence") >= tx.AUTO_REPLY_MIN_CONFIDENCE)))
 
 
-def classification_log_rows(tagged: DataFrame, with_preview: bool = False) -> DataFrame:
-    """S12 / ST3 rows: ``account_id, ticket_id, text_hash, intent, confidence, success``.
-    The 80-char preview of the reference is opt-in; the default stores only a hash."""
-    cols = [F.col("account_id"), F.col("ticket_id"), fx.text_hash("text").alias("text_hash"),
-            F.col("intent"), F.col("confidence"), F.lit(True).alias("success")]
-    if with_preview:
-        cols.append(fx.truncate("text", tx.PREVIEW_CHARS).alias("text_preview"))
-    return tagged.select(*cols)
-
-
 def webhook_counters(log: DataFrame) -> DataFrame:
     """Per account total classified, errors (success = false), last processed."""
     return log.groupBy("account_id").agg(

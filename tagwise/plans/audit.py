@@ -45,13 +45,13 @@ SELECT split_a, split_b, shared, CASE WHEN shared = 0 THEN 'CLEAN' ELSE 'LEAKAGE
 @query("rawsplit_leakage", covers="J9 U2",
        sql=f"WITH {SQL_RAWSPLIT},\n{_sql_overlap('rs', 'md5(text)')}")
 def rawsplit_leakage(spark, d):
-    return au.split_overlap(rawsplit(spark, d), F.md5("text"))
+    return au.split_overlap(rawsplit(spark, d), F.unhex(F.md5("text")))
 
 
 @query("curated_split_leakage", covers="U2 J9",
        sql=f"WITH {SQL_BASE},\n{_sql_overlap('curated', 'md5(text)')}")
 def curated_split_leakage(spark, d):
-    return au.split_overlap(curated(spark, d), F.md5("text"))
+    return au.split_overlap(curated(spark, d), F.unhex(F.md5("text")))
 
 
 @query("test_rows_in_train", covers="J10",

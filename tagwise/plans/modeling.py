@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tagwise import taxonomy as tx
 from tagwise.operators import curate as cu
 from tagwise.operators import evaluate as ev
 from tagwise.operators import ml

@@ -55,7 +55,7 @@ def tagged_tickets(spark, d):
     parsed, _ = rt.parse_events(tb.ticket_payloads(spark, d))
     known = rt.known_accounts(rt.customer_messages(parsed), tb.installed_accounts(spark, d))
     ready = rt.usable(rt.with_settings(known, tb.account_settings(spark, d)))
-    ready = ready.withColumn("msg_id", F.col("conv_id") * 100 + F.col("turn")) \
+    ready = ready.withColumn("msg_id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))) \
         .withColumn("text_hash", fx.text_hash("text"))
     return rt.score_and_tag(ready, scoring.nb_model(spark, d), "msg_id", None,
                             keep=["conv_id", "turn", "account_id", "ticket_id", "text_hash"])
@@ -63,7 +63,7 @@ def tagged_tickets(spark, d):
 
 SQL_TAGGED = f"""{SQL_PARSED},
 sett AS ({tb.SQL_ACCOUNT_SETTINGS}),
-ready AS (SELECT p.conv_id * 100 + p.turn AS msg_id, p.*, coalesce(s.confidence_threshold, 0.70::DOUBLE) AS threshold,
+ready AS (SELECT p.conv_id::VARCHAR || ':' || p.turn::VARCHAR AS msg_id, p.*, coalesce(s.confidence_threshold, 0.70::DOUBLE) AS threshold,
                  s.enabled_intents
           FROM parsed p LEFT JOIN sett s ON s.account_id = p.account_id
           WHERE NOT p.from_agent AND p.account_id IN (SELECT c_custkey FROM customer)

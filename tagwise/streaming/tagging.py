@@ -36,7 +36,7 @@ def tag_batch(batch: DataFrame, model: nb.NaiveBayesModel, installed: DataFrame,
     parsed, quarantine = rt.parse_events(batch)
     known = rt.known_accounts(rt.customer_messages(parsed), installed)
     ready = rt.usable(rt.with_settings(known, settings))
-    ready = ready.withColumn("msg_id", F.col("conv_id") * 100 + F.col("turn")) \
+    ready = ready.withColumn("msg_id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))) \
         .withColumn("text_hash", fx.text_hash("text"))
     tagged = rt.score_and_tag(ready, model, "msg_id", class_to_intent,
                               keep=["conv_id", "turn", "account_id", "ticket_id", "text_hash"])
