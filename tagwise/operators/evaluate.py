@@ -145,11 +145,20 @@ def ranked_scores(scored: DataFrame, id_col: str) -> DataFrame:
                      (-F.col("s.neg")).alias("score"))
 
 
-def final_results(summary_df: DataFrame, latency_df: DataFrame) -> DataFrame:
-    """M5: the final results as ``(metric, value)`` rows (union, no join)."""
+def release_targets(spark: SparkSession, summary_df: DataFrame, latency_df: DataFrame) -> DataFrame:
+    """``metric, value, target, passed`` for each published release target."""
+    values = summary_df.selectExpr("stack(3, 'accuracy', accuracy, 'f1_weighted', f1_weighted, 'worst_f1', worst_f1) AS (metric, value)") \
+        .unionByName(latency_df.select(F.lit("p95_ms").alias("metric"), F.col("p95_ms").alias("value")))
+    targets = spark.createDataFrame(tx.RELEASE_TARGETS, "metric string, target double, at_most boolean")
+    met = F.when(F.col("at_most"), F.col("value") <= F.col("target")).otherwise(F.col("value") >= F.col("target"))
+    return values.join(targets, "metric").select("metric", "value", "target", met.alias("passed"))
+
+
+def final_results(summary_df: DataFrame, latency_df: DataFrame, report_df: DataFrame) -> DataFrame:
+    """M5: the final results and each class's F1 as ``(metric, value)`` rows (union, no join)."""
     a = summary_df.selectExpr("stack(3, 'test_accuracy', accuracy, 'f1_weighted', f1_weighted, "
                               "'f1_macro', f1_macro) AS (metric, value)")
     b = latency_df.selectExpr("stack(5, 'p50_ms', p50_ms, 'p95_ms', p95_ms, 'p99_ms', p99_ms, "
                               "'mean_ms', mean_ms, 'cost_per_1k_calls_usd', cost_per_1k_calls_usd) "
                               "AS (metric, value)")
-    return a.unionByName(b)
+    return a.unionByName(b).unionByName(report_df.select(F.concat(F.lit("f1_"), "label").alias("metric"), F.col("f1").alias("value")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,16 +14,18 @@ from tagwise.functions import text as fx
 
 def plans_df(spark: SparkSession) -> DataFrame:
     schema = T.StructType([T.StructField("plan", T.StringType()), T.StructField("monthly_price", T.DoubleType()),
-                           T.StructField("quota", T.LongType()), T.StructField("overage_price", T.DoubleType())])
-    return spark.createDataFrame(tx.PLAN_QUOTAS, schema)
+                           T.StructField("quota", T.LongType()), T.StructField("overage_price", T.DecimalType(18, 6))])
+    rows = [(p, m, q, None if o is None else Decimal(str(o))) for p, m, q, o in tx.PLAN_QUOTAS]
+    return spark.createDataFrame(rows, schema)
 
 
 def monthly_usage(spark: SparkSession, log: DataFrame, plan_state: DataFrame) -> DataFrame:
-    """Calls per account per month against the plan quota; overage priced per call.
+    """Calls per account per month (``units`` of each logged request) against the plan
+    quota; overage priced per call in decimal.
     Accounts without a billing record are on ``free``. Metering is not enforced by the
     reference; this is the report its pricing table implies."""
     calls = log.groupBy("account_id", F.date_trunc("month", "ts").alias("month")).agg(
-        F.count(F.lit(1)).alias("calls"))
+        F.sum("units").cast("bigint").alias("calls"))
     plans = plan_state.select("account_id", "plan")
     out = (calls.join(plans, "account_id", "left")
                 .withColumn("plan", F.coalesce("plan", F.lit("free")))
@@ -29,7 +33,7 @@ def monthly_usage(spark: SparkSession, log: DataFrame, plan_state: DataFrame) ->
     over = F.when(F.col("quota").isNull(), F.lit(0)).otherwise(F.greatest(F.col("calls") - F.col("quota"), F.lit(0)))
     return out.select("account_id", "month", "plan", "calls", "quota",
                       over.cast("bigint").alias("over_quota_calls"),
-                      F.round(over * F.coalesce("overage_price", F.lit(0.0)), 6).alias("overage_usd"))
+                      (over.cast("decimal(18,0)") * F.coalesce("overage_price", F.lit(0).cast("decimal(18,6)"))).alias("overage_usd"))
 
 
 def weekly_volume(log: DataFrame) -> DataFrame:

@@ -65,21 +65,25 @@ def customer_account_lookup(spark, d):
 
 # --- usage / volume --------------------------------------------------------------------
 
+# A logged request stands for a batch of 1 to 1,951 texts, so quotas are reached.
+SQL_UNITS = "1 + ticket_id % 40 * 50"
 SQL_PLANS = tx.sql_values(tx.PLAN_QUOTAS, ["plan", "monthly_price", "quota", "overage_price"])
 
 
 @query("monthly_usage", covers="A24",
        sql=f"""WITH {SQL_BILLING}, log AS ({tb.SQL_CLASSIFICATION_LOG}),
-calls AS (SELECT account_id, date_trunc('month', ts) AS month, count(*) AS calls FROM log GROUP BY ALL),
+calls AS (SELECT account_id, date_trunc('month', ts) AS month, sum({SQL_UNITS})::BIGINT AS calls FROM log GROUP BY ALL),
 j AS (SELECT c.*, coalesce(s.plan, 'free') AS plan FROM calls c LEFT JOIN state s ON s.account_id = c.account_id),
-k AS (SELECT j.*, CAST(p.quota AS BIGINT) AS quota, CAST(p.overage_price AS DOUBLE) AS overage_price
+k AS (SELECT j.*, CAST(p.quota AS BIGINT) AS quota, CAST(p.overage_price AS DECIMAL(18, 6)) AS overage_price
       FROM j LEFT JOIN (SELECT * FROM {SQL_PLANS}) p ON p.plan = j.plan)
 SELECT account_id, month, plan, calls, quota,
        CAST(CASE WHEN quota IS NULL THEN 0 ELSE greatest(calls - quota, 0) END AS BIGINT) AS over_quota_calls,
-       round(CASE WHEN quota IS NULL THEN 0 ELSE greatest(calls - quota, 0) END * coalesce(overage_price, 0.0), 6)
-         AS overage_usd FROM k""")
+       (CAST(CASE WHEN quota IS NULL THEN 0 ELSE greatest(calls - quota, 0) END AS DECIMAL(18, 0))
+        * coalesce(overage_price, CAST(0 AS DECIMAL(18, 6))))::DOUBLE AS overage_usd FROM k""")
 def monthly_usage(spark, d):
-    return us.monthly_usage(spark, tb.classification_log(spark, d), bl.plan_state(tb.billing_events(spark, d)))
+    log = tb.classification_log(spark, d).withColumn("units", 1 + F.col("ticket_id") % 40 * 50)
+    usage = us.monthly_usage(spark, log, bl.plan_state(tb.billing_events(spark, d)))
+    return usage.withColumn("overage_usd", F.col("overage_usd").cast("double"))     # computed in decimal
 
 
 @query("weekly_intent_volume", covers="A25 ST7",

@@ -13,14 +13,28 @@ from tagwise.operators import evaluate as ev
 from tagwise.operators import naive_bayes as nb
 from tagwise.plans.curation import SQL_BASE, curated
 from tagwise.plans.registry import query
+from tagwise.session import materialize as write_once
 from tagwise.session import shared_table
 from tagwise.sources import tables as tb
 
 
+def given_label(doc_id, label, label_id):
+    """The label that the scored fixture gives a document: every fourth one carries one of the
+    eight other labels instead of its own, so a model of the texts is wrong about some."""
+    labels = F.array(*[F.lit(x) for x in tx.LABELS])
+    turned = (label_id + 1 + F.floor(doc_id / 4) % 8) % len(tx.LABELS)
+    return F.when(doc_id % 4 == 0, F.get(labels, turned.cast("int"))).otherwise(label)
+
+
+SQL_GIVEN_LABEL = ("CASE WHEN doc_id % 4 = 0 THEN [" + ", ".join(f"'{x}'" for x in tx.LABELS)
+                   + f"][1 + ((label_id + 1 + (doc_id // 4) % 8) % {len(tx.LABELS)})::INTEGER] ELSE label END")
+
+
 def nb_docs(spark, d):
     """The curated corpus, tokenised: written once for an application and input."""
     return shared_table(spark, "nb-docs", d, lambda: curated(spark, d).select(
-        "doc_id", "label", "split", nb.tokens("text").alias("tokens")))
+        "doc_id", given_label(F.col("doc_id"), F.col("label"), F.col("label_id")).alias("label"), "split",
+        nb.tokens("text").alias("tokens")))
 
 
 def nb_model(spark, d):
@@ -42,7 +56,7 @@ def predictions(spark, d):
 
 
 SQL_NB_TRAIN = f"""{SQL_BASE},
-docs AS (SELECT doc_id, label, split, {fx.sql_letter_tokens('text')} AS toks FROM curated),
+docs AS (SELECT doc_id, {SQL_GIVEN_LABEL} AS label, split, {fx.sql_letter_tokens('text')} AS toks FROM curated),
 train AS (SELECT label, toks FROM docs WHERE split = 'train')"""
 
 SQL_NB_DOCS = f"""{SQL_NB_TRAIN},
@@ -212,6 +226,21 @@ s AS (SELECT round(sum(tp) / sum(support), 4) AS accuracy, round(sum(f * support
 SELECT 'test_accuracy' AS metric, accuracy AS value FROM s UNION ALL SELECT 'f1_weighted', f1_weighted FROM s
 UNION ALL SELECT 'f1_macro', f1_macro FROM s UNION ALL SELECT 'p50_ms', p50_ms FROM latr
 UNION ALL SELECT 'p95_ms', p95_ms FROM latr UNION ALL SELECT 'p99_ms', p99_ms FROM latr
-UNION ALL SELECT 'mean_ms', mean_ms FROM latr UNION ALL SELECT 'cost_per_1k_calls_usd', cost_per_1k_calls_usd FROM latr""")
+UNION ALL SELECT 'mean_ms', mean_ms FROM latr UNION ALL SELECT 'cost_per_1k_calls_usd', cost_per_1k_calls_usd FROM latr
+UNION ALL SELECT 'f1_' || label, round(f, 4) FROM rep""")
 def final_results_q(spark, d):
-    return ev.final_results(ev.summary(predictions(spark, d)), ev.latency_report(tb.classification_log(spark, d)))
+    pred = write_once(predictions(spark, d).select("y_true", "y_pred"), "predictions")
+    return ev.final_results(ev.summary(pred), ev.latency_report(tb.classification_log(spark, d)), ev.class_report(pred))
+
+
+@query("release_targets", covers="P18",
+       sql=f"""WITH {SQL_REPORT}, {SQL_LATENCY},
+m AS (SELECT 'accuracy' AS metric, round(sum(tp) / sum(support), 4) AS value FROM rep
+      UNION ALL SELECT 'f1_weighted', round(sum(f * support) / sum(support), 4) FROM rep
+      UNION ALL SELECT 'worst_f1', round(min(f), 4) FROM rep
+      UNION ALL SELECT 'p95_ms', p95_ms FROM latr)
+SELECT metric, value, CAST(target AS DOUBLE) AS target,
+       CASE WHEN at_most THEN value <= target ELSE value >= target END AS passed
+FROM m JOIN {tx.sql_values(tx.RELEASE_TARGETS, ['metric', 'target', 'at_most'])} USING (metric)""")
+def release_targets_q(spark, d):
+    return ev.release_targets(spark, ev.summary(predictions(spark, d)), ev.latency_report(tb.classification_log(spark, d)))

@@ -88,10 +88,11 @@ def test_full_parity(spark):
 
 def test_nb3_fixture_numbers(spark):
     """The NB3 fixture numbers that both engines agree on at sf0.01: whole texts, fitted
-    on the curated train split, scored on the 35-row curated test split."""
+    on the curated train split, scored on the 35-row curated test split, a quarter of whose
+    labels are not those of the texts."""
     from tagwise.plans import QUERIES
     r = QUERIES["nb_accuracy"](spark, SF_CHECK).first()
-    assert (r["n"], r["accuracy"], r["min_confidence"], r["below_070"], r["below_075"]) == (35, 1.0, 1.0, 0, 0)
+    assert (r["n"], r["accuracy"], r["min_confidence"], r["below_070"], r["below_075"]) == (35, 0.8286, 0.9977, 0, 0)
 
 
 def test_rawsplit_leakage_numbers(spark):
