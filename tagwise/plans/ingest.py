@@ -139,11 +139,12 @@ def classification_log_append(spark, d):
 
 
 @query("capture_log_partitioned", covers="S13 U4",
-       sql=f"""WITH {routing.SQL_CAPTURED}
-SELECT file_key, count(*) AS n FROM cap GROUP BY file_key""")
+       sql=f"""WITH {routing.SQL_CAPTURED}, {routing.SQL_REQUESTS}
+SELECT file_key, count(*) AS n FROM cap WHERE file_key NOT IN (SELECT file_key FROM req) GROUP BY file_key""")
 def capture_log_partitioned(spark, d):
     path = scratch_path(spark, "optin-logs")
     from tagwise.operators import privacy as pv
     pv.write_capture_log(routing.captured(spark, d), path)
+    pv.erase_from_log(spark, path, routing._erasure_requests(spark, d))
     back = spark.read.parquet(path)
     return back.groupBy("file_key").agg(F.count(F.lit(1)).alias("n"))

@@ -78,11 +78,18 @@ def stream_intent_windows(spark, d):
 @query("stream_rate_audit", covers="ST5 ST10",
        sql=f"""WITH log AS ({tb.SQL_CLASSIFICATION_LOG}),
 wm AS (SELECT max(ts) - INTERVAL 10 SECOND AS wm FROM log),
-g AS (SELECT account_id, date_trunc('second', ts) AS second, count(*) AS n FROM log GROUP BY ALL)
-SELECT g.* FROM g, wm WHERE g.second + INTERVAL 1 SECOND <= wm.wm""")
+g AS (SELECT account_id AS client_key, CASE WHEN event_type = 'purchase' THEN 'classify_batch' ELSE 'classify' END AS endpoint,
+             date_trunc('second', ts) AS second, sum(1 + ticket_id % 40 * 5)::BIGINT AS n FROM log GROUP BY ALL),
+h AS (SELECT *, CASE endpoint WHEN 'classify' THEN 100 ELSE 20 END AS rate_limit FROM g)
+SELECT h.*, n > rate_limit AS exceeded FROM h, wm WHERE h.second + INTERVAL 1 SECOND <= wm.wm""")
 def stream_rate_audit(spark, d):
     out = scratch_path(spark, "rate-audit")
-    swin.start_rate_audit(spark, _log_stream(spark, d, "log-rate"), out)
+    log = tb.classification_log(spark, d)
+    # a logged row stands for up to 196 calls of its second, so both limits are passed
+    calls = log.select("ts", F.col("account_id").alias("client_key"),
+                       F.when(F.col("event_type") == "purchase", "classify_batch").otherwise("classify").alias("endpoint"),
+                       (1 + F.col("ticket_id") % 40 * 5).alias("calls"))
+    swin.start_rate_audit(spark, _log_stream(spark, d, "log-rate", calls), out)
     return spark.read.parquet(out)
 
 

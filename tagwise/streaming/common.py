@@ -47,15 +47,16 @@ def idempotent_writer(path: str, transform: Callable[[DataFrame, int], DataFrame
     return write
 
 
-def run_available_now(writer, name: str, spark: SparkSession) -> str:
+def run_available_now(writer, name: str, spark: SparkSession) -> int:
     """Start ``writer`` (a DataStreamWriter) with an availableNow trigger and a fresh
-    checkpoint; block until all available input is processed."""
+    checkpoint; block until all available input is processed. Returns how many rows came behind
+    the watermark and were dropped (ST10)."""
     ckpt = scratch_path(spark, f"ckpt-{name}")
     q = writer.option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return ckpt
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in q.recentProgress for s in p["stateOperators"])
 
 
 def latest_per_key(df: DataFrame, key: str, order: str = "batch_id") -> DataFrame:

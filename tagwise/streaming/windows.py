@@ -3,7 +3,8 @@
 * ST7 intent volume: tumbling windows per intent, ``append`` mode — a window is written
   once, when the watermark (max event time - delay) passes its end; later data for it
   is late and dropped (the delay is the job's lateness parameter).
-* ST5 rate audit: per-caller counts in 1-second windows, same mechanics.
+* ST5 rate audit: calls per client key and endpoint in 1-second windows against the endpoint's
+  limit, same mechanics.
 * ST8 replay protection: ``dropDuplicatesWithinWatermark(event id)`` so a redelivered
   event is counted once (the reference counts it twice; the job makes it explicit).
 """
@@ -13,32 +14,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagwise import taxonomy as tx
 from tagwise.streaming import common
 
 
 def start_intent_windows(spark: SparkSession, log_stream: DataFrame, out_path: str,
-                         window: str = "1 day", delay: str = "1 hour") -> None:
+                         window: str = "1 day", delay: str = "1 hour") -> int:
     agg = (log_stream.withWatermark("ts", delay)
            .groupBy(F.window("ts", window).alias("w"), "intent")
            .agg(F.count(F.lit(1)).alias("n"))
            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "intent", "n"))
     writer = agg.writeStream.outputMode("append").format("parquet").option("path", out_path)
-    common.run_available_now(writer, "intent-windows", spark)
+    return common.run_available_now(writer, "intent-windows", spark)
 
 
-def start_rate_audit(spark: SparkSession, log_stream: DataFrame, out_path: str, delay: str = "10 seconds") -> None:
+def start_rate_audit(spark: SparkSession, log_stream: DataFrame, out_path: str, delay: str = "10 seconds") -> int:
+    """``log_stream``: ``ts, client_key, endpoint, calls``. Every closed window of a client and
+    endpoint, flagged where it has more calls than the endpoint allows a second."""
+    limit = F.create_map(*[F.lit(x) for kv in tx.RATE_LIMITS.items() for x in kv])[F.col("endpoint")]
     agg = (log_stream.withWatermark("ts", delay)
-           .groupBy(F.window("ts", "1 second").alias("w"), "account_id")
-           .agg(F.count(F.lit(1)).alias("n"))
-           .select("account_id", F.col("w.start").alias("second"), "n"))
+           .groupBy(F.window("ts", "1 second").alias("w"), "client_key", "endpoint")
+           .agg(F.sum("calls").alias("n"))
+           .select("client_key", "endpoint", F.col("w.start").alias("second"), "n", limit.alias("rate_limit"))
+           .withColumn("exceeded", F.col("n") > F.col("rate_limit")))
     writer = agg.writeStream.outputMode("append").format("parquet").option("path", out_path)
-    common.run_available_now(writer, "rate-audit", spark)
+    return common.run_available_now(writer, "rate-audit", spark)
 
 
 def start_dedup_counts(spark: SparkSession, log_stream: DataFrame, out_path: str,
-                       delay: str = "1 hour") -> None:
+                       delay: str = "1 hour") -> int:
     """Counts per account after dropping redeliveries of the same ticket id."""
     dedup = log_stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["ticket_id"])
     writer = dedup.select("account_id", "ticket_id", "ts").writeStream.outputMode("append") \
         .format("parquet").option("path", out_path)
-    common.run_available_now(writer, "dedup", spark)
+    return common.run_available_now(writer, "dedup", spark)

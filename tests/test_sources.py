@@ -96,3 +96,30 @@ def test_nearest_centroid(spark):
     df = spark.createDataFrame(rows, "vec_id int, v array<float>, label int")
     got = {r.vec_id: (r.pred_label, r.distance2) for r in ml.nearest_centroid(df, ml.centroids(df, "v", "label"), "v", "label").collect()}
     assert got == {1: (0, 1.0), 2: (0, 1.0), 3: (1, 6.3125), 4: (1, 6.3125)}
+
+
+def test_erasure_touches_only_its_buckets(spark, tmp_path):
+    from tagwise.operators import privacy as pv
+    path = f"{tmp_path}/log"
+    pv.write_capture_log(spark.createDataFrame([(f"k{i % 40}", i) for i in range(200)], "file_key string, n int"), path)
+    before = {(f, os.path.getmtime(os.path.join(d, f))) for d, _, fs in os.walk(path) for f in fs if f.endswith("parquet")}
+    touched = pv.erase_from_log(spark, path, spark.createDataFrame([("k3",), ("k7",), ("absent",)], "file_key string"))
+    left = spark.read.parquet(path)
+    assert {r.file_key for r in left.collect()} == {f"k{i}" for i in range(40)} - {"k3", "k7"} and left.count() == 190
+    after = {(f, os.path.getmtime(os.path.join(d, f))) for d, _, fs in os.walk(path) for f in fs if f.endswith("parquet")}
+    assert 1 <= len(touched) <= 3 and len(before - after) <= 3
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    """A row behind the watermark is dropped and counted."""
+    from tagwise.streaming import common, windows
+    rows = [(f"2024-01-0{d} 10:00:00", "WISMO") for d in (1, 2, 5, 6)]
+    frames = [spark.createDataFrame([r], "t string, intent string").select(F.to_timestamp("t").alias("ts"), "intent") for r in rows + rows[:1]]
+    for i, f in enumerate(frames):
+        f.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for name in os.listdir(f"{tmp_path}/in"):
+            if name.startswith("part-") and os.path.getmtime(f"{tmp_path}/in/{name}") > 1e9 + 100:
+                os.utime(f"{tmp_path}/in/{name}", (1e9 + i, 1e9 + i))
+    stream = common.file_stream(spark, f"{tmp_path}/in", frames[0].schema)
+    assert windows.start_intent_windows(spark, stream, f"{tmp_path}/out") == 1
+    assert spark.read.parquet(f"{tmp_path}/out").agg(F.sum("n")).first()[0] == 3
