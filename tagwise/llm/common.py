@@ -22,6 +22,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
+def slices(batch, rows: int = 500):
+    """The batch in slices of so many rows: only one slice at a time is copied to Python."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def id_residue(col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus`` (null for a null id)."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % modulus

@@ -17,8 +17,8 @@ of all contexts are one product of two matrices; every probability is normalised
 The corpus is packed once into blocks of token numbers with the block's vocabulary. Counts
 are merged in ranges of token hashes, each of bounded size, and go back to the blocks, so
 rare tokens are known exactly however many there are. Training passes over all training
-tokens: each block starts from weights warmed up on a bounded sample (``WARM_TOKENS``), and
-the blocks' weights are averaged by their tokens in a reduction tree.
+tokens: each task starts from weights warmed up on a bounded sample (``WARM_TOKENS``), and
+the tasks' weights are averaged by their tokens in a reduction tree.
 """
 
 from __future__ import annotations
@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagwise.llm.common import written
+from tagwise.llm.common import slices, written
 
 FREQUENT, CLASSES, WIDTH = 768, 256, 32
 NOISE, STEP, RATE = 64, 2048, 0.08
 WARM_TOKENS, WARM_BLOCKS = 800_000, 4    # tokens visited by the warm-up, more than once if there are fewer
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_000_000
 RANGE_TOKENS = 2_000_000           # entries of block vocabularies merged by a task
 FAN_IN = 32
 PIECE = 1 << 22                    # bytes hashed at once
@@ -115,7 +115,7 @@ def pack(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_
                 "classes": np.concatenate([c for _, c in found])[where].tobytes(), "trained": trained.tobytes(),
                 "tokens": tokens.astype("<u4").tobytes(), "n_vocab": len(vocab), "n_train": int(trained.sum())}], _PACKED_ARROW)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for d, h, t in zip(*[c.to_pylist() for c in batch.columns]):
                 ids.append(d)
                 held.append(h)
@@ -141,7 +141,7 @@ def merged_counts(packed: DataFrame) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limits = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 vocab = np.frombuffer(row["vocab"], np.uint64)
                 cuts = [0, *np.searchsorted(vocab, limits), len(vocab)]
                 yield pa.RecordBatch.from_pylist([
@@ -322,35 +322,41 @@ def _sequence(row: dict, names: Symbols) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def fit(packed: DataFrame, names: Symbols) -> LogBilinear:
     """The model after a warm-up, WARM_TOKENS visits to the training tokens of WARM_BLOCKS
-    blocks, and one pass over all blocks, averaged by their training tokens."""
+    blocks, and one pass over all blocks. A task goes through its blocks in turn; the tasks'
+    weights are averaged by their training tokens."""
     model = LogBilinear.start(names.counts)
     if not names.total:
         return model
-    sample = packed.where("n_train > 0").select("block", "n_vocab", "held", "lengths", "vocab", "classes", "tokens")
+    blocks = packed.where("n_train > 0").select("block", "held", "lengths", "vocab", "classes", "tokens")
+    some = [r["block"] for r in packed.where("n_train > 0").select("block").orderBy(F.xxhash64("block")).limit(WARM_BLOCKS).collect()]
 
     def learn(visits: int | None, begin: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, memory, n, first = LogBilinear(names.n, begin.copy()), None, 0, None
             for batch in batches:
-                for row in batch.to_pylist():
+                for row in _rows(batch):
                     target, one, two, _, use = _sequence(row, names)
                     target, one, two = target[use][:visits], one[use][:visits], two[use][:visits]
-                    own = LogBilinear(names.n, begin.copy())
-                    seed = row["block"] % (1 << 31)
-                    memory = None
+                    n, first, seed = n + len(target), row["block"] if first is None else first, row["block"] % (1 << 31)
                     for again in range(-(-visits // len(target)) if visits else 1):
                         order = np.random.Generator(np.random.PCG64([seed, again])).permutation(-(-len(target) // STEP))
                         mixed = (order[:, None] * STEP + np.arange(STEP)).ravel()
                         mixed = mixed[mixed < len(target)]
                         memory = own.train(one[mixed], two[mixed], target[mixed], names.counts, seed + again, memory)
-                    n = float(len(target))
-                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([n]), pa.array([(own.flat * np.float64(n)).astype("<f8").tobytes()], pa.binary())],
-                                                     names=["block", "n", "weights"])
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([float(n)]), pa.array([(own.flat * np.float64(n)).astype("<f8").tobytes()], pa.binary())],
+                                                 names=["block", "n", "weights"])
         return run
 
     schema = "block long, n double, weights binary"
-    few = sample.orderBy(F.xxhash64("block")).limit(WARM_BLOCKS)
-    warm = _averaged(few.mapInArrow(learn(WARM_TOKENS // WARM_BLOCKS, model.flat), schema), names.n)
-    return _averaged(sample.mapInArrow(learn(None, warm.flat), schema), names.n)
+    warm = _averaged(blocks.where(F.col("block").isin(some)).mapInArrow(learn(WARM_TOKENS // WARM_BLOCKS, model.flat), schema), names.n)
+    return _averaged(blocks.mapInArrow(learn(None, warm.flat), schema), names.n)
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One row at a time: a block is large, so not all of a batch are copied at once."""
+    for part in slices(batch, 1):
+        yield part.to_pylist()[0]
 
 
 def _averaged(weights: DataFrame, n: int) -> LogBilinear:
@@ -386,7 +392,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
         first, second, sums, names = tables.value
         total, distinct = names.total, names.distinct
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 known = np.concatenate([np.frombuffer(x["data"], "<u8") for x in row["known"]]).astype(np.float64)
                 vocab, classes = np.frombuffer(row["vocab"], np.uint64), np.frombuffer(row["classes"], np.uint16)
                 tokens = np.frombuffer(row["tokens"], "<u4")
