@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagwise.llm.common import written
+from tagwise.llm.common import slices, written
 
 WINDOW = 10
 SEGMENT_WORDS = 1 << 20
@@ -63,7 +63,7 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         from pyspark import TaskContext
         number = TaskContext.get().partitionId() << 32
         ids, lengths, tokens = [], [], []
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = words(t)
                 if tokens and len(tokens) + len(found) > SEGMENT_WORDS or len(ids) >= SEGMENT_WORDS:
@@ -167,7 +167,7 @@ def _search(index: DataFrame, items: DataFrame, text: str, key: str, size: int,
         coded = [(np.array([numbers[t] for t in w]), owners) for w, owners in windows.items()]
 
         def search(batches: Iterator[pa.RecordBatch], terms=terms, coded=coded) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, 1)):
                 for row in batch.to_pylist():
                     segment = Segment(row)
                     local = segment.lookup(terms)

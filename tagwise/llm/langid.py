@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagwise.llm.common import slices
+
 PROFILE = 400
 UNKNOWN = "und"
 STRETCH = 1 << 20                  # characters, and n-grams, counted at once
@@ -144,7 +146,7 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", size: int =
             return pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())],
                                               names=["label", "gram", "n"])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for found in ngrams(t):
                     fresh.setdefault(name, []).append(found)
