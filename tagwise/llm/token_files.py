@@ -37,8 +37,8 @@ END_ID = 2
 SAMPLE = 256                      # ones between two sampled positions of a bit vector
 MAGIC = b"TWIDS001"
 HEADER = struct.Struct("<8sHHIQqQQQ")   # magic, width, nulls, docs, ids, least id, 3 sizes
-CACHE_CHUNKS = 300_000            # chunks of text in each of the two remembered generations
-BATCH_ROWS = 1000                 # documents encoded together
+CACHE_CHUNKS = 600_000            # remembered chunks of text per Python worker
+BATCH_ROWS = 2000                 # documents encoded together
 
 
 # --- Elias-Fano ----------------------------------------------------------------------
@@ -109,18 +109,26 @@ class EliasFano:
 
 # --- encoding ------------------------------------------------------------------------
 
-#: A space that has white space, or an end of the text, on both sides.
-_ODD = re.compile(r" (?=\s|\Z)(?:(?<=\s )|(?<=\A ))")
+#: A space with white space on both sides. The vocabulary's splitting pattern ends a
+#: token before a space that has any other character next to it, so texts are cut there
+#: and equal chunks are encoded once.
+_ODD = re.compile(r"\s \s")
+_CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
 _STATE: dict = {}
 
 
+def _chunks(text: str) -> list[str]:
+    if _ODD.search(text):
+        return [c for c in _CUT.split(text) if c]
+    first, *rest = text.split(" ")
+    return [first, *[" " + c for c in rest]] if first else [" " + c for c in rest]
+
+
 class Encoder:
     """Byte-level BPE of a ``tokenizers`` file, with the ids of frequent chunks remembered.
 
-    Strings that look like special tokens are ordinary text. The vocabulary's splitting pattern
-    ends a token before a space that has a character other than white space on either side, so
-    texts are cut at such spaces and equal chunks are encoded once; a text with another space is
-    encoded as a whole. Ids equal those of encoding each whole text at once (tested)."""
+    Strings that look like special tokens are ordinary text. Ids equal those of encoding
+    each whole text at once (tested)."""
 
     def __init__(self, path: str):
         import os
@@ -129,38 +137,20 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}       # chunk after a space -> ids, space included
-        self.older: dict[str, bytes] = {}       # those of the generation before
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 20_000):
-            out += [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch_fast(texts[at:at + 20_000], add_special_tokens=False)]
-        return out
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > CACHE_CHUNKS:
-            self.known, self.older = {}, self.known
-        back = [c for c in chunks if c in self.older]
-        new = [c for c in chunks if c not in self.older]
-        self.known.update((c, self.older[c]) for c in back)
-        self.known.update(zip(new, self._encode([" " + c for c in new])))
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        found = [list(map(self.known.get, p[1:])) for p in parts]
-        new = dict.fromkeys(c for p, f in zip(parts, found) if None in f for c, x in zip(p[1:], f) if x is None)
-        self._learn(list(new))
-        heads = self._encode([p[0] for p in parts])
-        out = []
-        for p, head, f in zip(parts, heads, found):
-            if None in f:
-                f = [x if x is not None else self.known[c] for c, x in zip(p[1:], f)]
-            out.append(head + b"".join(f))
-        whole = [i for i, t in enumerate(texts) if _ODD.search(t)]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            out[i] = ids
-        return out
+        known = self.known
+        chunked = [_chunks(t) for t in texts]
+        new = list(dict.fromkeys(c for chunks in chunked for c in chunks if c not in known))
+        if len(known) + len(new) > CACHE_CHUNKS:
+            known.clear()
+            new = list(dict.fromkeys(c for chunks in chunked for c in chunks))
+        for at in range(0, len(new), 20_000):
+            part = new[at:at + 20_000]
+            for c, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
+                known[c] = np.array(e.ids, self.dtype).tobytes()
+        return [b"".join([known[c] for c in chunks]) for chunks in chunked]
 
 
 def encoder(path: str) -> Encoder:
@@ -169,6 +159,10 @@ def encoder(path: str) -> Encoder:
     return _STATE[path]
 
 
+def forget_encoders() -> None:
+    _STATE.clear()
+
+
 # --- files ---------------------------------------------------------------------------
 
 def _filesystem(uri: str):
@@ -234,7 +228,7 @@ class Shard:
 # --- operator ------------------------------------------------------------------------
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID,
-                      text: str = "text", key: str = "doc_id") -> DataFrame:
+                      text: str = "text", key: str = "doc_id", keep_encoder: bool = True) -> DataFrame:
     """Encode every whole text and write shards to ``folder`` in ascending ``key`` order.
 
     Returns the manifest: ``shard, path, n_docs, n_ids, start`` (ids in earlier shards),
@@ -243,7 +237,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     columns are ignored. An empty table gives an empty manifest.
 
     Texts are range-partitioned by key (one shuffle) and encoded where they are written;
-    a task holds one shard's ids (2 bytes each), never the corpus.
+    a task holds one shard's ids (2 bytes each), never the corpus. ``keep_encoder`` leaves the
+    encoder and what it remembers (some 200 MB) with the Python worker for its next task;
+    without it, a job whose other steps need the memory encodes more chunks anew.
     """
     spark = docs.sparkSession
     ordered = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")) \
@@ -260,11 +256,13 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
                 part = batch.slice(at, BATCH_ROWS)
                 keys += part.column(0).to_pylist()
                 codes += [c + end for c in enc.encode(part.column(1).to_pylist())]
-        enc.older = {}                          # half of what is remembered goes with the task
+        dtype = enc.dtype
+        if not keep_encoder:
+            enc = forget_encoders()
         if keys:
             shard = TaskContext.get().partitionId()
             uri = f"{folder}/ids-{shard:06d}-{uuid.uuid4().hex[:8]}.bin"
-            n, total = write_shard(uri, enc.dtype, keys, codes)
+            n, total = write_shard(uri, dtype, keys, codes)
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": uri, "n_docs": n, "n_ids": total}])
 
     shards = ordered.mapInArrow(write, "shard long, path string, n_docs long, n_ids long").collect()
@@ -298,9 +296,9 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         .mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_table(spark: SparkSession, docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def token_table(spark: SparkSession, docs: DataFrame, tokenizer_path: str, keep_encoder: bool = True) -> DataFrame:
     """Write the files to the session's shared folder and read them back."""
     folder = scratch_path(spark, "token-files")
     where, path = _filesystem(folder)
     where.create_dir(path, recursive=True)
-    return read_token_files(write_token_files(docs, tokenizer_path, folder))
+    return read_token_files(write_token_files(docs, tokenizer_path, folder, keep_encoder=keep_encoder))
