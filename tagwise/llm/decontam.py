@@ -1,6 +1,6 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-:func:`build_index` stores the corpus as *segments* of about a million words: the segment's
+:func:`build_index` stores the corpus as *segments* of about 400,000 words: the segment's
 dictionary and, for each term, the delta-coded positions at which it occurs. A segment is
 partitioned by document, so no term's postings meet in one place however common it is.
 :func:`phrase_matches` looks up windows of benchmark words: within a segment it starts from
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tagwise.llm.common import slices, written
 
 WINDOW = 10
-SEGMENT_WORDS = 1 << 20
+SEGMENT_WORDS = 400_000
 QUERY_WORDS = 500_000              # benchmark words sent to the tasks at once
 
 _WORD_BYTES = bytes(

@@ -224,7 +224,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> Data
     """Those of ``pairs(a, b)`` whose full sets are similar enough. Join by join: what a task
     holds is a stretch of pairs, however often one document occurs in them."""
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 100)):
             keep = [_linked(x, y, least) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], names=["a", "b", "same"])
 
@@ -305,7 +305,7 @@ def _cross(buckets: DataFrame, found: DataFrame, sigs: DataFrame, floor: float)
     right = dealt.withColumn("l", every("lefts")).groupBy(unit).agg(F.collect_list(one).alias("right"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 100)):
             out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for band, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 (ia, ca, sa, ma), (ib, cb, sb, mb) = _columns(left), _columns(right)
