@@ -38,12 +38,12 @@ def test_base_equals_brute_force(spark, monkeypatch, block):
 
 
 def test_model_beats_the_base_on_held_out_texts(spark):
-    from tests.llm.fixtures import documents, prose
-    import random
-    rng = random.Random(2)
-    rows = [(i, prose(rng, "fr" if i % 2 else "en", 300), "", "", 0) for i in range(150)]
-    got = [r for r in lm.score(documents(spark, rows), held()).collect() if r.held_out]
-    assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.05 * sum(r.n_tokens for r in got)
+    """On the given documents. (On a few ten thousand tokens of uniformly drawn words the model
+    only equals the base: each word is seen too rarely to learn its contexts.)"""
+    from tagwise.llm.common import in_residue
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = [r for r in lm.score(docs, in_residue("doc_id", 7, 2)).collect() if r.held_out]
+    assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.1 * sum(r.n_tokens for r in got)
 
 
 def test_probabilities_sum_to_one(spark):
