@@ -105,8 +105,10 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """Low bits of the further minima, as BITS planes of WORDS signed 64-bit words."""
-    least = minima(hashes, slice(BANDS * ROWS, None))
+    """Low bits of the further minima, as BITS planes of WORDS signed 64-bit words. The minima
+    are mixed first: as they are, the low bits of h * a + c depend on those of h alone, and
+    whether two shingles agree by accident would be the same for every permutation."""
+    least = mixed(minima(hashes, slice(BANDS * ROWS, None)))
     planes = ((least[None, :] >> np.arange(BITS, dtype=np.uint64)[:, None]) & np.uint64(1)).astype(np.uint8)
     return np.packbits(planes, axis=1, bitorder="little").view("<i8").ravel()
 

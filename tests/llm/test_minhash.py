@@ -88,6 +88,22 @@ def test_estimate_is_near_the_similarity():
         assert abs(np.mean(found) - n / (2000 - n)) < 0.02
 
 
+def test_small_sets_at_the_threshold_pass_the_estimate():
+    """Pairs of 5 to 30 shingles just at 0.85 and at 0.80: none falls below its floor, and the
+    estimate deviates as 1,024 independent draws do."""
+    rng = np.random.default_rng(11)
+    for union, both, least in ((7, 6, 0.85), (20, 17, 0.85), (5, 4, 0.8), (10, 8, 0.8), (30, 24, 0.8)):
+        found = []
+        for _ in range(300):
+            h = minhash.mixed(rng.integers(0, 1 << 63, union, np.uint64))
+            x, y = (minhash.signature(s).reshape(minhash.BITS, minhash.WORDS) for s in (h, h[:both]))
+            unequal = np.bitwise_count(np.bitwise_or.reduce(x ^ y).view(np.uint64)).sum()
+            found.append(minhash.corrected(1 - unequal / minhash.HASHES))
+        equal = 0.25 + 0.75 * both / union
+        assert np.std(found) < 1.2 * np.sqrt(equal * (1 - equal) / minhash.HASHES) / 0.75
+        assert min(found) >= least - minhash.MARGIN
+
+
 def test_shingles_do_not_depend_on_pieces():
     words = [f"word{i % 977}x{i}" for i in range((1 << 17) + 50)]
     whole = minhash.shingles(" ".join(words).encode())
