@@ -10,7 +10,8 @@ rest is confirmed on the full sets.
 
 No bucket is expanded into pairs:
 
-* Equal sets are one node from the start.
+* Equal sets are one node from the start. An id with several texts is several nodes, which
+  are linked with each other and only meet there.
 * Each node is held against its buckets' smallest members; the best estimate is confirmed.
   These links make components.
 * A bucket that still spans several components has every member outside its largest one
@@ -113,6 +114,10 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(planes, axis=1, bitorder="little").view("<i8").ravel()
 
 
+def _digest(hashes: np.ndarray) -> bytes:
+    return hashlib.md5(hashes.tobytes(), usedforsecurity=False).digest()
+
+
 def corrected(equal_share):
     """Similarity of two sets of which this share of the b-bit minima is equal."""
     return (equal_share - 2.0 ** -BITS) / (1 - 2.0 ** -BITS)
@@ -138,7 +143,7 @@ def banded(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
             for t in batch.column(1).to_pylist():
                 h = shingles(t)
                 sizes.append(len(h))
-                digests.append(hashlib.md5(h.tobytes(), usedforsecurity=False).digest() if len(h) else None)
+                digests.append(_digest(h) if len(h) else None)
                 bands.append(band_keys(h) if len(h) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
@@ -194,10 +199,11 @@ def _wanted_bits(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _sets(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
-    """``id, sig, hashes`` (b-bit signature, full set) of the documents ``ids``: a filter of
-    fixed size lets few others through, so texts are read once and only the sets move."""
-    bits = ids.sparkSession.sparkContext.broadcast(_wanted_bits(ids))
+def _sets(docs: DataFrame, nodes: DataFrame, text: str, key: str) -> DataFrame:
+    """``id, sig, hashes`` (b-bit signature, full set) of ``nodes(id, least, digest)``, taken
+    from the rows of document ``least`` with that set: a filter of fixed size lets few other
+    rows through, so texts are read once and only the sets move."""
+    bits = nodes.sparkSession.sparkContext.broadcast(_wanted_bits(nodes.select(F.col("least").alias("id"))))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bits.value, np.int64)
@@ -208,12 +214,13 @@ def _sets(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
                 part = batch.take(pa.array(some))
                 found = [shingles(t) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([signature(h) for h in found], pa.list_(pa.int64())), pa.array([h.tobytes() for h in found], pa.binary())],
-                    names=["id", "sig", "hashes"])
+                    [part.column(0), pa.array([_digest(h) for h in found], pa.binary()), pa.array([signature(h) for h in found], pa.list_(pa.int64())),
+                     pa.array([h.tobytes() for h in found], pa.binary())],
+                    names=["least", "digest", "sig", "hashes"])
 
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << FILTER_BITS)).alias("bit"),
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("least"), F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << FILTER_BITS)).alias("bit"),
                                                      F.col(text).cast("binary").alias("t"))
-    return rows.mapInArrow(build, "id long, sig array<long>, hashes binary").join(ids, "id", "left_semi")
+    return rows.mapInArrow(build, "least long, digest binary, sig array<long>, hashes binary").join(nodes, ["least", "digest"]).select("id", "sig", "hashes")
 
 
 def _linked(a: bytes, b: bytes, least: tuple[int, int]) -> bool:
@@ -248,14 +255,22 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = SIMILARITY, text:
     signed = written(banded(docs, text, key), "signed")
     floor = least[0] / least[1] - MARGIN
 
-    # equal sets are one node, named by their smallest id
-    usable = signed.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
-    members = usable.withColumnRenamed("doc_id", "id").join(classes, ["id", "digest"], "left_semi") \
+    # equal sets are one node, named by their smallest id; one whose smallest id has further
+    # texts is named by a hash of its set, as that id may be the smallest of several
+    known_id = signed.where(F.col("doc_id").isNotNull())
+    usable = known_id.where(F.col("digest").isNotNull())
+    repeated = known_id.select("doc_id", "digest").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    repeated = written(repeated, "repeated")
+    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("least")) \
+        .join(repeated.select(F.col("doc_id").alias("least"), F.lit(True).alias("several")), "least", "left") \
+        .select("digest", "least", F.when(F.col("several"), F.xxhash64("digest")).otherwise(F.col("least")).alias("id"))
+    classes = written(classes, "classes")
+    members = usable.withColumnRenamed("doc_id", "least").join(classes, ["least", "digest"]) \
         .select("id", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
     buckets = written(members.join(shared, "key"), "buckets")
-    sets = written(_sets(docs, buckets.select("id").distinct(), text, key), "sets")
+    wanted = written(classes.join(buckets.select("id").distinct(), "id", "left_semi"), "wanted")
+    sets = written(_sets(docs, wanted, text, key), "sets")
     sigs = sets.select("id", "sig")
 
     # first round: each node against the pivot that it resembles most
@@ -264,9 +279,8 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = SIMILARITY, text:
         .withColumn("like", estimated(F.col("sig"), F.col("pivot_sig"))).where(F.col("like") >= floor)
     stars = tried.groupBy("id").agg(F.max_by("pivot", F.struct("like", -F.col("pivot"))).alias("b")).select(F.col("id").alias("a"), "b")
     links = written(confirmed(written(stars, "stars"), sets, least), "links")
-    same_id = usable.join(classes, "digest").where("doc_id <> id").select(F.col("doc_id").alias("b"), F.col("id").alias("a"))
-    repeated = usable.select("doc_id", "digest").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("b"))
-    same_id = same_id.join(repeated, "b", "left_semi").select("a", "b")
+    spread = written(usable.join(repeated, "doc_id", "left_semi").join(classes, "digest").select("doc_id", "id").distinct(), "spread")
+    same_id = spread.join(spread.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
     links = links.unionByName(same_id)
     first = components(links)
 
@@ -274,10 +288,16 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = SIMILARITY, text:
     more = confirmed(written(_cross(buckets, first, sigs, floor), "cross"), sets, least)
     final = components(links.unionByName(written(more, "links")))
 
-    named = classes.join(final.withColumnRenamed("node", "id"), "id", "left") \
-        .select("digest", F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.coalesce("component", "doc_id")
+    # a component is named by its smallest document; an empty set's row of an id that has other
+    # texts too goes with them
+    placed = classes.join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least_of = placed.groupBy("component").agg(F.min("least").alias("name"))
+    placed = written(placed.join(least_of, "component").select("digest", "id", "name"), "named")
+    of_id = spread.join(placed, "id").groupBy("doc_id").agg(F.min("name").alias("name"))
+    mark = F.lpad(F.col("doc_id").cast("string"), 32, "_").cast("binary")        # longer than a digest
+    named = placed.select("digest", "name").unionByName(of_id.select(mark.alias("digest"), "name"))
+    out = signed.select("doc_id", "n_shingles", F.coalesce("digest", mark).alias("digest")).join(named, "digest", "left")
+    component = F.coalesce("name", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

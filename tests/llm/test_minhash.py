@@ -47,6 +47,31 @@ def test_awkward_rows(spark):
     check(minhash.near_duplicates(clashing(documents(spark))).collect(), awkward_rows())
 
 
+def test_one_id_with_two_texts(spark):
+    """Both texts have neighbours of a similarity of 0.6 to 0.95 in several buckets; ids repeat
+    as the smallest of a component, as a later one, with an empty text and with equal texts."""
+    rng = np.random.default_rng(8)
+    rows = []
+
+    def family(name, ids, size=90):
+        base = [f"{name}{i}" for i in range(size)]
+        for n, d in enumerate(ids):
+            some = list(base)
+            for k in rng.integers(0, size, n % 5):
+                some[k] = f"{name}x{d}-{k}"
+            rows.append((d, " ".join(some), "en", "s", 0))
+
+    family("a", [500, *range(520, 534), 7])
+    family("b", [500, *range(540, 554), 7])
+    family("c", [*range(560, 574), 500])
+    family("d", [3, *range(580, 594)])
+    family("e", [595, 3, *range(600, 612)], 60)
+    family("f", [620, 621, 622], 40)
+    rows += [(621, "", "en", "s", 0), (630, None, "en", "s", 0), (630, rows[-1][1], "en", "s", 0), (500, rows[0][1], "en", "s", 0),
+             (640, "", "en", "s", 0), (640, None, "en", "s", 0)]
+    check(minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect(), rows)
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(documents(spark, [])).collect() == []
 
