@@ -69,7 +69,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of what is left: ``doc_id, start, n_tokens, ids_crc32`` of each document."""
-    return token_files.token_table(spark, docs, tokenizer_path(), keep_encoder=False)
+    return token_files.token_table(spark, docs, tokenizer_path(), keep_encoder=False, added_tokens=True)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate),

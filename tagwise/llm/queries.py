@@ -47,7 +47,7 @@ def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_token_files")
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents written as Elias-Fano shards and read back."""
-    return token_files.token_table(spark, table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_files.token_table(spark, table(spark, sf_dir, "documents"), tokenizer_path(), added_tokens=True)
 
 
 @query("op4_language_model")

@@ -127,21 +127,34 @@ def _chunks(text: str) -> list[str]:
 class Encoder:
     """Byte-level BPE of a ``tokenizers`` file, with the ids of frequent chunks remembered.
 
-    Strings that look like special tokens are ordinary text. Ids equal those of encoding
-    each whole text at once (tested)."""
+    Strings that look like special tokens are ordinary text, or with ``added_tokens`` the
+    file's added tokens. Ids equal those of encoding each whole text at once (tested)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark deals out the work
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = not added_tokens
+        self.added = None
+        if added_tokens:
+            found = self.model.get_added_tokens_decoder().values()
+            if any(t.single_word or t.lstrip or t.rstrip or (t.normalized and self.model.normalizer) for t in found):
+                raise ValueError(f"{path} has added tokens that depend on the text around them")
+            names = sorted((t.content for t in found), key=len, reverse=True)
+            self.added = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
 
+    def chunks(self, text: str) -> list[str]:
+        """Pieces whose ids, one after the other, are the text's; an added token is one."""
+        if self.added is None or not self.added.search(text):
+            return _chunks(text)
+        return [c for i, part in enumerate(self.added.split(text)) for c in ([part] if i % 2 else _chunks(part) if part else [])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        chunked = [_chunks(t) for t in texts]
+        chunked = [self.chunks(t) for t in texts]
         new = list(dict.fromkeys(c for chunks in chunked for c in chunks if c not in known))
         if len(known) + len(new) > CACHE_CHUNKS:
             known.clear()
@@ -153,10 +166,10 @@ class Encoder:
         return [b"".join([known[c] for c in chunks]) for chunks in chunked]
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _STATE:
-        _STATE[path] = Encoder(path)
-    return _STATE[path]
+def encoder(path: str, added_tokens: bool = False) -> Encoder:
+    if (path, added_tokens) not in _STATE:
+        _STATE[path, added_tokens] = Encoder(path, added_tokens)
+    return _STATE[path, added_tokens]
 
 
 def forget_encoders() -> None:
@@ -228,7 +241,7 @@ class Shard:
 # --- operator ------------------------------------------------------------------------
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID,
-                      text: str = "text", key: str = "doc_id", keep_encoder: bool = True) -> DataFrame:
+                      text: str = "text", key: str = "doc_id", keep_encoder: bool = True, added_tokens: bool = False) -> DataFrame:
     """Encode every whole text and write shards to ``folder`` in ascending ``key`` order.
 
     Returns the manifest: ``shard, path, n_docs, n_ids, start`` (ids in earlier shards),
@@ -239,7 +252,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     Texts are range-partitioned by key (one shuffle) and encoded where they are written;
     a task holds one shard's ids (2 bytes each), never the corpus. ``keep_encoder`` leaves the
     encoder and what it remembers (some 200 MB) with the Python worker for its next task;
-    without it, a job whose other steps need the memory encodes more chunks anew.
+    without it, a job whose other steps need the memory encodes more chunks anew. With
+    ``added_tokens`` the vocabulary's added tokens are recognised in texts, as the tokenizer
+    does when left as loaded; without it such strings are ordinary text.
     """
     spark = docs.sparkSession
     ordered = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")) \
@@ -247,7 +262,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, added_tokens)
         end = np.array([end_id], enc.dtype).tobytes()
         keys: list[int | None] = []
         codes: list[bytes] = []
@@ -296,9 +311,10 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         .mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_table(spark: SparkSession, docs: DataFrame, tokenizer_path: str, keep_encoder: bool = True) -> DataFrame:
+def token_table(spark: SparkSession, docs: DataFrame, tokenizer_path: str, keep_encoder: bool = True,
+                added_tokens: bool = False) -> DataFrame:
     """Write the files to the session's shared folder and read them back."""
     folder = scratch_path(spark, "token-files")
     where, path = _filesystem(folder)
     where.create_dir(path, recursive=True)
-    return read_token_files(write_token_files(docs, tokenizer_path, folder, keep_encoder=keep_encoder))
+    return read_token_files(write_token_files(docs, tokenizer_path, folder, keep_encoder=keep_encoder, added_tokens=added_tokens))

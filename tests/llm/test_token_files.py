@@ -5,8 +5,9 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+import corpus_pipeline as cp
 from tagwise.llm import token_files as tf
-from tagwise.llm.queries import tokenizer_path
+from tagwise.llm.queries import QUERIES, tokenizer_path
 from tests.llm.fixtures import awkward_rows, clashing, documents
 
 
@@ -45,6 +46,23 @@ def test_files_equal_whole_encoding(spark):
     assert sorted(map(tuple, got), key=key) == whole(rows)
 
 
+def test_added_tokens_keep_their_ids(spark, tmp_path):
+    """The query and the pipeline's stage give the ids of the tokenizer as loaded."""
+    from tokenizers import Tokenizer
+    model = Tokenizer.from_file(tokenizer_path())
+    assert model.encode("x <|endoftext|> y", add_special_tokens=False).ids == [87, 220, 50256, 331]
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|> ", "  <|endoftext|>\n \n b  c", "<|endoftext| > <|endoftext|", "plain text"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    want, start = [], 0
+    for d, t, *_ in rows:
+        ids = np.array(model.encode(t, add_special_tokens=False).ids + [tf.END_ID], "<u4")
+        want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, QUERIES["op3_token_files"](spark, str(tmp_path)).collect())) == want
+    assert sorted(map(tuple, cp.tokens(spark, documents(spark, rows), str(tmp_path)).collect())) == want
+
+
 def test_empty_table(spark):
     assert tf.token_table(spark, documents(spark, []), tokenizer_path()).collect() == []
 
