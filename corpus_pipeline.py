@@ -23,6 +23,9 @@ from tagwise.llm.queries import tokenizer_path
 #: nearest language's profile to count as written in it.
 LEAST_SCORE = 0.1
 
+#: Documents are near copies if 100 * intersection >= 80 * union of their word 5-grams.
+SIMILARITY = (80, 100)
+
 
 def _key() -> Column:
     """The document's id, or a hash of its text if it has none."""
@@ -47,7 +50,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each component of near-duplicates."""
-    found = minhash.near_duplicates(docs.select(_key().alias("doc_id"), "text"))
+    found = minhash.near_duplicates(docs.select(_key().alias("doc_id"), "text"), least=SIMILARITY)
     left = _without(docs, found.where(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct())
     names = docs.columns
     once = Window.partitionBy("_key").orderBy("_order")

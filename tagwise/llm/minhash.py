@@ -5,7 +5,7 @@ band keys of 5; documents that share a band are candidates: at a similarity of 0
 shares none with a chance of 2e-10. Documents in a shared band get a b-bit signature: the low
 :data:`BITS` bits of :data:`HASHES` further minima, packed as bit planes. The share of equal
 b-bit minima, counted by bit operations and corrected for the 2^-b that agree by accident,
-drops candidates more than :data:`MARGIN` below the threshold (five standard errors). The
+drops candidates more than :func:`margin` below the threshold (five standard errors). The
 rest is confirmed on the full sets.
 
 No bucket is expanded into pairs:
@@ -25,6 +25,7 @@ Components come from repeated contraction on written tables, never on the driver
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,6 +124,12 @@ def corrected(equal_share):
     return (equal_share - 2.0 ** -BITS) / (1 - 2.0 ** -BITS)
 
 
+def margin(similarity: float) -> float:
+    """:data:`MARGIN`, or five standard errors of the estimate at this similarity if that is more."""
+    equal = similarity + (1 - similarity) * 2.0 ** -BITS
+    return max(MARGIN, 5 * math.sqrt(equal * (1 - equal) / HASHES) / (1 - 2.0 ** -BITS))
+
+
 def estimated(a: Column, b: Column) -> Column:
     """Collision-corrected similarity from two packed signatures by bit counts."""
     unequal = F.lit(0)
@@ -253,7 +260,7 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = SIMILARITY, text:
     of them is; a row with a null id is linked with nothing, has a null component and is kept.
     Extra columns are ignored."""
     signed = written(banded(docs, text, key), "signed")
-    floor = least[0] / least[1] - MARGIN
+    floor = least[0] / least[1] - margin(least[0] / least[1])
 
     # equal sets are one node, named by their smallest id; one whose smallest id has further
     # texts is named by a hash of its set, as that id may be the smallest of several
