@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagwise.llm import decontam, langid, line_spread, minhash, mixing, neural_lm, pii, secret_scan, token_files, topk
+from tagwise.llm import alignment, decontam, langid, line_spread, minhash, mixing, neural_lm, packing, pii, secret_scan, token_files, topk
 from tagwise.llm.common import in_residue, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two vocabularies aligned by bytes, with links counted over all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model")).documents
+
+
+@query("op12_packing")
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens packed into sequences of 4096 by minimum bin slack."""
+    done = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return done.pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
