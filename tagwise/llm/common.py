@@ -43,3 +43,33 @@ def word_count(text: Column) -> Column:
     trimmed = F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
     return F.when(text.isNull() | (trimmed == ""), F.lit(0)) \
         .otherwise(F.size(F.split(trimmed, f"[{SPACE}]+"))).cast("long")
+
+
+class Remembered:
+    """Values of frequent keys, up to an estimated number of bytes. When it is full, keys that
+    were not asked for again since it last was are dropped (all, if that drops too few)."""
+
+    def __init__(self, limit: int):
+        self.limit, self.size = limit, 0
+        self.known: dict = {}
+        self.again: set = set()
+
+    def missing(self, keys) -> list:
+        """The distinct keys that are not known; what is known stays until the next call."""
+        if self.size > self.limit:
+            kept = {k: v for k, v in self.known.items() if k in self.again}
+            if 2 * len(kept) > len(self.known):
+                kept = {}
+            self.size = self.size * len(kept) // len(self.known)
+            self.known, self.again = kept, set()
+        known, again, new = self.known, self.again, []
+        for k in dict.fromkeys(keys):
+            if k in known:
+                again.add(k)
+            else:
+                new.append(k)
+        return new
+
+    def put(self, key, value, cost: int) -> None:
+        self.known[key] = value
+        self.size += cost

@@ -21,15 +21,17 @@ counts of the partitions before; the places are found by binary search in each t
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagwise.llm.common import slices, written
+from tagwise.llm.common import Remembered, slices, written
 
 CAPACITY = 4096
 END_ID = 2
@@ -56,8 +58,8 @@ class Words:
                 self.model.encode("Ab", add_special_tokens=False).ids != self.model.encode("ab", add_special_tokens=False).ids:
             raise ValueError(f"{path} does not drop white space or does not lower-case")
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.held = 0
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.chunks = Remembered(CACHE_BYTES)
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
@@ -66,23 +68,17 @@ class Words:
         return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
         cut = [self._chunks(t) for t in texts]
-        new = list(dict.fromkeys(c for chunks in cut for c in chunks if c not in known))
-        if self.held > CACHE_BYTES:
-            known.clear()
-            self.held = 0
-            new = list(dict.fromkeys(c for chunks in cut for c in chunks))
-        long = {}
+        new = self.chunks.missing(chain.from_iterable(cut))
+        known, long = self.chunks.known, {}
         for at in range(0, len(new), 10_000):
             part = new[at:at + 10_000]
             for c, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                ids = np.array(e.ids, self.dtype).tobytes()
+                ids = array(self.code, e.ids).tobytes()
                 if len(c) > LONG_CHUNK:
                     long[c] = ids
                 else:
-                    known[c] = ids
-                    self.held += 160 + len(c) + len(ids)
+                    self.chunks.put(c, ids, 180 + len(c) + len(ids))
         if long:
             return [b"".join([known[c] if c in known else long[c] for c in chunks]) for chunks in cut]
         return [b"".join([known[c] for c in chunks]) for chunks in cut]

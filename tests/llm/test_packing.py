@@ -77,7 +77,7 @@ def test_encoder_equals_whole_texts():
     model = packing.words(PATH)
     for t, code in zip(texts, model.encode(texts)):
         assert np.frombuffer(code, model.dtype).tolist() == encoded(t)
-    assert all(len(c) <= packing.LONG_CHUNK for c in model.known)
+    assert all(len(c) <= packing.LONG_CHUNK for c in model.chunks.known)
 
 
 def check(rows, pieces):
