@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagwise.llm import alignment, decontam, langid, line_spread, minhash, mixing, neural_lm, packing, pii, secret_scan, token_files, topk
+from tagwise.llm import alignment, decontam, langid, line_spread, minhash, mixing, neural_lm, packing, phrases, pii, secret_scan, token_files, topk
 from tagwise.llm.common import in_residue, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,28 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens packed into sequences of 4096 by minimum bin slack."""
     done = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return done.pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op13_collocations", sql=rf"""
+WITH p AS (SELECT coalesce(lang, '{phrases.UNKNOWN}') AS lang, unnest(regexp_split_to_array(translate(text,
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), x -> x <> '') AS w FROM p),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+          FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+                FROM w, (SELECT unnest(generate_series(1, {phrases.LONGEST})) AS k) WHERE len(w) >= k)),
+total AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM grams GROUP BY ALL HAVING count(*) >= {phrases.LEAST}),
+kept AS (SELECT * FROM f WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM f AS g WHERE g.lang = f.lang AND g.k > f.k
+           AND g.a >= f.a AND contains(' ' || g.phrase || ' ', ' ' || f.phrase || ' '))),
+cut AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS s, unnest(generate_series(1, k - 1)) AS j FROM kept),
+scored AS (SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, n, (1000 * c.a * n) // (l.a * r.a) AS score, j
+           FROM cut AS c JOIN total USING (lang)
+           JOIN f AS l ON l.lang = c.lang AND l.k = j AND l.phrase = array_to_string(s[1:j], ' ')
+           JOIN f AS r ON r.lang = c.lang AND r.k = c.k - j AND r.phrase = array_to_string(s[j + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM best QUALIFY rank <= {phrases.TOP}""")
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best-connected phrases, mined from all documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
