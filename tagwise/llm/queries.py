@@ -169,7 +169,7 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_collocations", sql=rf"""
 WITH p AS (SELECT coalesce(lang, '{phrases.UNKNOWN}') AS lang, unnest(regexp_split_to_array(translate(text,
              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
-w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), x -> x <> '') AS w FROM p),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
 grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
           FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
                 FROM w, (SELECT unnest(generate_series(1, {phrases.LONGEST})) AS k) WHERE len(w) >= k)),
