@@ -27,15 +27,16 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagwise.llm.common import slices, written
+from tagwise.llm.common import Remembered, slices, written
 
-CACHE_BYTES = 96 << 20              # remembered chunks of a Python worker, by estimated size
+CACHE_BYTES = 128 << 20             # remembered chunks of a Python worker, by estimated size
 LONG_CHUNK = 256                    # characters; longer chunks are not remembered
 BLOCK_LINKS = 6_000_000             # links of a block of documents, more only if one text has more
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -85,68 +86,76 @@ class Pair:
         self.same = np.array([by_bytes.get(w, -1) if w is not None else -1 for w in self.bytes_a], np.int64)
         self.n_a, self.n_b = len(self.bytes_a), len(self.bytes_b)
         self.dtype = np.dtype("<u4" if self.n_a * (self.n_b + 1) < 1 << 32 else "<u8")
-        self._same = self.same.tolist()
-        self.known: dict[str, tuple] = {}
-        self.held = 0
-
-    def _align(self, chunk: str, a: list[int], b: list[int]) -> tuple | None:
-        """Groups as text, links as codes, and the numbers of tokens. A link's code is A's id if
-        the identity map has it, else ``n_a + a * n_b + b``. None if the bytes differ."""
-        bytes_a, bytes_b, same, n_a, n_b = self.bytes_a, self.bytes_b, self._same, self.n_a, self.n_b
-        groups, codes, i, j = [], [], 0, 0
-        raw = chunk.encode()
-        if b"".join([bytes_b[x] for x in b]) != raw or b"".join([bytes_a[x] for x in a]) != raw:
-            return None
-        while i < len(a):
-            x, y = a[i], b[j]
-            end_a, end_b = len(bytes_a[x]), len(bytes_b[y])
-            if end_a == end_b:
-                groups.append(f"{x}|{y}")
-                codes.append(x if same[x] == y else n_a + x * n_b + y)
-                i, j = i + 1, j + 1
-                continue
-            i0, j0 = i, j
-            codes.append(n_a + x * n_b + y)
-            while end_a != end_b:
-                if end_a < end_b:
-                    i += 1
-                    end_a += len(bytes_a[a[i]])
-                else:
-                    j += 1
-                    end_b += len(bytes_b[b[j]])
-                codes.append(n_a + a[i] * n_b + b[j])
-            i, j = i + 1, j + 1
-            groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-        return (";".join(groups), np.array(codes, self.dtype).tobytes(), np.array([len(a), len(b)], "<u4").tobytes())
+        self.lengths_a = np.array([len(w or b"") for w in self.bytes_a], np.int64)
+        self.lengths_b = np.array([len(w) for w in self.bytes_b], np.int64)
+        self.names = [f"{i}{mark}" for n, last in ((self.n_a, "|"), (self.n_b, ";")) for mark in (",", last) for i in range(n)]
+        self.chunks = Remembered(CACHE_BYTES)
+        self.sizes: dict[bytes, bytes] = {}
+
+    def _flat(self, ids: list[list[int]], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of many chunks in a row, how many each chunk has, and where each ends in bytes."""
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+        return flat, n, np.cumsum(lengths[flat])
+
+    def _align(self, chunks: list[str], a: list[list[int]], b: list[list[int]]) -> list[tuple | None]:
+        """For each chunk: groups as text, links as codes, and the numbers of tokens; None if the
+        bytes differ. A link's code is A's id if the identity map has it, else ``n_a + a * n_b + b``.
+
+        The chunks are aligned as one sequence, as all of them end where tokens end. Each stretch
+        between two neighbouring token ends lies in one token of A and one of B: a link."""
+        raw = [c.encode() for c in chunks]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        ids_a, n_a, ends_a = self._flat(a, self.lengths_a)
+        ids_b, n_b, ends_b = self._flat(b, self.lengths_b)
+        stops = np.cumsum(sizes)
+        last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
+        same_ends = n_a.all() and n_b.all() and (ends_a[last_a - 1] == stops).all() and (ends_b[last_b - 1] == stops).all()
+        whole = b"".join(raw)
+        if not same_ends or b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) != whole \
+                or b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())) != whole:
+            if len(chunks) == 1:
+                return [None]
+            half = len(chunks) // 2
+            return self._align(chunks[:half], a[:half], b[:half]) + self._align(chunks[half:], a[half:], b[half:])
+        cuts = ends_a[np.isin(ends_a, ends_b, assume_unique=True)]
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        ends = np.union1d(ends_a, ends_b)
+        x, y = ids_a[np.searchsorted(ends_a, ends)], ids_b[np.searchsorted(ends_b, ends)]
+        group = np.searchsorted(cuts, ends)
+        single = (np.bincount(group_a, minlength=len(cuts)) == 1) & (np.bincount(group_b, minlength=len(cuts)) == 1)
+        codes = np.where(single[group] & (self.same[x] == y), x, self.n_a + x * self.n_b + y).astype(self.dtype).tobytes()
+        links = np.searchsorted(ends, stops, "right") * self.dtype.itemsize
+        # ids with what follows them: within a side "," and after A's last "|", after B's last ";"
+        names = np.concatenate([ids_a + np.where(np.diff(group_a, append=-1) != 0, self.n_a, 0),
+                                2 * self.n_a + ids_b + np.where(np.diff(group_b, append=-1) != 0, self.n_b, 0)])
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        words = list(map(self.names.__getitem__, names[order].tolist()))
+        tokens = (last_a + last_b).tolist()
+        both = np.stack([n_a, n_b], 1).astype("<u4").tobytes()
+        shared = self.sizes.setdefault if len(self.sizes) < 10_000 else lambda _, made: made
+        return [("".join(words[i:j])[:-1], codes[k:m], shared(n := both[8 * c:8 * c + 8], n)) for c, (i, j, k, m) in enumerate(
+            zip([0, *tokens], tokens, [0, *links.tolist()], links.tolist()))]
 
     def _aligned(self, chunks: list[str]) -> Iterator[tuple[str, tuple | None]]:
         for at in range(0, len(chunks), 10_000):
             part = chunks[at:at + 10_000]
-            left = self.a.encode_batch_fast(part, add_special_tokens=False)
+            left = [e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)]
             right = self.b.encode([c[1:] for c in part], num_threads=1)        # B adds the space
-            for c, x, y in zip(part, left, right):
-                yield c, self._align(c, x.ids, y if len(c) > 1 else [self.space])
+            yield from zip(part, self._align(part, left, [y if len(c) > 1 else [self.space] for c, y in zip(part, right)]))
 
     def align(self, texts: list[str | None]) -> list[tuple | None]:
         """For each text: groups joined by ``;``, the codes of its links, tokens of A and of B.
         None for a null or empty text and one whose tokens' bytes are not its own."""
-        known = self.known
         cut = [_chunks(t) if t else [] for t in texts]
-        new = list(dict.fromkeys(c for chunks in cut for c in chunks if c not in known))
-        if self.held > CACHE_BYTES:
-            known.clear()
-            self.held = 0
-            new = list(dict.fromkeys(c for chunks in cut for c in chunks))
-        long = {}
-        for c, found in self._aligned(new):
-            if len(c) > LONG_CHUNK:
-                long[c] = found
-            else:
-                known[c] = found
-                self.held += 330 + 2 * len(c)
+        found, new = self.chunks.look_up(chain.from_iterable(cut))
+        for c, made in self._aligned(new):
+            found[c] = made
+            if made is not None and len(c) <= LONG_CHUNK:
+                self.chunks.put(c, made, 300 + 2 * len(c) + len(made[0]) + len(made[1]))
         out = []
         for chunks in cut:
-            rows = [known[c] if c in known else long[c] for c in chunks] if long else [known[c] for c in chunks]
+            rows = list(map(found.__getitem__, chunks))
             if not rows or None in rows:
                 out.append(None)
                 continue

@@ -28,6 +28,19 @@ def slices(batch, rows: int = 500):
         yield batch.slice(at, rows)
 
 
+def by_bytes(batch, column: int, limit: int):
+    """The batch in slices whose texts or binaries in ``column`` have up to ``limit`` bytes, or one
+    row if that has more."""
+    import numpy as np
+    import pyarrow.compute as pc
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, limit + (int(ends[at - 1]) if at else 0), "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def id_residue(col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus`` (null for a null id)."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % modulus
@@ -47,28 +60,34 @@ def word_count(text: Column) -> Column:
 
 class Remembered:
     """Values of frequent keys, up to an estimated number of bytes. When it is full, keys that
-    were not asked for again since it last was are dropped (all, if that drops too few)."""
+    were not asked for again since it last was are dropped (all, if that drops too few); whether
+    they were is noted in every fourth request."""
 
     def __init__(self, limit: int):
-        self.limit, self.size = limit, 0
+        self.limit, self.size, self.requests = limit, 0, 0
         self.known: dict = {}
         self.again: set = set()
 
-    def missing(self, keys) -> list:
-        """The distinct keys that are not known; what is known stays until the next call."""
+    def look_up(self, keys) -> tuple[dict, list]:
+        """The distinct keys with their values, None where unknown, and the unknown ones."""
         if self.size > self.limit:
             kept = {k: v for k, v in self.known.items() if k in self.again}
             if 2 * len(kept) > len(self.known):
                 kept = {}
             self.size = self.size * len(kept) // len(self.known)
             self.known, self.again = kept, set()
-        known, again, new = self.known, self.again, []
-        for k in dict.fromkeys(keys):
-            if k in known:
-                again.add(k)
-            else:
+        found = dict.fromkeys(keys)
+        get, new = self.known.get, []
+        for k in found:
+            value = get(k)
+            if value is None:
                 new.append(k)
-        return new
+            else:
+                found[k] = value
+        self.requests += 1
+        if self.requests % 4 == 0:
+            self.again.update(found.keys() - new)
+        return found, new
 
     def put(self, key, value, cost: int) -> None:
         self.known[key] = value

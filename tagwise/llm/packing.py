@@ -21,22 +21,25 @@ counts of the partitions before; the places are found by binary search in each t
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagwise.llm.common import Remembered, slices, written
+from tagwise.llm.common import Remembered, by_bytes, slices, written
 
 CAPACITY = 4096
 END_ID = 2
-CACHE_BYTES = 64 << 20             # remembered chunks of a Python worker, by estimated size
+CACHE_BYTES = 160 << 20            # remembered chunks of a Python worker, by estimated size
 LONG_CHUNK = 256                   # characters; longer chunks are not remembered
+TEXT_BYTES = 8 << 20               # encoded at once, more only if one text has more
+_MARKS = ".,;:!?"
+_MARK = "\x01"                      # stands between chunks that are encoded together
 _RANK_BITS = 46                    # of a place's search key; the rest is the length
 
 
@@ -58,30 +61,66 @@ class Words:
                 self.model.encode("Ab", add_special_tokens=False).ids != self.model.encode("ab", add_special_tokens=False).ids:
             raise ValueError(f"{path} does not drop white space or does not lower-case")
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        marks = self.model.encode(_MARK, add_special_tokens=False).ids
+        if len(marks) != 1:
+            raise ValueError(f"{path} has no single token for U+0001")
+        self.mark = marks[0]
         self.chunks = Remembered(CACHE_BYTES)
 
-    @staticmethod
-    def _chunks(text: str) -> list[str]:
-        if text.isascii() and "<" not in text:              # else an added token could appear
-            text = text.lower()
-        return text.replace("\n", " ").split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._chunks(t) for t in texts]
-        new = self.chunks.missing(chain.from_iterable(cut))
-        known, long = self.chunks.known, {}
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
-            for c, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                ids = array(self.code, e.ids).tobytes()
-                if len(c) > LONG_CHUNK:
-                    long[c] = ids
-                else:
-                    self.chunks.put(c, ids, 180 + len(c) + len(ids))
-        if long:
-            return [b"".join([known[c] if c in known else long[c] for c in chunks]) for chunks in cut]
-        return [b"".join([known[c] for c in chunks]) for chunks in cut]
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """Each chunk's ids. Thousands of chunks are encoded as one text, with a token between
+        them that none of them holds."""
+        out: list[bytes] = []
+        for at in range(0, len(chunks), 5_000):
+            part = chunks[at:at + 5_000]
+            text = f" {_MARK} ".join(part)
+            if text.count(_MARK) >= len(part):
+                out += [np.array(self.model.encode(c, add_special_tokens=False).ids, self.dtype).tobytes() for c in part]
+                continue
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            between = (np.flatnonzero(ids == self.mark) * ids.itemsize).tolist()
+            code, width = ids.tobytes(), ids.itemsize
+            out += [code[i:j] for i, j in zip([0, *(x + width for x in between)], [*between, len(code)])]
+        return out
+
+    def _learn(self, found: dict[str, bytes], chunks: list[str]) -> None:
+        """Puts the ids of these chunks into ``found`` and remembers those that are not long. A
+        letter or digit and marks behind it are never one token, so the marks are cut off first."""
+        cores = [core if (core := c.rstrip(_MARKS)) and core[-1].isalnum() else c for c in chunks]
+        known, put = self.chunks.known, self.chunks.put
+        marked = [(c, core, c[len(core):]) for c, core in zip(chunks, cores) if c is not core]
+        parts = {*cores, *(tail for _, _, tail in marked)}
+        of = {x: known[x] for x in parts if x in known}
+        new = [x for x in parts if x not in of]
+        for c, ids in zip(new, self._ids(new)):
+            of[c] = ids
+            if len(c) <= LONG_CHUNK:
+                put(c, ids, 180 + len(c) + len(ids))
+        for c, core in zip(chunks, cores):
+            found[c] = of[core]
+        for c, core, tail in marked:
+            found[c] = ids = of[core] + of[tail]
+            if len(c) <= LONG_CHUNK:
+                put(c, ids, 180 + len(c) + len(ids))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's end. Null is empty."""
+        texts = pc.fill_null(texts, "")
+        # in a text that may hold an added token, letters keep their case: those tokens have one
+        low = pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts))
+        cut = pc.split_pattern(pc.replace_substring(low, "\n", " "), " ")
+        chunks = cut.flatten().dictionary_encode()
+        found, new = self.chunks.look_up(chunks.dictionary.to_pylist())
+        self._learn(found, new)
+        sizes = np.fromiter(map(len, found.values()), np.int64, len(found)) // self.dtype.itemsize
+        ids = np.frombuffer(b"".join(found.values()), self.dtype)
+        which = chunks.indices.to_numpy()
+        each = sizes[which]
+        ends = np.cumsum(each)
+        # the i-th id of the n-th chunk is i places behind the first id of its kind
+        places = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - each), each) + np.arange(int(each.sum()))
+        last = np.asarray(cut.offsets)[1:] - cut.offsets[0].as_py()
+        return ids[places], np.concatenate([[0], ends])[last]
 
 
 _STATE: dict = {}
@@ -246,7 +285,7 @@ def _encode(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, model = TaskContext.get().partitionId(), words(tokenizer_path)
-        end = np.array([end_id], model.dtype).tobytes()
+        end = model.dtype.type(end_id)
         seen = np.zeros(capacity + 1, np.int64)
         id_type = pa.int64()
 
@@ -255,11 +294,12 @@ def _encode(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, te
                      "ids_crc32": pa.int64(), "width": pa.int32(), "ids": pa.binary(), "sizes": pa.list_(pa.int32()), "counts": pa.list_(pa.int64())}
             return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * n), t) for c, t in kinds.items()], names=list(kinds))
 
-        for batch in (piece for whole in batches for piece in slices(whole, 200)):
+        for batch in (piece for whole in batches for piece in by_bytes(whole, 1, TEXT_BYTES)):
             id_type = batch.column(0).type
             made = []
-            for d, code in zip(batch.column(0).to_pylist(), model.encode([t or "" for t in batch.column(1).to_pylist()])):
-                ids = np.frombuffer(code + end, model.dtype)
+            flat, ends = model.encode(batch.column(1))
+            for d, start, stop in zip(batch.column(0).to_pylist(), [0, *ends.tolist()], ends.tolist()):
+                ids = np.append(flat[start:stop], end)
                 for at in range(0, len(ids), capacity):
                     some = ids[at:at + capacity]
                     made.append((len(some), int(seen[len(some)]), d, at, len(ids), crc32_of(some), some.tobytes()))
@@ -326,6 +366,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
                 *[batch.column(c).to_pylist() for c in ("ids", "width", "within", "length")])]
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64()) if c == "ids_crc32" else batch.column(c) for c in names], names=names)
 
-    cut = placed.where("ids_crc32 is null").join(encoded.select("part", "size", "nth", "ids", "width"), ["part", "size", "nth"]) \
+    # few rows as a rule; written, so that the join is planned by their size
+    cut = written(placed.where("ids_crc32 is null"), "cut").join(encoded.select("part", "size", "nth", "ids", "width"), ["part", "size", "nth"]) \
         .select(*names, "ids", "width").mapInArrow(digest, schema)
     return Packed(placed.where("ids_crc32 is not null").unionByName(cut).withColumnRenamed("id", key), encoded)

@@ -207,12 +207,9 @@ class _Counts:
             yield self._rows(0, zero, zero, list(self.totals.values()), pa.array(list(self.totals), pa.string()))
 
 
-def _count(texts: DataFrame, longest: int, now: np.ndarray | None, before: np.ndarray | None) -> DataFrame:
-    """Exact counts of one pass: of all words (only without ``before``), and of the phrases whose
-    parts both have bits in ``now`` but not both in ``before``."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((now, before))      # 2^filter_bits bits each, at any scale
-
+def _count(texts: DataFrame, longest: int, shared) -> DataFrame:
+    """Exact counts of one pass: of all words (only without a second table), and of the phrases whose parts
+    both have bits in the first table of ``shared`` but not both in the second."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _Counts(longest, *shared.value)
         held: dict[str, list[bytes]] = {}
@@ -252,34 +249,38 @@ def _hashed(counted: DataFrame) -> DataFrame:
     return counted.mapInArrow(run, counted.schema.simpleString()[7:-1].replace(":", " ") + ", hash bigint")
 
 
-def _bits(found: DataFrame, filter_bits: int, before: np.ndarray | None) -> np.ndarray:
-    """``before`` and a bit for each phrase of ``found``. The driver gets 64 bits a row, at most
-    ``2^filter_bits / 64`` rows."""
-    at = F.shiftrightunsigned("hash", 64 - filter_bits)
+def _bits(found: DataFrame, size: int) -> np.ndarray:
+    """A bit for each phrase of ``found`` in a table of ``2^size``. The driver gets 64 bits for
+    every 32 of the table, at most."""
+    at = F.shiftrightunsigned("hash", 64 - size)
     rows = found.where("n > 0").groupBy(F.floor(at / 32).cast("long").alias("slot")) \
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int"))).alias("bits")).toArrow()
-    out = np.zeros(1 << (filter_bits - 5), "<u4") if before is None else before.view("<u4").copy()
-    out[np.asarray(rows["slot"])] |= np.asarray(rows["bits"]).astype("<u4")
+    out = np.zeros(1 << (size - 5), "<u4")
+    out[np.asarray(rows["slot"])] = np.asarray(rows["bits"]).astype("<u4")
     return out.view(np.uint8)
 
 
+def _table(found: DataFrame, filter_bits: int) -> np.ndarray:
+    """Bits of all phrases found: 64 for each, up to ``2^filter_bits`` in all."""
+    return _bits(found, min(filter_bits, max(8, (64 * found.where("n > 0").count()).bit_length())))
+
+
 def _closed(texts: DataFrame, least: int, longest: int, filter_bits: int, proposed: DataFrame | None) -> tuple[DataFrame, int]:
     """All phrases that occur ``least`` times, and the numbers of all words by language (n = 0),
     from passes over ``texts`` until no phrase is found that was not proposed; how many."""
-    now = before = None
-    found, passes = None, 0
-    if proposed is not None:
-        now = _bits(proposed, filter_bits, None)
+    now = None if proposed is None else _table(proposed, filter_bits)
+    before, found, passes = None, None, 0
     while True:
-        counted = _count(texts, longest, now, before).where((F.col("n") == 0) | (F.col("count") >= least))
+        shared = texts.sparkSession.sparkContext.broadcast((now, before))     # 2^filter_bits bits each, at any scale
+        counted = _count(texts, longest, shared).where((F.col("n") == 0) | (F.col("count") >= least))
         some = written(_hashed(counted), "phrases")
+        shared.destroy()
         passes += 1
         found = some if found is None else found.unionByName(some)
-        known = now if now is not None else np.zeros(1 << (filter_bits - 3), np.uint8)
-        after = _bits(some, filter_bits, known)
-        if np.array_equal(after, known):
+        known = now if now is not None else np.zeros(1 << 5, np.uint8)
+        if not (_bits(some, len(known).bit_length() + 2) & ~known).any():
             return found, passes
-        now, before = after, known
+        before, now = known, _table(found if proposed is None else found.select("n", "hash").unionByName(proposed.select("n", "hash")), filter_bits)
 
 
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, share: int = SHARE, filter_bits: int = FILTER_BITS,

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 
 from tagwise.llm import alignment
+from tagwise.llm.common import Remembered
 from tagwise.llm.queries import QUERIES, tokenizer_path
 from tests.llm.fixtures import awkward_rows, clashing, documents
 
@@ -98,7 +99,7 @@ def test_long_text_without_spaces():
     both = alignment.pair(A, B)
     groups, codes, n_a, n_b = both.align(["x" * 3000 + " tail"])[0]
     assert len(codes) >= max(n_a, n_b) and groups.count(";") + 1 <= n_a
-    assert all(len(c) <= alignment.LONG_CHUNK for c in both.known)
+    assert all(len(c) <= alignment.LONG_CHUNK for c in both.chunks.known)
 
 
 def test_links_survive_their_planes():
@@ -116,3 +117,14 @@ def test_query_and_empty_table(spark, tmp_path):
     rows = [(1, "one two", "en", "s", 0), (2, "one two", "en", "s", 0), (2, None, "en", "s", 0)]
     documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     assert ordered(QUERIES["op11_token_alignment"](spark, str(tmp_path)).collect()) == ordered(brute(rows)[0])
+
+
+def test_remembered_drops_what_is_not_asked_for_again():
+    kept = Remembered(100)
+    for k in range(40):
+        found, new = kept.look_up([k, 0, k])
+        assert new == [x for x in dict.fromkeys([k, 0]) if x not in kept.known] and list(found) == list(dict.fromkeys([k, 0]))
+        assert all(found[x] == (None if x in new else x + 1) for x in found)
+        for x in new:
+            kept.put(x, x + 1, 10)
+    assert 0 in kept.known and kept.size <= 120 and len(kept.known) <= 12

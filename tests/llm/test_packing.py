@@ -4,16 +4,18 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tagwise.llm import packing
+from tagwise.llm.common import by_bytes
 from tagwise.llm.queries import QUERIES, tokenizer_path
 from tests.llm.fixtures import awkward_rows, clashing, documents
 
 PATH = tokenizer_path("word_bpe_49k.json")
 ODD = ["A  b   C\n\n d \n e", " lead", "trail ", "   ", "\n", "it's  THEY'LL <|endoftext|> x<|startoftext|>y <|ENDOFTEXT|>", "tab\t x \x85 y\xa0 z",
-       "\x1c \x1d a \x1e b", "naïve ﬁ CAFÉ 漢字 🙂 é İstanbul ΣΑΣ Σ", "e ́x", "1234 5.6,7"]
+       "\x1c \x1d a \x1e b", "naïve ﬁ CAFÉ 漢字 🙂 é İstanbul ΣΑΣ Σ", "e ́x", "1234 5.6,7", "x\x01y \x01", "(a). b!? ... c's."]
 
 
 def encoded(text):
@@ -75,8 +77,10 @@ def _times(made):
 def test_encoder_equals_whole_texts():
     texts = [r[1] for r in awkward_rows() if r[1]] + ODD
     model = packing.words(PATH)
-    for t, code in zip(texts, model.encode(texts)):
-        assert np.frombuffer(code, model.dtype).tolist() == encoded(t)
+    for some in (pa.array(texts), pa.array(["a b", *texts, None]).slice(1)):
+        ids, ends = model.encode(some)
+        got = [x.tolist() for x in np.split(ids, ends[:-1])]
+        assert got == [encoded(t or "") for t in some.to_pylist()] and len(ids) == ends[-1]
     assert all(len(c) <= packing.LONG_CHUNK for c in model.chunks.known)
 
 
@@ -132,3 +136,10 @@ def test_empty_table_and_query(spark, tmp_path):
     got = QUERIES["op12_packing"](spark, str(tmp_path))
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     check(rows, got.collect())
+
+
+def test_slices_by_bytes():
+    batch = pa.RecordBatch.from_pydict({"x": ["a" * n for n in (1, 2, 3, 50, 0, 4)] + [None]})
+    assert [p.num_rows for p in by_bytes(batch, 0, 6)] == [3, 1, 3]
+    assert [p.num_rows for p in by_bytes(batch.slice(2), 0, 1)] == [1, 1, 1, 1, 1]
+    assert list(by_bytes(batch.slice(0, 0), 0, 6)) == []

@@ -73,7 +73,7 @@ def test_equals_brute_force(spark, share):
 def test_frequent_phrases_with_a_full_filter(spark):
     """A filter of 256 bits is full: everything is counted, nothing is lost."""
     rows = corpus(7, 60)
-    got = phrases.frequent(documents(spark, rows), least=8, filter_bits=8).collect()
+    got = phrases.frequent(documents(spark, rows), least=8, filter_bits=8).collect()          # 2^8 bits
     f, n = counted(rows)
     want = {(lang, " ".join(p)): a for lang, c in f.items() for p, a in c.items() if a >= 8}
     assert {(r.lang, r.phrase): r["count"] for r in got} == want
