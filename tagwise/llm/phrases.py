@@ -9,7 +9,9 @@ word and without its first. Both parts of a frequent phrase are frequent. So:
   and their negative border (all words belong to it). Counts are exact.
 * A phrase of the border that turns out frequent is a failure of the sample: phrases that hold
   it were not counted. Failures are proposed too, and a further pass counts the phrases whose
-  parts are proposed by now and were not before, until no failure is left.
+  parts are proposed by now and were not before, until no failure is left. On the whole corpus
+  that pass takes what it counts itself as proposed, so one such pass closes the set; the
+  sample, where all is new, is closed level by level.
 
 Every frequent phrase is counted then, whatever the sample was: its parts are frequent, hence
 counted, hence proposed.
@@ -41,8 +43,8 @@ SHARE = 8                          # one document in so many is in the sample
 LOWERED = 3                        # the sample's threshold is the expected count over this
 FILTER_BITS = 27                   # 2^27 bits, 16 MB, at any size of the corpus
 UNKNOWN = "und"
-SEGMENT = 2 << 20                  # bytes hashed at once
-FLUSH_WORDS, FLUSH_PHRASES = 2_000_000, 3_000_000
+SEGMENT = 1 << 20                  # bytes hashed at once
+FLUSH_WORDS, FLUSH_PHRASES = 600_000, 1_000_000
 
 _GEN = np.random.Generator(np.random.PCG64(13))
 _BYTES = _GEN.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -120,8 +122,8 @@ class _Counts:
     """Counts of one task. Rows: words of a phrase (0: all words), the hashes of its parts (a
     word: its own and 0), language and word (of words), count."""
 
-    def __init__(self, longest: int, now: np.ndarray | None, before: np.ndarray | None):
-        self.longest, self.now, self.before = longest, now, before
+    def __init__(self, longest: int, now: np.ndarray | None, before: np.ndarray | None, through: bool):
+        self.longest, self.now, self.before, self.through = longest, now, before, through
         self.words, self.n_words = [], 0
         self.grams, self.n_grams = {n: [] for n in range(2, longest + 1)}, 0
         self.totals: dict[str, int] = {}
@@ -164,7 +166,8 @@ class _Counts:
                     self.grams[n].append((counted, left, right))
                     self.n_grams += len(counted)
                 if n < self.longest:
-                    kept = np.flatnonzero(has_bit(self.now, of))
+                    kept = has_bit(self.now, of)
+                    kept = np.flatnonzero(kept | ~was if self.through else kept)
                     of, place, was = of[kept], place[kept], was[kept]
                     if self.before is not None:
                         was &= has_bit(self.before, of)
@@ -209,7 +212,8 @@ class _Counts:
 
 def _count(texts: DataFrame, longest: int, shared) -> DataFrame:
     """Exact counts of one pass: of all words (only without a second table), and of the phrases whose parts
-    both have bits in the first table of ``shared`` but not both in the second."""
+    both have bits in the first table of ``shared`` but not both in the second. The third says
+    whether what is counted here is extended like what has a bit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _Counts(longest, *shared.value)
         held: dict[str, list[bytes]] = {}
@@ -271,14 +275,17 @@ def _closed(texts: DataFrame, least: int, longest: int, filter_bits: int, propos
     now = None if proposed is None else _table(proposed, filter_bits)
     before, found, passes = None, None, 0
     while True:
-        shared = texts.sparkSession.sparkContext.broadcast((now, before))     # 2^filter_bits bits each, at any scale
+        through = proposed is not None and before is not None
+        shared = texts.sparkSession.sparkContext.broadcast((now, before, through))     # 2^filter_bits bits each, at any scale
         counted = _count(texts, longest, shared).where((F.col("n") == 0) | (F.col("count") >= least))
         some = written(_hashed(counted), "phrases")
         shared.destroy()
         passes += 1
         found = some if found is None else found.unionByName(some)
         known = now if now is not None else np.zeros(1 << 5, np.uint8)
-        if not (_bits(some, len(known).bit_length() + 2) & ~known).any():
+        # a frequent phrase's parts are frequent: after a pass that went through, both had bits
+        # or were counted by that pass, so the phrase was counted too
+        if through or not (_bits(some, len(known).bit_length() + 2) & ~known).any():
             return found, passes
         before, now = known, _table(found if proposed is None else found.select("n", "hash").unionByName(proposed.select("n", "hash")), filter_bits)
 

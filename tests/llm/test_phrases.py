@@ -85,12 +85,15 @@ def test_frequent_phrases_with_a_full_filter(spark):
 
 
 def test_failures_trigger_passes(spark):
-    """A phrase that the sample lacks: each pass reaches one word further, then the set is closed."""
+    """Phrases that the sample lacks: one pass for all that hold them. A sample itself is closed
+    word by word. Nothing is counted again once it is proposed."""
     texts = documents(spark, [(i, "a b c d e f", "en", "s", 0) for i in range(20)]).select(F.col("lang").alias("l"), F.col("text").alias("t"))
     found, passes = phrases._closed(texts, 10, 5, 20, texts.limit(0).selectExpr("0 n", "0L hash"))
-    assert passes == 6 and found.where("n = 5").count() == 2
+    assert passes == 2 and found.where("n = 5").count() == 2 and found.where("n > 0").count() == 6 + 5 + 4 + 3 + 2
+    level, passes = phrases._closed(texts, 10, 5, 20, None)
+    assert passes == 6 and sorted(level.collect()) == sorted(found.collect())
     again, passes = phrases._closed(texts, 10, 5, 20, found)
-    assert passes == 1 and again.where("n > 0").count() == 6 + 5 + 4 + 3 + 2
+    assert passes == 1 and sorted(again.collect()) == sorted(found.collect())
 
 
 def test_flushes_and_long_pieces(spark, monkeypatch):
