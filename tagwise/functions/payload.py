@@ -27,55 +27,54 @@ from tagwise.functions import text as tx
 from tagwise.taxonomy import MAX_TEXT_LENGTH
 
 
-# One parse of the document into its top-level fields (nested values come back as their
-# JSON text) and one parse of the nested ticket object, instead of one JSON parse per
-# extracted path; the small expressions also keep the stage inside whole-stage codegen.
-TOP_LEVEL = "map<string,string>"
+# Three parses in all: the document's typed fields (of a nested object its JSON text), the
+# nested ticket object, and the id as a number. Each result leaves a generator as a column of
+# its own, so no later expression or pushed filter holds a parse again.
+DOCUMENT = ("struct<ticket_id:string,body_text:string,from_agent:string,subject:string,"
+            "event:struct<object:string>,data:struct<object:string>>")
 JSON_EDGES = "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$"
 TICKET_OBJECT = "struct<id:string,subject:string,messages:array<struct<body_text:string,body_html:string>>>"
+NUMBERS = "struct<ticket_id:double,id:double>"
 
 
 def _nz(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def _field(m: Column, key: str) -> Column:
-    """A key's value; of a repeated key the last one's."""
-    return F.try_element_at(F.filter(F.map_entries(m), lambda e: e["key"] == key), F.lit(-1))["value"]
-
-
-def _whole_number(document: Column, key: str, text: Column) -> Column:
-    """``text`` (the key's value) where it is written as an integer; a JSON number in another
-    form (12.0, 1e3) cut to one; else ``text`` again."""
-    number = F.from_json(document, f"struct<{key}:double>")[key]
-    return F.when(text.rlike("^-?[0-9]+$") | number.isNull(), text).otherwise(number.try_cast("bigint").cast("string"))
+def _bound(df: DataFrame, name: str, **values: Column) -> DataFrame:
+    """``df`` with the struct ``name`` of these values, each evaluated once a row: what reads the
+    struct stays above the generator that made it."""
+    return df.withColumn(name, F.explode(F.array(F.struct(*[c.alias(k) for k, c in values.items()]))))
 
 
 def parse_ticket_payload(df: DataFrame, value_col: str = "value") -> DataFrame:
     """Add ``malformed, from_agent, ticket_id, text`` parsed from a JSON string column."""
-    v = F.col(value_col)
     # One document and nothing else: as the only element of an array, whatever follows its
     # closing brace is a syntax error or a second element. JSON white space around it is none.
-    bare = F.regexp_replace(v, JSON_EDGES, "")
-    documents = F.from_json(F.concat(F.lit("["), bare, F.lit("]")), f"array<{TOP_LEVEL}>")
-    top = F.when(bare.startswith("{") & (F.size(documents) == 1), F.get(documents, F.lit(0)))
-    flat_id = _nz(_whole_number(bare, "ticket_id", _field(top, "ticket_id")))
-    flat_text = _nz(_field(top, "body_text"))
+    bare = F.regexp_replace(F.col(value_col), JSON_EDGES, "")
+    read = _bound(df, "_read", bare=bare, documents=F.from_json(F.concat(F.lit("["), bare, F.lit("]")), f"array<{DOCUMENT}>"))
+    whole = F.col("_read.bare").startswith("{") & (F.size("_read.documents") == 1)
+    read = _bound(read, "_top", top=F.when(whole, F.get("_read.documents", F.lit(0))))
+    top = F.col("_top.top")
+    flat_id, flat_text = _nz(top["ticket_id"]), _nz(top["body_text"])
     use_nested = flat_id.isNull() & flat_text.isNull()
-    inner = lambda key: _field(F.from_json(_field(top, key), TOP_LEVEL), "object")
-    obj_json = F.coalesce(F.nullif(_nz(inner("event")), F.lit("{}")), inner("data"))
-    obj = F.from_json(obj_json, TICKET_OBJECT)
-    first = F.try_element_at(obj["messages"], F.lit(1))
-    nested_text = F.coalesce(_nz(first["body_text"]), _nz(first["body_html"]), _nz(obj["subject"]))
-    raw_id = F.when(use_nested, _whole_number(obj_json, "id", obj["id"])).otherwise(flat_id)
-    raw_text = F.coalesce(F.when(use_nested, nested_text).otherwise(flat_text),
-                          _nz(_field(top, "subject")), F.lit(""))
-    malformed = top.isNull()
-    return (df
-            .withColumn("malformed", malformed)
-            .withColumn("from_agent", F.lower(F.coalesce(_field(top, "from_agent"), F.lit(""))) == "true")
-            .withColumn("ticket_id", tx.safe_bigint(F.coalesce(raw_id, F.lit("0"))))
-            .withColumn("text", tx.truncate(tx.strip(tx.strip_html(raw_text)), MAX_TEXT_LENGTH)))
+    nested = F.coalesce(F.nullif(_nz(top["event"]["object"]), F.lit("{}")), top["data"]["object"])
+    read = _bound(read, "_ticket", nested=use_nested, object=F.from_json(F.when(use_nested, nested), TICKET_OBJECT),
+                  number=F.from_json(F.when(use_nested, nested).otherwise(F.col("_read.bare")), NUMBERS))
+    is_nested, ticket, number = F.col("_ticket.nested"), F.col("_ticket.object"), F.col("_ticket.number")
+    first = F.try_element_at(ticket["messages"], F.lit(1))
+    nested_text = F.coalesce(_nz(first["body_text"]), _nz(first["body_html"]), _nz(ticket["subject"]))
+    raw_text = F.coalesce(F.when(is_nested, nested_text).otherwise(flat_text), _nz(top["subject"]), F.lit(""))
+    raw_id = F.when(is_nested, ticket["id"]).otherwise(flat_id)
+    value = F.when(is_nested, number["id"]).otherwise(number["ticket_id"])
+    # written as an integer, or no JSON number: by its text; a number in another form is cut
+    whole_id = F.when(raw_id.rlike("^-?[0-9]+$") | value.isNull(), raw_id).otherwise(value.try_cast("bigint").cast("string"))
+    return (read
+            .withColumn("malformed", top.isNull())
+            .withColumn("from_agent", F.lower(F.coalesce(top["from_agent"], F.lit(""))) == "true")
+            .withColumn("ticket_id", tx.safe_bigint(F.coalesce(whole_id, F.lit("0"))))
+            .withColumn("text", tx.truncate(tx.strip(tx.strip_html(raw_text)), MAX_TEXT_LENGTH))
+            .drop("_read", "_top", "_ticket"))
 
 
 def sql_parse_ticket_payload(v: str) -> dict[str, str]:

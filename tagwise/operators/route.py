@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagwise import taxonomy as tx
+from tagwise.functions import crypto
 from tagwise.functions import payload as pl
 from tagwise.operators import curate as cu
 from tagwise.operators import naive_bayes as nb
@@ -29,6 +30,49 @@ def parse_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.filter(~F.col("malformed")), parsed.filter(F.col("malformed"))
 
 
+#: How a delivery ends before it is scored, in the order of the checks; ``READY`` goes on.
+REJECTED = ("invalid_signature", "malformed", "unknown_account", "unusable")
+SKIPPED, READY = "agent_message", "ready"
+
+
+def triage(events: DataFrame, secrets: list[str], installed: DataFrame, settings: DataFrame) -> DataFrame:
+    """ST1 up to scoring: signature, then parse, agent skip, known account, settings, usable text.
+
+    ``events`` carry ``value, signature, account_id``; an unsigned delivery is accepted, one whose
+    signature no secret explains is rejected unparsed. Adds ``outcome`` (of :data:`REJECTED`,
+    :data:`SKIPPED` or :data:`READY`), ``ticket_id, text, threshold, enabled_intents``; every delivery
+    is one row. Which account is known is a left join, so that one pass tells all outcomes.
+    """
+    status = crypto.signature_status(F.encode("value", "UTF-8"), F.col("signature"), secrets)
+    signed = events.withColumn("_invalid", status == "invalid")
+    invalid = signed.where("_invalid").drop("_invalid").withColumn("outcome", F.lit(REJECTED[0]))
+    parsed = pl.parse_ticket_payload(signed.where("NOT _invalid").drop("_invalid"))
+    known = parsed.join(installed.select("account_id", F.lit(True).alias("_known")), "account_id", "left")
+    outcome = (F.when(F.col("malformed"), REJECTED[1]).when(F.col("from_agent"), SKIPPED)
+               .when(F.col("_known").isNull(), REJECTED[2])
+               .when((F.col("text") == "") | (F.col("ticket_id") == 0), REJECTED[3]).otherwise(READY))
+    checked = with_settings(known, settings).withColumn("outcome", outcome).drop("malformed", "from_agent", "_known")
+    return checked.unionByName(invalid, allowMissingColumns=True)
+
+
+def decide(ready: DataFrame, model: nb.NaiveBayesModel, class_to_intent: dict[str, str] | None) -> DataFrame:
+    """ST3: a decision for every ready delivery, failed ones included. A text without a letter
+    token cannot be classified: intent OTHER, confidence 0.0, the unclassified tag, and
+    ``success`` false. Each text is scored once, however often it was delivered."""
+    ready = ready.withColumn("_text", F.md5("text"))
+    texts = ready.select("_text", "text").distinct().withColumn("tokens", nb.tokens("text")).where(F.size("tokens") > 0)
+    scored = nb.score(model, texts, "_text").select("_text", "pred", "confidence")
+    found = ready.join(scored, "_text", "left").drop("_text")
+    ok = F.col("pred").isNotNull()
+    intent = F.col("pred") if class_to_intent is None else cu.map_label("pred", class_to_intent)
+    found = found.withColumn("success", ok).withColumn("confidence", F.coalesce("confidence", F.lit(0.0))) \
+        .withColumn("intent_raw", F.when(ok, intent))
+    found = nb.apply_threshold(found, F.col("threshold"))
+    return found.withColumn("below_threshold", ~ok | F.col("below_threshold")) \
+        .withColumn("intent", F.when(ok, F.col("intent")).otherwise(F.lit(tx.DEFAULT_LABEL))) \
+        .withColumn("tag", choose_tag(F.col("intent"), F.col("below_threshold"), F.col("enabled_intents"))).drop("pred", "intent_raw")
+
+
 def customer_messages(parsed: DataFrame) -> DataFrame:
     """Drop agent-authored messages (``from_agent`` 'true' in any case)."""
     return parsed.filter(~F.col("from_agent"))

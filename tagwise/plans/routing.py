@@ -17,8 +17,10 @@ from tagwise.operators import privacy as pv
 from tagwise.operators import route as rt
 from tagwise.plans import scoring
 from tagwise.plans.registry import query
+from tagwise.session import materialize
 from tagwise.sources import settings as st
 from tagwise.sources import tables as tb
+from tagwise.streaming import tagging as stag
 
 ALL_SQL = "[" + ", ".join(f"'{x}'" for x in tx.LABELS) + "]"
 
@@ -57,6 +59,9 @@ def tagged_tickets(spark, d):
     ready = rt.usable(rt.with_settings(known, tb.account_settings(spark, d)))
     ready = ready.withColumn("msg_id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))) \
         .withColumn("text_hash", fx.text_hash("text"))
+    # written once: the scorer reads the tokens and the other columns apart
+    ready = materialize(ready.select("conv_id", "turn", "account_id", "ticket_id", "text", "text_hash", "msg_id", "threshold", "enabled_intents"),
+                        "parsed-tickets")
     return rt.score_and_tag(ready, scoring.nb_model(spark, d), "msg_id", None,
                             keep=["conv_id", "turn", "account_id", "ticket_id", "text_hash"])
 
@@ -105,13 +110,50 @@ def automation_share(spark, d):
     return ev.automation_share(tagged_tickets(spark, d))
 
 
+# --- ST1 / ST3 whole: signature, rejects, failed decisions ------------------------------
+
+SQL_DECIDED = f"""ev AS ({tb.SQL_TICKET_EVENTS}),
+accepted AS (SELECT *, CASE WHEN json_valid(value) THEN value ELSE '{{}}' END AS doc FROM ev WHERE signature_status <> 'invalid'),
+read_ AS (SELECT conv_id, turn, account_id, ts, json_valid(value) AS ok, {pl.sql_parse_ticket_payload('doc')['from_agent']} AS from_agent,
+                 {pl.sql_parse_ticket_payload('doc')['ticket_id']} AS ticket_id, {pl.sql_parse_ticket_payload('doc')['text']} AS text
+          FROM accepted),
+triaged AS (SELECT *, CASE WHEN NOT ok THEN 'malformed' WHEN from_agent THEN 'agent_message'
+                           WHEN account_id NOT IN (SELECT c_custkey FROM customer) THEN 'unknown_account'
+                           WHEN text = '' OR ticket_id = 0 THEN 'unusable' ELSE 'ready' END AS outcome FROM read_),
+rejects AS (SELECT conv_id, turn, account_id, outcome AS reason, ts FROM triaged WHERE outcome NOT IN ('ready', 'agent_message')
+            UNION ALL SELECT conv_id, turn, account_id, 'invalid_signature', ts FROM ev WHERE signature_status = 'invalid'),
+sett AS ({tb.SQL_ACCOUNT_SETTINGS}),
+ready AS (SELECT p.conv_id::VARCHAR || ':' || p.turn::VARCHAR AS msg_id, p.*, coalesce(s.confidence_threshold, 0.70::DOUBLE) AS threshold,
+                 s.enabled_intents, {fx.sql_letter_tokens('p.text')} AS toks
+          FROM triaged p LEFT JOIN sett s ON s.account_id = p.account_id WHERE outcome = 'ready'),
+{nb.sql_scores(f"""{scoring.SQL_NB_TRAIN},
+test AS (SELECT msg_id, toks FROM ready)""", 'msg_id')},
+scored AS (SELECT r.*, len(r.toks) > 0 AS success, CASE WHEN len(r.toks) > 0 THEN b.confidence ELSE 0.0::DOUBLE END AS confidence, b.pred AS intent_raw
+           FROM ready r JOIN best b ON b.msg_id = r.msg_id),
+tagged AS (SELECT *, NOT success OR confidence < threshold AS below_threshold,
+                  CASE WHEN NOT success OR confidence < threshold THEN 'OTHER' ELSE intent_raw END AS intent FROM scored),
+decided AS (SELECT *, {_sql_tag('intent', 'below_threshold', 'enabled_intents')} AS tag, {fx.sql_text_hash('text')} AS text_hash FROM tagged)"""
+
+
+def decided_deliveries(spark, d):
+    """Batch form of the tagging stream: every delivery with its outcome and decision."""
+    return stag.decided(tb.ticket_events(spark, d), [tb.WEBHOOK_SECRET], scoring.nb_model(spark, d),
+                        tb.installed_accounts(spark, d), tb.account_settings(spark, d), None)
+
+
 @query("ticket_classification_log", covers="S12 ST3 F2",
-       sql=f"""WITH {SQL_TAGGED}
-SELECT account_id, ticket_id, {fx.sql_text_hash('text')} AS text_hash, intent, confidence, TRUE AS success
-FROM tagged2""")
+       sql=f"""WITH {SQL_DECIDED}
+SELECT account_id, ticket_id, text_hash, intent, confidence, success, ts FROM decided""")
 def ticket_classification_log(spark, d):
-    return tagged_tickets(spark, d).select("account_id", "ticket_id", "text_hash", "intent", "confidence",
-                                           F.lit(True).alias("success"))
+    return stag.Sinks.MADE["log"](decided_deliveries(spark, d))
+
+
+@query("webhook_rejects", covers="ST1 F14",
+       sql=f"WITH {SQL_DECIDED}\nSELECT conv_id, turn, account_id, reason, ts FROM rejects")
+def webhook_rejects(spark, d):
+    """Deliveries that are not classified, with the first check they fail; invalid signatures are
+    not parsed."""
+    return stag.Sinks.MADE["rejects"](decided_deliveries(spark, d))
 
 
 @query("unknown_account_events", covers="J5 P11",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tagwise import taxonomy as tx
 from tagwise.plans import routing, scoring
 from tagwise.plans.registry import ORACLES, query
-from tagwise.session import scratch_path
+from tagwise.session import scratch_path, shared_path
 from tagwise.sources import tables as tb
 from tagwise.streaming import billing as sbill
 from tagwise.streaming import common
@@ -29,19 +29,46 @@ def _log_stream(spark, d, name, df=None, key="ts"):
     return common.file_stream(spark, path, df.schema, files)
 
 
-@query("stream_ticket_tags", covers="ST1 ST3 S14",
-       sql=ORACLES["ticket_tags"])
+def _tagging(spark, d):
+    """The tagging stream over all deliveries, run once for an application and input."""
+    def run() -> str:
+        src = scratch_path(spark, "landing-payloads")
+        events = tb.ticket_events(spark, d)
+        files = common.stage_files(events, src, "conv_id", TRIGGERS)
+        stream = common.file_stream(spark, src, events.schema, files)
+        model = stag.materialise_model(spark, scoring.nb_model(spark, d))
+        root = scratch_path(spark, "tagging")
+        sinks = stag.start_tagging(spark, stream, [tb.WEBHOOK_SECRET], model, tb.installed_accounts(spark, d), tb.account_settings(spark, d), None, root)
+        sinks.compact_counters()
+        return root
+    return stag.Sinks(spark, shared_path(spark, "tagging", d, run))
+
+
+@query("stream_ticket_tags", covers="ST1 S14",
+       sql=f"WITH {routing.SQL_DECIDED}\nSELECT {', '.join(stag.TAGS)} FROM decided")
 def stream_ticket_tags(spark, d):
-    src = scratch_path(spark, "landing-payloads")
-    pay = tb.ticket_payloads(spark, d)
-    files = common.stage_files(pay, src, "conv_id", TRIGGERS)
-    stream = common.file_stream(spark, src, pay.schema, files)
-    model = stag.materialise_model(spark, scoring.nb_model(spark, d))
-    out, log, quarantine = (scratch_path(spark, n) for n in ("tags", "tag-log", "quarantine"))
-    stag.start_tagging(spark, stream, model, tb.installed_accounts(spark, d), tb.account_settings(spark, d),
-                       None, out, log, quarantine)
-    return spark.read.parquet(out).select("conv_id", "turn", "account_id", "ticket_id", "threshold",
-                                          "intent", "confidence", "below_threshold", "tag")
+    return _tagging(spark, d).read("tags").select(*stag.TAGS)
+
+
+@query("stream_classification_log", covers="ST3 S12",
+       sql=ORACLES["ticket_classification_log"])
+def stream_classification_log(spark, d):
+    return _tagging(spark, d).read("log").select(*stag.LOG)
+
+
+@query("stream_webhook_rejects", covers="ST1 ST2 F14",
+       sql=ORACLES["webhook_rejects"])
+def stream_webhook_rejects(spark, d):
+    return _tagging(spark, d).read("rejects").select("conv_id", "turn", "account_id", "reason", "ts")
+
+
+@query("stream_decision_counters", covers="ST1 ST6 A21",
+       sql=f"""WITH {routing.SQL_DECIDED}
+SELECT account_id, count(*) AS total_classified, count(*) FILTER (WHERE NOT success) AS total_errors,
+       max(ts) AS last_processed_at FROM decided GROUP BY account_id""")
+def stream_decision_counters(spark, d):
+    """Counters fed by the tagging stream's own log, from a snapshot and the batches after it."""
+    return _tagging(spark, d).counters()
 
 
 @query("stream_optin_capture", covers="ST4 P12 J6",

@@ -87,16 +87,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _SHARED: dict[tuple[str, str], str] = {}
 
 
-def shared_table(spark: SparkSession, name: str, key: str, build):
-    """The table that ``build()`` describes, written once for each application and ``key`` (the
-    input it derives from) and read back by every later caller: queries over one curated corpus
-    or one fitted model do not derive it again."""
-    at = (f"{spark.sparkContext.applicationId}/{name}", key)
+def shared_path(spark: SparkSession, name: str, key: str, build) -> str:
+    """The folder that ``build()`` returns, made once for each application, ``key`` (the input
+    it derives from) and state of that input's files."""
+    at = (f"{spark.sparkContext.applicationId}/{name}", f"{key}@{_input_state(spark, key)}")
     if at not in _SHARED:
+        _SHARED[at] = build()
+    return _SHARED[at]
+
+
+def _input_state(spark: SparkSession, folder: str) -> int:
+    """Latest modification time of the tables in an input folder and of their files, so that an
+    input written anew is not taken for the one that was read before."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return max((s.getModificationTime() for s in fs.listStatus(path)), default=0) if fs.exists(path) else 0
+
+
+def shared_table(spark: SparkSession, name: str, key: str, build):
+    """The table that ``build()`` describes, written once (see :func:`shared_path`) and read back
+    by every later caller: queries over one curated corpus or one fitted model do not derive it
+    again."""
+    def write() -> str:
         path = scratch_path(spark, name)
         build().write.mode("overwrite").parquet(path)
-        _SHARED[at] = path
-    return spark.read.parquet(_SHARED[at])
+        return path
+    return spark.read.parquet(shared_path(spark, name, key, write))
 
 
 def materialize(df, name: str):

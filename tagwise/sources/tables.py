@@ -84,7 +84,10 @@ def ticket_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``event.object`` shape with the text as ``body_html``; every fifth is unsigned-flat
     with an HTML-wrapped body; the rest are flat.
     """
-    c = table(spark, sf_dir, "conversations")
+    return _payloads(table(spark, sf_dir, "conversations"))
+
+
+def _payloads(c: DataFrame) -> DataFrame:
     tid = (F.col("conv_id") + 1).cast("string")
     agent = F.when(F.col("role") == "user", F.lit("False")).otherwise(F.lit("True"))
     flat = F.to_json(F.struct(tid.alias("ticket_id"), agent.alias("from_agent"),
@@ -123,6 +126,33 @@ SELECT conv_id, turn, CASE WHEN conv_id % 4 = 3 THEN -(conv_id + 1) ELSE conv_id
 FROM conversations"""
 
 
+#: A message of one number, which no classifier can place, in every seventh conversation; every
+#: 13th conversation's payloads are cut short, hence malformed.
+WEBHOOK_SECRET, WRONG_SECRET = "test-secret-1", "not-the-secret"
+
+
+def ticket_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Webhook deliveries as they arrive: ``conv_id, turn, account_id, value, signature, ts``. By
+    turn, a third is signed, a third signed with another secret and a third not signed."""
+    from tagwise.functions import crypto
+    c = table(spark, sf_dir, "conversations").withColumn(
+        "text", F.when(F.col("conv_id") % 7 == 3, F.concat(F.col("conv_id").cast("string"), F.lit(" 4711"))).otherwise(F.col("text")))
+    value = F.when(F.col("conv_id") % 13 == 5, F.substring("value", F.lit(1), F.length("value") - 1)).otherwise(F.col("value"))
+    body = F.encode("value", "UTF-8")
+    signature = F.when(F.col("turn") % 3 == 0, crypto.hmac_sha256_b64(body, WEBHOOK_SECRET)) \
+        .when(F.col("turn") % 3 == 1, crypto.hmac_sha256_b64(body, WRONG_SECRET)).otherwise(F.lit(""))
+    return _payloads(c).withColumn("value", value).withColumn("signature", signature) \
+        .withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 600 + F.col("turn") * 30))
+
+
+SQL_TICKET_EVENTS = f"""
+SELECT conv_id, turn, account_id, CASE WHEN conv_id % 13 = 5 THEN value[:-2] ELSE value END AS value,
+       CASE WHEN turn % 3 = 0 THEN 'valid' WHEN turn % 3 = 1 THEN 'invalid' ELSE 'missing' END AS signature_status,
+       make_timestamp((1700000000 + conv_id * 600 + turn * 30) * 1000000) AS ts
+FROM ({SQL_TICKET_PAYLOADS.replace('FROM conversations', """FROM (SELECT * REPLACE (
+  CASE WHEN conv_id % 7 = 3 THEN conv_id::VARCHAR || ' 4711' ELSE text END AS text) FROM conversations)""")})"""
+
+
 # --- classification log from events --------------------------------------------------
 
 def event_confidence() -> F.Column:

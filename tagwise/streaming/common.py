@@ -47,11 +47,27 @@ def idempotent_writer(path: str, transform: Callable[[DataFrame, int], DataFrame
     return write
 
 
-def run_available_now(writer, name: str, spark: SparkSession) -> int:
-    """Start ``writer`` (a DataStreamWriter) with an availableNow trigger and a fresh
-    checkpoint; block until all available input is processed. Returns how many rows came behind
-    the watermark and were dropped (ST10)."""
-    ckpt = scratch_path(spark, f"ckpt-{name}")
+def finished(spark: SparkSession, path: str, column: str) -> set[int]:
+    """Values of the ``column=<number>`` folders below ``path`` that a job finished (it leaves a
+    mark when all its files are there)."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return set()
+    found = set()
+    for s in fs.listStatus(folder):
+        key, _, value = s.getPath().getName().partition("=")
+        if key == column and value.isdigit() and fs.exists(hadoop.Path(s.getPath(), "_SUCCESS")):
+            found.add(int(value))
+    return found
+
+
+def run_available_now(writer, name: str, spark: SparkSession, checkpoint: str | None = None) -> int:
+    """Start ``writer`` (a DataStreamWriter) with an availableNow trigger, from ``checkpoint`` on
+    (a fresh one without it); block until all available input is processed. Returns how many rows
+    came behind the watermark and were dropped (ST10)."""
+    ckpt = checkpoint or scratch_path(spark, f"ckpt-{name}")
     q = writer.option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
