@@ -214,6 +214,17 @@ def curate(raw: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
     return rows
 
 
+def curate_sources(corpus: DataFrame) -> DataFrame:
+    """Full curation of a corpus read from files in order (``sources.files.read_corpus`` with
+    ``ordered``): ``text, source, label, label_id, word_count, text_hash, split``. Of equal texts the
+    one that comes first in the sources stays, with its label and source. Afterwards a text is
+    known by its hash, which ranks it for cap and split: where the files lie does not matter."""
+    kept = dedup_keep_first(length_filter(corpus.withColumn("text", fx.strip("text"))), "source_order").drop("source_order")
+    known = kept.withColumn("label_id", label_id("label")).filter(F.col("label_id").isNotNull())
+    rows, _ = cap_and_split(known.withColumn("doc_id", F.col("text_hash")))
+    return rows.drop("doc_id")
+
+
 def split_distribution(curated: DataFrame) -> DataFrame:
     """A3: counts and % per (split, label); the share window runs on the small result."""
     g = curated.groupBy("split", "label", "label_id").agg(F.count(F.lit(1)).alias("n"))

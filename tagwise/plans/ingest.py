@@ -36,27 +36,56 @@ g AS (SELECT source, label, count(*) AS n FROM r GROUP BY source, label)
 SELECT source, label, n, CAST(sum(n) OVER (PARTITION BY source) AS BIGINT) AS total_rows,
        count(*) OVER (PARTITION BY source) AS num_labels FROM g""")
 def multi_source_ingest(spark, d):
+    folder = _raw_sources(spark, d)
+    src = fl.read_sources(spark, folder, RAW_CSV_SCHEMA).na.drop(subset=["text", "label"])
+    from pyspark.sql import Window
+    g = src.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("source")
+    return g.withColumn("total_rows", F.sum("n").over(w)).withColumn("num_labels", F.count(F.lit(1)).over(w))
+
+
+def _raw_sources(spark, d) -> str:
+    """``documents`` as source files in a new folder, rows in descending order of ``doc_id``. Four
+    layouts: reference names, canonical names, no known name (first and last column), and a
+    CSV whose header is in the other order; and a CSV that its Parquet namesake shadows."""
     folder = scratch_path(spark, "raw-sources")
     docs = tb.table(spark, d, "documents").select(
-        F.col("text").alias("Instruction"),
+        "doc_id", F.col("text").alias("Instruction"),
         F.when(F.col("doc_id") % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("lang")).alias("Intent"),
         (F.regexp_extract("source", r"([0-9]+)$", 1).cast("int") % 4).alias("stem"))
 
     def layout(stem, *names):
-        return docs.filter(F.col("stem") == stem).select(*[F.col(old).alias(new) for old, new in names])
+        return docs.filter(F.col("stem") == stem).orderBy(F.desc("doc_id")).select(*[F.col(old).alias(new) for old, new in names])
 
-    # four layouts: reference names, canonical names, no known name (first and last column),
-    # and a CSV whose header is in the other order
     layout(0, ("Instruction", "Instruction"), ("Intent", "Intent")).write.parquet(f"{folder}/bitext_0.parquet")
     layout(1, ("Intent", "label"), ("Instruction", "text")).write.parquet(f"{folder}/bitext_1.parquet")
     layout(2, ("Instruction", "utterance"), ("stem", "batch"), ("Intent", "category")).write.parquet(f"{folder}/bitext_2.parquet")
     fl.write_csv(layout(3, ("Intent", "Intent"), ("Instruction", "Instruction")), f"{folder}/bitext_3.csv")
-    fl.write_csv(layout(0, ("Instruction", "Instruction"), ("Intent", "Intent")), f"{folder}/bitext_0.csv")   # shadowed by the Parquet stem
-    src = fl.read_sources(spark, folder, RAW_CSV_SCHEMA).na.drop(subset=["text", "label"])
-    from pyspark.sql import Window
-    g = src.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("source")
-    return g.withColumn("total_rows", F.sum("n").over(w)).withColumn("num_labels", F.count(F.lit(1)).over(w))
+    fl.write_csv(layout(0, ("Instruction", "Instruction"), ("Intent", "Intent")), f"{folder}/bitext_0.csv")
+    return folder
+
+
+_SQL_FILES = SQL_BASE[SQL_BASE.index("lf AS"):].replace("b.doc_id", "b.text_hash").replace("ORDER BY doc_id", "ORDER BY rk, pos") \
+    .replace(cu.sql_map_label("raw_label", tx.LANG_LABEL_MAP), "mapped").replace("r.doc_id, ", "")
+
+
+@query("file_curated_corpus", covers="S3 S4 S5 S6 W1 U1 J1 A5 W2 W3",
+       sql=f"""WITH norm AS (
+  SELECT {fx.sql_strip('text')} AS text, 'bitext_' || stem::VARCHAR AS source, stem AS rk, -doc_id AS pos,
+         {cu.sql_map_label('lang', tx.LANG_LABEL_MAP)} AS mapped
+  FROM (SELECT *, CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 4 AS stem FROM documents)
+  WHERE text IS NOT NULL AND lang IS NOT NULL AND doc_id % 11 <> 0
+  UNION ALL SELECT {fx.sql_strip('text')}, 'synthetic_claude', 9, doc_id, 'OTHER' FROM documents WHERE doc_id % 5 = 0 AND text IS NOT NULL),
+{_SQL_FILES}
+SELECT source, label, label_id, word_count, text_hash, split FROM curated""")
+def file_curated_corpus(spark, d):
+    """Files of four layouts and a synthetic table that repeats texts, curated in source order."""
+    folder = _raw_sources(spark, d)
+    made = tb.table(spark, d, "documents").where("doc_id % 5 = 0 AND text IS NOT NULL").orderBy("doc_id") \
+        .select(F.concat("text", F.lit(" ")).alias("text"), F.lit("OTHER").alias("label"), F.lit("synthetic_claude").alias("source"))
+    made.write.parquet(f"{folder}/synthetic.parquet")
+    corpus = fl.read_corpus(spark, folder, RAW_CSV_SCHEMA, lambda c: cu.map_label(c, tx.LANG_LABEL_MAP), f"{folder}/synthetic.parquet", ordered=True)
+    return cu.curate_sources(corpus).select("source", "label", "label_id", "word_count", "text_hash", "split")
 
 
 @query("taxonomy_config_scan", covers="S7 J1 J2",

@@ -4,7 +4,10 @@
   cluster file system) and keeps one entry per stem, Parquet before CSV.
 * Files that share a layout are read by **one** scan over all their paths; files of different
   layouts are read apart, brought to ``(text, label, source)`` and united by name, so no file
-  is read with another one's schema. A layout is metadata: a Parquet footer, a CSV header.
+  is read with another one's schema. A layout is metadata: a Parquet footer, a CSV header. One
+  job reads those of all paths, the driver gets a line for each.
+* Rows know their place in the sources (:func:`source_order`), so that "the first one wins" holds
+  from files to the curated corpus, however the files are split into tasks.
 * CSV is bound by header name to an explicit schema (never ``inferSchema``), ``multiLine`` and
   RFC-4180 quote doubling, so texts with quotes and newlines round-trip; a header that the
   schema does not know is an error.
@@ -66,22 +69,92 @@ def normalised(df: DataFrame) -> DataFrame:
     the row came from (S6)."""
     text, label = source_columns(df.columns)
     own = [c for c in df.columns if c.lower() == "source" and c not in (text, label)]
-    stem = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.(?:parquet|csv)(?:/[^/]*)?$", 1)
     return df.select(F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label"),
-                     (F.col(own[0]) if own else stem).alias("source"))
-
-
-def _by_layout(paths: list[str], layout) -> list[tuple]:
+                     (F.col(own[0]) if own else _stem()).alias("source"))
+
+
+def _stem() -> Column:
+    """Name of the file or directory that a row came from, without folder and ending."""
+    return F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.(?:parquet|csv)(?:/[^/]*)?$", 1)
+
+
+#: Ranks of what :func:`read_corpus` reads, the synthetic table last.
+PARQUET_RANK, CSV_RANK, SYNTHETIC_RANK = 0, 1, 2
+
+
+def source_order(rank: int) -> Column:
+    """A row's place among all rows of the sources: ``struct(rank, stem, file, row)``, ascending in
+    the order of :func:`discover_sources` and of the rows in each file.
+
+    A Parquet row has its number in the file. A multi-line CSV file is not split, so its rows
+    follow each other in one task, and their running numbers there keep the file's order. Read
+    it from the scan itself, before a filter or shuffle.
+    """
+    row = F.col("_metadata.row_index") if rank != CSV_RANK else F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.struct(F.lit(rank).alias("rank"), _stem().alias("stem"), F.col("_metadata.file_path").alias("file"), row.alias("row"))
+
+
+def _layout_of(path: str) -> str:
+    """Names and types of a Parquet file's columns, or a CSV file's header, as JSON; of a
+    directory, those of its first file."""
+    import csv
+    import io
+
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+    where, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if where.get_file_info(at).type == fs.FileType.Directory:
+        files = sorted(f.path for f in where.get_file_info(fs.FileSelector(at)) if f.is_file and not f.base_name.startswith(("_", ".")))
+        if not files:
+            return "[]"
+        at = files[0]
+    if path.rpartition(".")[2] == "parquet":
+        schema = pq.read_schema(at, filesystem=where)
+        return json.dumps([[f.name, str(f.type)] for f in schema])
+    with where.open_input_stream(at) as stream:
+        return json.dumps(next(csv.reader(io.TextIOWrapper(stream, "utf-8-sig", newline="")), []))
+
+
+def layouts(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """The layout of each path, read by one job over the paths: the driver gets one short line
+    for each and opens no file. Only in a store that Arrow does not know, Spark's readers are
+    asked, path by path."""
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        for batch in batches:
+            some, found = batch.column(0).to_pylist(), []
+            for path in some:
+                try:
+                    if "://" in path:
+                        fs.FileSystem.from_uri(path)
+                except pa.ArrowInvalid:
+                    found.append(None)
+                else:
+                    found.append(_layout_of(path))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(found, pa.string())], names=["path", "layout"])
+
+    if not paths:
+        return {}
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 1000), "path")
+    found = {r.path: r.layout for r in listed.mapInArrow(read, "path string, layout string").collect()}
+    for path in (p for p, layout in found.items() if layout is None):
+        columns = spark.read.parquet(path).dtypes if path.endswith(".parquet") else spark.read.options(**CSV_OPTIONS).csv(path).columns
+        found[path] = json.dumps(columns)
+    return found
+
+
+def _by_layout(spark: SparkSession, paths: list[str]) -> list[tuple[str, list[str]]]:
     """``(layout, paths)`` for each layout among the paths, in order of first occurrence."""
-    groups: dict = {}
+    found, groups = layouts(spark, paths), {}
     for path in paths:
-        groups.setdefault(layout(path), []).append(path)
+        groups.setdefault(found[path], []).append(path)
     return list(groups.items())
 
 
 def read_parquet_groups(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
     """One frame for each schema among the Parquet files."""
-    return [spark.read.parquet(*some) for _, some in _by_layout(paths, lambda p: spark.read.parquet(p).schema.json())]
+    return [spark.read.parquet(*some) for _, some in _by_layout(spark, paths)]
 
 
 def read_csv_groups(spark: SparkSession, paths: list[str], schema: T.StructType | str) -> list[DataFrame]:
@@ -90,7 +163,8 @@ def read_csv_groups(spark: SparkSession, paths: list[str], schema: T.StructType
     schema's, is an error."""
     fields = {f.name.lower(): f for f in (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields}
     frames = []
-    for header, some in _by_layout(paths, lambda p: tuple(spark.read.options(**CSV_OPTIONS).csv(p).columns)):
+    for layout, some in _by_layout(spark, paths):
+        header = json.loads(layout)
         if sorted(h.lower() for h in header) != sorted(fields):
             raise ValueError(f"the columns of {some[0]} are {list(header)}, expected {sorted(f.name for f in fields.values())}")
         bound = T.StructType([T.StructField(h, fields[h.lower()].dataType) for h in header])
@@ -112,27 +186,32 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
-def read_sources(spark: SparkSession, folder: str, csv_schema: T.StructType | str) -> DataFrame:
-    """S3 + S4 + S5 + S6 + U1: every discovered source as ``(text, label, source)``."""
+def read_sources(spark: SparkSession, folder: str, csv_schema: T.StructType | str, ordered: bool = False) -> DataFrame:
+    """S3 + S4 + S5 + S6 + U1: every discovered source as ``(text, label, source)``, and with
+    ``ordered`` each row's ``source_order``."""
     found = discover_sources(spark, folder)
-    frames = read_parquet_groups(spark, found["parquet"]) + read_csv_groups(spark, found["csv"], csv_schema)
+    frames = [(PARQUET_RANK, f) for f in read_parquet_groups(spark, found["parquet"])] + \
+        [(CSV_RANK, f) for f in read_csv_groups(spark, found["csv"], csv_schema)]
     if not frames:
         raise FileNotFoundError(f"no source files under {folder}")
-    return reduce(DataFrame.unionByName, map(normalised, frames))
+    parts = [normalised(f).withColumn("source_order", source_order(rank)) if ordered else normalised(f) for rank, f in frames]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_corpus(spark: SparkSession, folder: str, csv_schema: T.StructType | str, map_label: Callable[[str], Column],
-                synthetic: str | None = None) -> DataFrame:
+                synthetic: str | None = None, ordered: bool = False) -> DataFrame:
     """S3: ``(text, label, source)`` with canonical labels: the raw sources' labels mapped, the
-    synthetic table's taken as they are. Without raw sources the synthetic table is the corpus;
-    without either there is none, which is an error."""
+    synthetic table's taken as they are; with ``ordered`` also ``source_order``, the synthetic
+    table last. Without raw sources the synthetic table is the corpus; without either there is
+    none, which is an error."""
     found = discover_sources(spark, folder)
-    frames = []
+    frames, names = [], ["text", "label", "source", *(["source_order"] if ordered else [])]
     if any(found.values()):
-        raw = read_sources(spark, folder, csv_schema).na.drop(subset=["text", "label"])
+        raw = read_sources(spark, folder, csv_schema, ordered).na.drop(subset=["text", "label"])
         frames.append(raw.withColumn("label", map_label("label")))
     if synthetic is not None:
-        frames.append(spark.read.parquet(synthetic).select("text", "label", "source"))
+        made = spark.read.parquet(synthetic)
+        frames.append((made.withColumn("source_order", source_order(SYNTHETIC_RANK)) if ordered else made).select(*names))
     if not frames:
         raise FileNotFoundError(f"no source files under {folder} and no synthetic table")
     return reduce(DataFrame.unionByName, frames)

@@ -123,3 +123,56 @@ def test_late_rows_are_counted(spark, tmp_path):
     stream = common.file_stream(spark, f"{tmp_path}/in", frames[0].schema)
     assert windows.start_intent_windows(spark, stream, f"{tmp_path}/out") == 1
     assert spark.read.parquet(f"{tmp_path}/out").agg(F.sum("n")).first()[0] == 3
+
+
+def test_first_source_wins_from_files_to_corpus(spark, tmp_path):
+    """Of equal texts the first in source order stays: Parquet before CSV, names in order, rows in
+    order, the synthetic table last. Split sizes of the scans do not matter."""
+    from tagwise.operators import curate as cu
+    d = str(tmp_path)
+    plain_file(spark, d, "bitext_b.parquet", [("Same words here", "x"), (" same words here", "y"), ("in b only now", "x")], "instruction string, intent string")
+    plain_file(spark, d, "bitext_b-1.parquet", [("b", "Same words here"), ("b", "in two files now")], "label string, text string")
+    plain_file(spark, d, "bitext_a.csv", [("csv", "In two files now"), ("csv", "only, in\ncsv here"), ("late", "only, in\ncsv here")], "Intent string, Instruction string")
+    many = [(f"text number {i % 3000} here", f"l{i}") for i in range(9000)]
+    spark.createDataFrame(many, "instruction string, intent string").coalesce(1).write.parquet(f"{d}/bitext_many.parquet")
+    spark.createDataFrame([("only in made ones", "made", "syn"), ("in b only now", "made", "syn"), ("in b only now", "twice", "syn")],
+                          "text string, label string, source string").coalesce(1).write.parquet(f"{d}/made.parquet")
+
+    def corpus():
+        return fl.read_corpus(spark, d, SCHEMA, lambda c: F.upper(c), f"{d}/made.parquet", ordered=True)
+
+    def firsts():
+        return {r.text_hash: (r.label, r.source) for r in cu.dedup_keep_first(corpus(), "source_order").collect()}
+
+    got_first = firsts()
+    by_text = {r.text.strip().lower(): got_first[r.text_hash] for r in cu.dedup_keep_first(corpus(), "source_order").collect()}
+    assert by_text["same words here"] == ("X", "bitext_b") and by_text["in two files now"] == ("B", "bitext_b-1")
+    assert by_text["only, in\ncsv here"] == ("CSV", "bitext_a") and by_text["in b only now"] == ("X", "bitext_b")
+    assert by_text["only in made ones"] == ("made", "syn")
+    assert all(by_text[f"text number {i} here"] == (f"L{i}", "bitext_many") for i in range(3000))
+    sizes = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "0", "spark.sql.shuffle.partitions": "3"}
+    old = {k: spark.conf.get(k) for k in sizes}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        assert corpus().rdd.getNumPartitions() > 8 and firsts() == got_first
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_layouts_are_read_by_one_job(spark, tmp_path):
+    d = str(tmp_path)
+    for i in range(12):
+        plain_file(spark, d, f"bitext_{i}.parquet", [("a", "x")], "instruction string, intent string" if i % 2 else "text string, label string")
+        plain_file(spark, d, f"bitext_c{i}.csv", [("a", "x")], "Intent string, Instruction string" if i % 3 else "instruction string, intent string")
+    found = fl.discover_sources(spark, d)
+    tracker, group = spark.sparkContext.statusTracker(), "layouts-test"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        got_layouts = fl.layouts(spark, found["parquet"] + found["csv"])
+        assert len(tracker.getJobIdsForGroup(group)) <= 2               # the map and its exchange
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    assert len(got_layouts) == 24 and len(set(got_layouts.values())) == 4
+    assert len(fl.read_parquet_groups(spark, found["parquet"])) == 2 and len(fl.read_csv_groups(spark, found["csv"], SCHEMA)) == 2
