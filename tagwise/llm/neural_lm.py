@@ -36,8 +36,8 @@ from tagwise.llm.common import slices, written
 
 FREQUENT, CLASSES, WIDTH = 768, 256, 32
 NOISE, STEP, RATE = 64, 2048, 0.08
-WARM_TOKENS, WARM_BLOCKS = 800_000, 4    # tokens visited by the warm-up, more than once if there are fewer
-BLOCK_TOKENS = 1_000_000
+WARM_TOKENS, WARM_BLOCKS = 800_000, 8    # tokens visited by the warm-up, more than once if there are fewer
+BLOCK_TOKENS = 250_000
 RANGE_TOKENS = 2_000_000           # entries of block vocabularies merged by a task
 FAN_IN = 32
 PIECE = 1 << 22                    # bytes hashed at once
@@ -322,7 +322,7 @@ def _sequence(row: dict, names: Symbols) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def fit(packed: DataFrame, names: Symbols) -> LogBilinear:
     """The model after a warm-up, WARM_TOKENS visits to the training tokens of WARM_BLOCKS
-    blocks, and one pass over all blocks. A task goes through its blocks in turn; the tasks'
+    blocks (blocks and their stretches drawn by hash), and one pass over all blocks. A task goes through its blocks in turn; the tasks'
     weights are averaged by their training tokens."""
     model = LogBilinear.start(names.counts)
     if not names.total:
@@ -336,10 +336,12 @@ def fit(packed: DataFrame, names: Symbols) -> LogBilinear:
             for batch in batches:
                 for row in _rows(batch):
                     target, one, two, _, use = _sequence(row, names)
-                    target, one, two = target[use][:visits], one[use][:visits], two[use][:visits]
+                    target, one, two = target[use], one[use], two[use]
                     n, first, seed = n + len(target), row["block"] if first is None else first, row["block"] % (1 << 31)
                     for again in range(-(-visits // len(target)) if visits else 1):
                         order = np.random.Generator(np.random.PCG64([seed, again])).permutation(-(-len(target) // STEP))
+                        if visits:                      # steps drawn from the whole block
+                            order = order[:-(-(visits - again * len(target)) // STEP)]
                         mixed = (order[:, None] * STEP + np.arange(STEP)).ravel()
                         mixed = mixed[mixed < len(target)]
                         memory = own.train(one[mixed], two[mixed], target[mixed], names.counts, seed + again, memory)
