@@ -235,8 +235,9 @@ def _count(texts: DataFrame, longest: int, shared) -> DataFrame:
         yield from done()
         yield from counts.flush()
 
+    # the tasks have added up already: rows meet by phrase without a second try in the sending tasks
     return texts.mapInArrow(run, "n int, left long, right long, lang string, word string, count long") \
-        .groupBy("n", "left", "right", "lang", "word").agg(F.sum("count").alias("count"))
+        .repartition("left", "right").groupBy("n", "left", "right", "lang", "word").agg(F.sum("count").alias("count"))
 
 
 def _hashed(counted: DataFrame) -> DataFrame:
