@@ -50,9 +50,9 @@ def split_overlap(df: DataFrame, key: F.Column) -> DataFrame:
                .withColumn("verdict", F.when(F.col("shared") == 0, "CLEAN").otherwise("LEAKAGE DETECTED")))
 
 
-def test_rows_in_train(df: DataFrame) -> DataFrame:
-    """Test rows (not distinct) whose exact text is also in train."""
-    per_key = df.groupBy(F.unhex(F.md5("text")).alias("_h")).agg(
+def test_rows_in_train(df: DataFrame, key: F.Column) -> DataFrame:
+    """Test rows (not distinct) whose exact text (``key``) is also in train."""
+    per_key = df.groupBy(key.alias("_h")).agg(
         F.bit_or(split_bit()).alias("_m"),
         F.count_if(F.col("split") == "test").alias("_t"))
     return per_key.agg(
@@ -62,12 +62,13 @@ def test_rows_in_train(df: DataFrame) -> DataFrame:
                  .otherwise("LEAKAGE DETECTED"))
 
 
-def near_exact(df: DataFrame) -> DataFrame:
-    """Train ∩ test after case/whitespace folding, next to the exact count."""
+def near_exact(df: DataFrame, exact: F.Column, folded: F.Column) -> DataFrame:
+    """Train ∩ test by the key of the text after case/whitespace folding, next to the
+    exact key's count."""
     tt = df.filter(F.col("split").isin("train", "test"))
     keys = tt.select(F.explode(F.array(
-        F.struct(F.lit("exact").alias("kind"), F.unhex(F.md5("text")).alias("_h")),
-        F.struct(F.lit("folded").alias("kind"), F.unhex(F.md5(fx.fold("text"))).alias("_h")))).alias("k"),
+        F.struct(F.lit("exact").alias("kind"), exact.alias("_h")),
+        F.struct(F.lit("folded").alias("kind"), folded.alias("_h")))).alias("k"),
         split_bit().alias("_bit")).select("k.kind", "k._h", "_bit")
     per_key = keys.groupBy("kind", "_h").agg(F.bit_or("_bit").alias("_m"))
     return per_key.agg(
@@ -75,13 +76,13 @@ def near_exact(df: DataFrame) -> DataFrame:
         F.count_if((F.col("kind") == "folded") & (F.col("_m") == 5)).cast("bigint").alias("folded_shared"))
 
 
-def near_exact_examples(df: DataFrame, n: int = 3) -> DataFrame:
+def near_exact_examples(df: DataFrame, folded: F.Column, preview: F.Column, n: int = 3) -> DataFrame:
     """Up to ``n`` shared folded texts (smallest md5 first), 80-char previews: one
-    aggregation carries the split bits and the smallest preview per folded key, so the
-    split is read once (no second pass to fetch previews)."""
-    tt = df.filter(F.col("split").isin("train", "test")).withColumn("_f", fx.fold("text"))
-    per_key = tt.groupBy(F.md5("_f").alias("folded_hash")).agg(
-        F.bit_or(split_bit()).alias("_m"), F.min(F.substring("_f", 1, tx.PREVIEW_CHARS)).alias("preview"))
+    aggregation carries the split bits and the smallest preview per folded key (16 bytes), so
+    the split is read once (no second pass to fetch previews)."""
+    tt = df.filter(F.col("split").isin("train", "test"))
+    per_key = tt.groupBy(F.lower(F.hex(folded)).alias("folded_hash")).agg(
+        F.bit_or(split_bit()).alias("_m"), F.min(preview).alias("preview"))
     return per_key.filter(F.col("_m") == 5).orderBy("folded_hash").limit(n).drop("_m")
 
 

@@ -11,15 +11,26 @@ from tagwise.operators import curate as cu
 from tagwise.operators import ranking
 from tagwise.plans.curation import SQL_BASE, curated
 from tagwise.plans.registry import query
+from tagwise.session import materialize, shared_table
 from tagwise.sources import tables as tb
 
 LANG = tx.LANG_LABEL_MAP
 
 
 def rawsplit(spark, d):
-    """Un-deduplicated documents (stripped text), label = mapped lang, RAWSPLIT splits."""
-    norm = cu.normalise(tb.raw_corpus(spark, d)).withColumn("label", cu.map_label("raw_label", LANG))
-    return au.raw_split(norm)
+    """RAWSPLIT as keys: one pass over the un-deduplicated documents writes ``doc_id, label`` (mapped
+    lang), the 16-byte keys ``exact`` of the stripped text, ``respaced`` and ``folded`` of the text
+    whose spaces are doubled in every seventh document, and a preview; the split then moves no
+    texts. Written once for an application and input."""
+    def keys():
+        norm = cu.normalise(tb.raw_corpus(spark, d))
+        text = F.when(F.col("doc_id") % 7 == 0, F.regexp_replace("text", " ", "  ")).otherwise(F.col("text"))
+        spaced = norm.withColumn("spaced", text).withColumn("fold", fx.fold("spaced"))
+        narrow = spaced.select("doc_id", cu.map_label("raw_label", LANG).alias("label"), F.unhex(F.md5("text")).alias("exact"),
+                               F.unhex(F.md5("spaced")).alias("respaced"), F.unhex(F.md5("fold")).alias("folded"),
+                               F.substring("fold", 1, tx.PREVIEW_CHARS).alias("preview"))
+        return au.raw_split(materialize(narrow, "rawsplit-keys"))
+    return shared_table(spark, "rawsplit", d, keys)
 
 
 SQL_RAWSPLIT = f"""norm AS (
@@ -45,7 +56,7 @@ SELECT split_a, split_b, shared, CASE WHEN shared = 0 THEN 'CLEAN' ELSE 'LEAKAGE
 @query("rawsplit_leakage", covers="J9 U2",
        sql=f"WITH {SQL_RAWSPLIT},\n{_sql_overlap('rs', 'md5(text)')}")
 def rawsplit_leakage(spark, d):
-    return au.split_overlap(rawsplit(spark, d), F.unhex(F.md5("text")))
+    return au.split_overlap(rawsplit(spark, d), F.col("exact"))
 
 
 @query("curated_split_leakage", covers="U2 J9",
@@ -63,13 +74,7 @@ SELECT CAST(sum(CASE WHEN m & 1 = 1 THEN t ELSE 0 END) AS BIGINT) AS test_rows_i
        CASE WHEN sum(CASE WHEN m & 1 = 1 THEN t ELSE 0 END) = 0 THEN 'CLEAN — no leakage'
             ELSE 'LEAKAGE DETECTED' END AS verdict FROM k""")
 def test_rows_in_train_q(spark, d):
-    return au.test_rows_in_train(rawsplit(spark, d))
-
-
-def respaced(spark, d):
-    rs = rawsplit(spark, d)
-    return rs.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.regexp_replace("text", " ", "  "))
-                         .otherwise(F.col("text")))
+    return au.test_rows_in_train(rawsplit(spark, d), F.col("exact"))
 
 
 SQL_RESPACED = f"""{SQL_RAWSPLIT},
@@ -84,7 +89,7 @@ f AS (SELECT md5({fx.sql_fold('text')}) AS h, bit_or(CASE split WHEN 'train' THE
 SELECT (SELECT CAST(count(*) FILTER (WHERE m = 5) AS BIGINT) FROM e) AS exact_shared,
        (SELECT CAST(count(*) FILTER (WHERE m = 5) AS BIGINT) FROM f) AS folded_shared""")
 def near_exact_leakage(spark, d):
-    return au.near_exact(respaced(spark, d))
+    return au.near_exact(rawsplit(spark, d), F.col("respaced"), F.col("folded"))
 
 
 @query("near_exact_examples", covers="J11 T5",
@@ -93,7 +98,7 @@ f AS (SELECT md5({fx.sql_fold('text')}) AS h, substr({fx.sql_fold('text')}, 1, {
 k AS (SELECT h FROM f GROUP BY h HAVING bit_or(CASE split WHEN 'train' THEN 1 ELSE 4 END) = 5 ORDER BY h LIMIT 3)
 SELECT h AS folded_hash, min(pv) AS preview FROM f WHERE h IN (SELECT h FROM k) GROUP BY h""")
 def near_exact_examples_q(spark, d):
-    return au.near_exact_examples(respaced(spark, d))
+    return au.near_exact_examples(rawsplit(spark, d), F.col("folded"), F.col("preview"))
 
 
 @query("unique_text_ratio", covers="A9 S4",

@@ -95,11 +95,12 @@ def stream_webhook_counters(spark, d):
 wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM log),
 g AS (SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
              intent, count(*) AS n FROM log GROUP BY ALL)
-SELECT g.* FROM g, wm WHERE g.window_end <= wm.wm""")
+SELECT g.*, g.window_end <= wm.wm AS closed FROM g, wm""")
 def stream_intent_windows(spark, d):
-    out = scratch_path(spark, "intent-windows")
-    swin.start_intent_windows(spark, _log_stream(spark, d, "log-windows"), out)
-    return spark.read.parquet(out)
+    """All windows, the ones still open at the end of the run from the stream's state."""
+    out, checkpoint = scratch_path(spark, "intent-windows"), scratch_path(spark, "ckpt-intent-windows")
+    swin.start_intent_windows(spark, _log_stream(spark, d, "log-windows"), out, checkpoint=checkpoint)
+    return swin.all_intent_windows(spark, out, checkpoint)
 
 
 @query("stream_rate_audit", covers="ST5 ST10",
@@ -108,16 +109,17 @@ wm AS (SELECT max(ts) - INTERVAL 10 SECOND AS wm FROM log),
 g AS (SELECT account_id AS client_key, CASE WHEN event_type = 'purchase' THEN 'classify_batch' ELSE 'classify' END AS endpoint,
              date_trunc('second', ts) AS second, sum(1 + ticket_id % 40 * 5)::BIGINT AS n FROM log GROUP BY ALL),
 h AS (SELECT *, CASE endpoint WHEN 'classify' THEN 100 ELSE 20 END AS rate_limit FROM g)
-SELECT h.*, n > rate_limit AS exceeded FROM h, wm WHERE h.second + INTERVAL 1 SECOND <= wm.wm""")
+SELECT h.*, n > rate_limit AS exceeded, h.second + INTERVAL 1 SECOND <= wm.wm AS closed FROM h, wm""")
 def stream_rate_audit(spark, d):
-    out = scratch_path(spark, "rate-audit")
+    """All seconds, the ones still open at the end of the run from the stream's state."""
+    out, checkpoint = scratch_path(spark, "rate-audit"), scratch_path(spark, "ckpt-rate-audit")
     log = tb.classification_log(spark, d)
     # a logged row stands for up to 196 calls of its second, so both limits are passed
     calls = log.select("ts", F.col("account_id").alias("client_key"),
                        F.when(F.col("event_type") == "purchase", "classify_batch").otherwise("classify").alias("endpoint"),
                        (1 + F.col("ticket_id") % 40 * 5).alias("calls"))
-    swin.start_rate_audit(spark, _log_stream(spark, d, "log-rate", calls), out)
-    return spark.read.parquet(out)
+    swin.start_rate_audit(spark, _log_stream(spark, d, "log-rate", calls), out, checkpoint=checkpoint)
+    return swin.all_rate_windows(spark, out, checkpoint)
 
 
 @query("stream_dedup_replay", covers="ST8",

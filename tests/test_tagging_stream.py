@@ -145,3 +145,24 @@ def test_fixture_reaches_every_outcome(spark):
     got = {(r.outcome, r.success): r.n for r in routing.decided_deliveries(spark, SF_CHECK).groupBy("outcome", "success").agg(F.count("*").alias("n")).collect()}
     assert {o for o, _ in got} >= {"ready", "invalid_signature", "malformed", "agent_message", "unknown_account"}
     assert got["ready", False] > 0 and got["ready", True] > 0
+
+
+def test_open_windows_are_read_from_the_state(spark):
+    """Windows still open after a run come from its state; the next run, from the same checkpoint,
+    goes on with them and closes them."""
+    from tagwise.streaming import windows as sw
+    path, out, checkpoint = (scratch_path(spark, n) for n in ("landing-w", "windows-w", "ckpt-w"))
+
+    def feed(rows):
+        df = spark.createDataFrame(rows, "t string, intent string").select(F.to_timestamp("t").alias("ts"), "intent")
+        df.coalesce(1).write.mode("append").parquet(path)
+        return df.schema
+
+    schema = feed([("2024-01-01 10:00:00", "A"), ("2024-01-01 11:00:00", "A"), ("2024-01-02 10:00:00", "B")])
+    sw.start_intent_windows(spark, common.file_stream(spark, path, schema), out, checkpoint=checkpoint)
+    got = {(str(r.window_start)[:10], r.intent): (r.n, r.closed) for r in sw.all_intent_windows(spark, out, checkpoint).collect()}
+    assert got == {("2024-01-01", "A"): (2, True), ("2024-01-02", "B"): (1, False)}
+    feed([("2024-01-02 12:00:00", "B"), ("2024-01-04 10:00:00", "A")])
+    sw.start_intent_windows(spark, common.file_stream(spark, path, schema), out, checkpoint=checkpoint)
+    got = {(str(r.window_start)[:10], r.intent): (r.n, r.closed) for r in sw.all_intent_windows(spark, out, checkpoint).collect()}
+    assert got == {("2024-01-01", "A"): (2, True), ("2024-01-02", "B"): (2, True), ("2024-01-04", "A"): (1, False)}
