@@ -144,4 +144,14 @@ def stream_billing_state(spark, d):
     return sbill.read_state(spark, state)
 
 
-
+@query("stream_billing_late", covers="ST9 ST10 W6 J8",
+       sql=ORACLES["billing_plan_state"])
+def stream_billing_late(spark, d):
+    """The same events delivered in an order that has nothing to do with their times: the state
+    is the one of the events in time order."""
+    ev = tb.billing_events(spark, d).withColumn("arrival", F.xxhash64("event_seq"))
+    src = scratch_path(spark, "landing-billing-late")
+    files = common.stage_files(ev, src, "arrival", TRIGGERS)
+    holders, state = scratch_path(spark, "billing-holders"), scratch_path(spark, "billing-state")
+    sbill.start_billing(spark, common.file_stream(spark, src, ev.schema, files), holders, state)
+    return sbill.read_state(spark, state)

@@ -136,3 +136,33 @@ def test_incremental_billing_batches_equal_batch_state(spark):
         h, s = spark.createDataFrame(h.collect(), sb.HOLDERS_SCHEMA), spark.createDataFrame(s.collect(), sb.STATE_SCHEMA)
     cols = ["account_id", "plan", "stripe_customer_id", "last_event_ts", "n_changes"]
     assert sorted(s.select(*cols).collect()) == sorted(bl.plan_state(ev).select(*cols).collect())
+
+
+def test_late_billing_events_count_by_their_times(spark):
+    """Events in random order, in five batches with a restart in between: the state equals that of
+    all events in time order, also where a late checkout moves an account to another customer."""
+    import random
+
+    from tagwise.session import scratch_path
+    from tagwise.streaming import billing as sb
+    from tagwise.streaming import common
+    rng = random.Random(11)
+    kinds = [bl.CHECKOUT] * 4 + [bl.SUB_CREATED, bl.SUB_DELETED, bl.PAYMENT_FAILED, "other"]
+    rows = []
+    for i in range(150):
+        kind = rng.choice(kinds)
+        rows.append((i, 1_700_000_000 + rng.randrange(60) * 60, kind, str(rng.randrange(7)) if kind == bl.CHECKOUT else None,
+                     rng.choice([None, *[f"c{k}" for k in range(9)]]), rng.choice([None, 1, 3, 5])))
+    schema = "event_seq bigint, t bigint, type string, client_reference_id string, customer string, attempt_count bigint"
+
+    def frame(some):
+        return spark.createDataFrame(some, schema).select("event_seq", F.timestamp_seconds("t").alias("ts"), "type", "client_reference_id", "customer", "attempt_count")
+
+    want = sorted(map(tuple, bl.plan_state(frame(rows)).collect()))
+    rng.shuffle(rows)
+    path, holders, state, checkpoint = (scratch_path(spark, n) for n in ("landing-b", "holders-b", "state-b", "ckpt-b"))
+    for first in (True, False):
+        for part in ((rows[:40], rows[40:75]) if first else (rows[75:90], rows[90:120], rows[120:])):
+            frame(part).coalesce(1).write.mode("append").parquet(path)
+        sb.start_billing(spark, common.file_stream(spark, path, frame(rows[:1]).schema), holders, state, checkpoint)
+    assert sorted(map(tuple, sb.read_state(spark, state).collect())) == want
