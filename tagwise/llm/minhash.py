@@ -330,8 +330,11 @@ def _cross(buckets: DataFrame, found: DataFrame, sigs: DataFrame, floor: float)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     one = F.struct("id", "component", "sig", "marks")
     unit = ["key", "band", "l", "r"]
-    left = dealt.where("component <> main").withColumn("r", every("rights")).groupBy(unit).agg(F.collect_list(one).alias("left"))
-    right = dealt.withColumn("l", every("lefts")).groupBy(unit).agg(F.collect_list(one).alias("right"))
+    # members are packed into blocks first, and blocks are what is repeated for their units
+    left = dealt.where("component <> main").groupBy("key", "band", "l", "rights").agg(F.collect_list(one).alias("left")) \
+        .withColumn("r", every("rights")).drop("rights")
+    right = dealt.groupBy("key", "band", "r", "lefts").agg(F.collect_list(one).alias("right")) \
+        .withColumn("l", every("lefts")).drop("lefts")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 100)):

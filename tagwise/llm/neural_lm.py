@@ -38,7 +38,7 @@ FREQUENT, CLASSES, WIDTH = 768, 256, 32
 NOISE, STEP, RATE = 64, 2048, 0.08
 WARM_TOKENS, WARM_BLOCKS = 800_000, 16   # tokens visited by the warm-up, more than once if there are fewer
 BLOCK_TOKENS = 100_000             # its columns stay below half a megabyte
-RANGE_TOKENS = 2_000_000           # entries of block vocabularies merged by a task
+RANGE_TOKENS = 500_000             # entries of block vocabularies merged by a task
 FAN_IN = 32
 PIECE = 1 << 22                    # bytes hashed at once
 END = np.uint64(0xE0D)             # stands for the end of a document
