@@ -113,7 +113,7 @@ def pack(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_
             return pa.RecordBatch.from_pylist([{
                 "block": block, "doc_ids": ids, "held": held, "lengths": lengths.tobytes(), "vocab": vocab.tobytes(),
                 "classes": np.concatenate([c for _, c in found])[where].tobytes(), "trained": trained.tobytes(),
-                "tokens": tokens.astype("<u4").tobytes(), "n_vocab": len(vocab), "n_train": int(trained.sum())}], _PACKED_ARROW)
+                "tokens": tokens.astype("<u2" if len(vocab) <= 1 << 16 else "<u4").tobytes(), "n_vocab": len(vocab), "n_train": int(trained.sum())}], _PACKED_ARROW)
 
         for batch in (part for whole in batches for part in slices(whole)):
             for d, h, t in zip(*[c.to_pylist() for c in batch.columns]):
@@ -311,10 +311,15 @@ def _contexts(target: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.n
     return one, two
 
 
+def _tokens(row: dict) -> np.ndarray:
+    """The block's tokens as numbers in its vocabulary, of two bytes where those suffice."""
+    return np.frombuffer(row["tokens"], "<u2" if len(row["vocab"]) <= 8 << 16 else "<u4")
+
+
 def _sequence(row: dict, names: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of the block's tokens, contexts, lengths, and whether each is for training."""
     by_token = names.of(np.frombuffer(row["vocab"], np.uint64), np.frombuffer(row["classes"], np.uint16)).astype(np.uint16)
-    target = by_token[np.frombuffer(row["tokens"], "<u4")]
+    target = by_token[_tokens(row)]
     lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
     one, two = _contexts(target, lengths, names.n)
     return target, one, two, lengths, np.repeat(~np.array(row["held"], bool), lengths)
@@ -397,7 +402,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
             for row in _rows(batch):
                 known = np.concatenate([np.frombuffer(x["data"], "<u8") for x in row["known"]]).astype(np.float64)
                 vocab, classes = np.frombuffer(row["vocab"], np.uint64), np.frombuffer(row["classes"], np.uint16)
-                tokens = np.frombuffer(row["tokens"], "<u4")
+                tokens = _tokens(row)
                 target, one, two, lengths, _ = _sequence(row, names)
                 base = np.log10((known + 1) / (total + distinct + 1))
                 rare = names.of(vocab, classes) >= len(names.hashes)
