@@ -76,5 +76,5 @@ def test_empty_tables(spark, tmp_path):
 
 def test_registered():
     assert [n for n, _ in cp.STAGES] == ["language", "near_duplicates", "decontaminate", "mix", "tokens"]
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
