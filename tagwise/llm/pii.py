@@ -6,12 +6,12 @@ pseudonyms in every document, and the holder of the key can go back. Kinds:
 
 card     13 to 19 digits, or groups of four (4-6-5), with a valid Luhn digit: all but the first and the Luhn digit are
          permuted, the Luhn digit is computed anew
-iban     country, two check digits, 11 to 30 capitals and digits, valid modulo 97: the part
-         after the check digits is permuted, these are computed anew
+iban     country, two check digits, 11 to 30 capitals and digits, valid modulo 97, in one piece or printed in
+         groups of four: the part after the check digits is permuted, these are computed anew
 ssn      ddd-dd-dddd with an assigned area (not 000, 666, 9xx), group and serial: permuted
          within those
-phone    +c (ddd) ddd-dddd and like forms of 7 to 15 digits: all digits but the country
-         code's are permuted
+phone    +c (ddd) ddd-dddd and like forms of 7 to 15 digits: the digits after the country code are
+         permuted; the code is read off the digits, so a number has one pseudonym in all its forms
 ipv4     four numbers up to 255: the last three are permuted
 date     a valid day from 1900 to 2099, yyyy-mm-dd, dd.mm.yyyy or mm/dd/yyyy: permuted
          within those 73,049 days
@@ -22,6 +22,10 @@ key, kind, round and the other half, modulo the size of the character's class (1
 26 small or capital letters, 256 values of an octet); a date or social security number is
 a pair of numbers with the two moduli whose product is the size of its domain, so no value
 falls outside and no cycle is walked. Built from DataFrame functions only.
+
+Values are told apart by what they say, not by how they are written: spaces, dashes and
+brackets of a card, IBAN or phone number stay where they are and do not count. Rows are
+treated one by one: a repeated row is repeated with the same pseudonyms.
 """
 
 from __future__ import annotations
@@ -37,10 +41,30 @@ EXAMPLE_KEY = "example key"
 
 _FREE = "(?<![0-9A-Za-z])"
 _END = "(?![0-9A-Za-z])"
+
+# Lengths of IBANs by country, as the registry of ISO 13616 states them.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+# Country codes of E.164 of one and two digits; all others have three.
+COUNTRY_CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+
+
+def _grouped(length: int, countries: str) -> str:
+    full, rest = divmod(length - 4, 4)
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{full}}}" + (f" [A-Z0-9]{{{rest}}}" if rest else "")
+
+
+#: IBANs in groups of four; the country tells where they end, so that a word after them stays out.
+_PRINTED_IBAN = "(?=[A-Z]{2}[0-9]{2} )(?:" + "|".join(_grouped(n, c) for n, c in IBAN_LENGTHS.items()) + ")"
+
 #: kind -> pattern, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)+[A-Za-z]{2,}+(?![A-Za-z0-9-])",
-    "iban": _FREE + "[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _END,
+    "iban": _FREE + "(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|" + _PRINTED_IBAN + ")" + _END,
     "date": _FREE + r"(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})" + r"(?![0-9A-Za-z]|[.\-/][0-9])",
     "ssn": r"(?<![0-9A-Za-z]|[0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}" + r"(?![0-9A-Za-z]|-[0-9])",
     "ipv4": r"(?<![0-9A-Za-z]|[0-9]\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}" + r"(?![0-9A-Za-z]|\.[0-9])",
@@ -172,9 +196,12 @@ def _card(s: Column, key: str, inverse: bool) -> Column:
 
 
 def _iban(s: Column, key: str, inverse: bool) -> Column:
-    country, rest = F.substring(s, 1, 2), F.substring(s, F.lit(5), F.length(s))
-    new = let(permuted_string(rest, key, "iban", inverse), lambda r: F.concat(country, iban_check(country, r), r))
-    return F.when(iban_check(country, rest) == F.substring(s, 3, 2), new)
+    def made(plain: Column) -> Column:
+        country, rest = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+        new = let(permuted_string(rest, key, "iban", inverse), lambda r: F.concat(country, iban_check(country, r), r))
+        return F.when(iban_check(country, rest) == F.substring(plain, 3, 2),
+                      F.when(F.contains(s, F.lit(" ")), F.regexp_replace(new, "(.{4})(?=.)", "$1 ")).otherwise(new))
+    return let(F.replace(s, F.lit(" "), F.lit("")), made)
 
 
 def _ssn(s: Column, key: str, inverse: bool) -> Column:
@@ -189,9 +216,11 @@ def _ssn(s: Column, key: str, inverse: bool) -> Column:
 
 
 def _phone(s: Column, key: str, inverse: bool) -> Column:
-    code = F.regexp_extract(s, r"^\+[0-9]{1,3}(?=[^0-9])", 0)
-    rest = F.substring(s, F.length(code) + 1, F.length(s))
-    return F.when(F.length(_digits(s)).between(7, 15), F.concat(code, permuted_string(rest, key, "phone", inverse)))
+    def made(d: Column) -> Column:
+        code = F.when(F.startswith(s, F.lit("+")), F.regexp_extract(d, f"^(?:{COUNTRY_CODES}|[0-9]{{3}})", 0)).otherwise("")
+        new = let(code, lambda c: F.concat(c, permuted_string(F.substring(d, F.length(c) + 1, F.length(d)), key, "phone", inverse)))
+        return F.when(F.length(d).between(7, 15), _fill(s, new))
+    return let(_digits(s), made)
 
 
 def _ipv4(s: Column, key: str, inverse: bool) -> Column:
@@ -256,7 +285,9 @@ def pseudonymised(text: Column, key: str, inverse: bool = False) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", inverse: bool = False) -> DataFrame:
     """``docs`` with the personal data of ``text`` replaced and a column ``pii`` of the kinds
-    replaced, in order (an existing column of that name gives way). Row-local: no shuffle."""
+    replaced, in order (an existing column of that name gives way; all others keep their
+    values). Row-local: no shuffle."""
     names = [c for c in docs.columns if c.lower() not in (text.lower(), "pii")]
-    return docs.withColumn("_pii", pseudonymised(F.col(text), key, inverse)) \
-        .select(*names, F.col("_pii.text").alias(text), F.col("_pii.kinds").alias("pii"))
+    made = "_made" + "_" * max([len(c) for c in docs.columns])          # no column's name
+    return docs.withColumn(made, pseudonymised(F.col(text), key, inverse)) \
+        .select(*names, F.col(f"{made}.text").alias(text), F.col(f"{made}.kinds").alias("pii"))
