@@ -98,13 +98,13 @@ def test_rows_and_columns_stay(spark):
 
 # --- the same by plain Python ------------------------------------------------------------
 
-def symbols(values, sizes, kind, key=KEY):
+def symbols(values, sizes, kind):
     half = len(values) // 2
     parts, limits = [list(values[:half]), list(values[half:])], [sizes[:half], sizes[half:]]
     for turn in range(pii.ROUNDS):
         mine, other = parts[turn % 2], parts[1 - turn % 2]
         said = f"{len(mine)}:{','.join(map(str, other))}"
-        hashed = [hashlib.sha256(f"{key}|{kind}|{turn}|{said}/{b}".encode()).hexdigest() for b in range(len(mine) // 8 + 1)]
+        hashed = [hashlib.sha256(f"{KEY}|{kind}|{turn}|{said}/{b}".encode()).hexdigest() for b in range(len(mine) // 8 + 1)]
         parts[turn % 2] = [(x + int(hashed[i // 8][i % 8 * 8:i % 8 * 8 + 8], 16)) % limits[turn % 2][i] for i, x in enumerate(mine)]
     return parts[0] + parts[1]
 
