@@ -9,9 +9,9 @@ Rules (per event, in (ts, seq) order):
 * anything else is ignored; a customer no account holds is ignored.
 
 "The account holding a customer" is evaluated at the event's time: only checkouts
-change the customer mapping, so the mapping is an as-of lookup over hold toggles derived
-from the checkouts (J8) and the whole history is computed in batch without replaying
-events one by one.
+change the customer mapping, so the smallest holder is a step function of each customer's
+hold toggles and the mapping is one as-of lookup in it (J8); the whole history is computed
+in batch without replaying events one by one.
 Several accounts holding the same customer resolve to the smallest account id (the
 reference scans files in undefined order).
 """
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tagwise import taxonomy as tx
 from tagwise.operators import asof, ordered
+from tagwise.session import materialize
 
 CHECKOUT = "checkout.session.completed"
 SUB_CREATED = "customer.subscription.created"
@@ -43,29 +44,84 @@ def customer_intervals(events: DataFrame) -> DataFrame:
     return asof.validity_intervals(checkouts(events), "account_id")
 
 
+#: A block of positions is 2 ** BLOCK_BITS toggles of a customer.
+BLOCK_BITS = 10
+
+
+def _pieces(first: str, end: str) -> F.Column:
+    """The aligned pieces ``struct<level, index>`` (2 ** level positions from
+    index * 2 ** level on) that make up the positions ``first <= p < end``; at most two a level."""
+    def of_level(k):
+        size = F.pow(F.lit(2), k).cast("long")
+        lo, hi = F.floor((F.col(first) + size - 1) / size).cast("long"), F.floor(F.col(end) / size).cast("long")
+        left = F.when((lo < hi) & (lo % 2 == 1), F.struct(k.alias("level"), lo.alias("index")))
+        right = F.when((lo < hi) & (hi % 2 == 1), F.struct(k.alias("level"), (hi - 1).alias("index")))
+        return F.filter(F.array(left, right), lambda x: x.isNotNull())
+
+    levels = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.col(end), F.lit(2)))).cast("int"))
+    return F.flatten(F.transform(levels, of_level))
+
+
+def _parts_of(level, index, down_to) -> F.Column:
+    """The positions (or blocks, for ``down_to`` = BLOCK_BITS) that a piece is made of."""
+    times = F.pow(F.lit(2), level - down_to).cast("long")
+    return F.sequence(index * times, (index + 1) * times - 1)
+
+
+def holder_steps(events: DataFrame) -> DataFrame:
+    """J7 over time: ``customer, ts, seq, account_id``, the smallest account that holds the
+    customer from (ts, seq) on until the customer's next row, null if none.
+
+    A hold runs from an account's checkout to its next one. The starts and ends of a
+    customer's holds are numbered in order; a hold is cut into aligned pieces of positions,
+    the least account of a piece is an aggregate, and pieces are handed down to blocks of
+    1,024 positions and on to positions, by aggregation again. Rows: toggles x (at most two
+    pieces a level, then one row a position and level of a block), however many accounts
+    hold a customer at once; no step groups or joins by the customer alone, so one with a
+    third of all checkouts spreads over all tasks."""
+    holds = ordered.next_in_key(checkouts(events), "account_id", ["ts", "seq"], ["ts", "seq"], prefix="to_")
+    hold = F.struct("account_id", "ts", "seq", "to_ts", "to_seq")
+    toggles = holds.select("customer", "ts", "seq", F.lit(1).alias("starts"), hold.alias("hold")).unionByName(
+        holds.where(F.col("to_seq").isNotNull()).select(
+            "customer", F.col("to_ts").alias("ts"), F.col("to_seq").alias("seq"), F.lit(0).alias("starts"), hold.alias("hold")))
+    placed = materialize(ordered.rank_in_key(toggles, "customer", ["ts", "seq", "starts"], "pos", dtype="long"), "hold-toggles")
+    spans = placed.groupBy("customer", "hold").agg(
+        F.max(F.when(F.col("starts") == 1, F.col("pos"))).alias("first"), F.max(F.when(F.col("starts") == 0, F.col("pos"))).alias("end"))
+    # a hold that has not ended lasts to the customer's last toggle; the number of these is
+    # joined by (customer, block), one row a block
+    block = F.floor(F.col("first") / 2 ** BLOCK_BITS).cast("long")
+    last = placed.groupBy("customer").agg(F.max("pos").alias("last")) \
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / 2 ** BLOCK_BITS).cast("long"))))
+    open_ = spans.where(F.col("end").isNull()).withColumn("block", block).join(last, ["customer", "block"]) \
+        .select("customer", "hold", "first", (F.col("last") + 1).alias("end"))
+    pieces = spans.where(F.col("end").isNotNull()).unionByName(open_) \
+        .select("customer", F.col("hold.account_id").alias("account_id"), F.explode(_pieces("first", "end")).alias("piece")) \
+        .groupBy("customer", "piece").agg(F.min("account_id").alias("account_id")) \
+        .select("customer", F.col("piece.level").alias("level"), F.col("piece.index").alias("index"), "account_id")
+    bits = F.lit(BLOCK_BITS)
+    blocks = pieces.where(F.col("level") >= bits) \
+        .select("customer", "account_id", F.explode(_parts_of(F.col("level"), F.col("index"), bits)).alias("index")) \
+        .groupBy("customer", "index").agg(F.min("account_id").alias("account_id")) \
+        .select("customer", bits.alias("level"), "index", "account_id")
+    held = pieces.where(F.col("level") < bits).unionByName(blocks) \
+        .select("customer", F.explode(_parts_of(F.col("level"), F.col("index"), F.lit(0))).alias("pos"), "account_id")
+    steps = placed.select("customer", "pos", "ts", "seq").unionByName(held, allowMissingColumns=True) \
+        .groupBy("customer", "pos").agg(F.min("account_id").alias("account_id"), F.max("ts").alias("ts"), F.max("seq").alias("seq")) \
+        .where(F.col("seq").isNotNull())                       # a block's end past the last toggle
+    return steps.groupBy("customer", "ts", "seq").agg(F.max_by("account_id", "pos").alias("account_id"))
+
+
 def resolve_accounts(events: DataFrame) -> DataFrame:
     """Lookup events (created / deleted / failed >= 3) with the account holding the
-    event's customer at the event's time (null when none; the smallest when several).
-
-    An account holds a customer while its latest checkout is with that customer. Each
-    lookup is fanned out to the accounts that ever held its customer, and the customer of
-    each such account's latest checkout at the lookup's time is forward-filled
-    (:func:`asof.asof_lookup` keyed by account). The work is lookups x distinct accounts
-    per customer (one, normally) plus the checkouts — never lookups x checkouts of a
-    customer, which a hot customer would make quadratic."""
+    event's customer at the event's time (null when none; the smallest when several): one
+    as-of lookup in :func:`holder_steps`. Work: toggles plus lookups, however many accounts
+    hold a customer. An event that occurs twice counts once."""
     lookups = events.filter(
         F.col("type").isin(SUB_CREATED, SUB_DELETED) |
         ((F.col("type") == PAYMENT_FAILED) &
          (F.coalesce("attempt_count", F.lit(1)) >= tx.FAILED_PAYMENT_DOWNGRADE_ATTEMPTS))
-    ).select("event_seq", "ts", "type", "customer")
-    co = checkouts(events)
-    holders = co.select("customer", "account_id").distinct()
-    fanned = lookups.join(holders, "customer", "left")
-    latest = co.select("account_id", "ts", "seq", F.col("customer").alias("held_customer"))
-    at = asof.asof_lookup(fanned, latest, "account_id", "ts", ["held_customer"], event_seq="event_seq")
-    holds = F.coalesce(F.col("held_customer") == F.col("customer"), F.lit(False))
-    return at.groupBy("event_seq", "ts", "type", "customer").agg(
-        F.min(F.when(holds, F.col("account_id"))).alias("account_id"))
+    ).select("event_seq", "ts", "type", "customer").distinct()
+    return asof.asof_lookup(lookups, holder_steps(events), "customer", "ts", ["account_id"], event_seq="event_seq")
 
 
 def plan_actions(events: DataFrame) -> DataFrame:

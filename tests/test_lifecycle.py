@@ -166,3 +166,44 @@ def test_late_billing_events_count_by_their_times(spark):
             frame(part).coalesce(1).write.mode("append").parquet(path)
         sb.start_billing(spark, common.file_stream(spark, path, frame(rows[:1]).schema), holders, state, checkpoint)
     assert sorted(map(tuple, sb.read_state(spark, state).collect())) == want
+
+
+def _brute_holders(rows):
+    """event_seq -> smallest holder, replaying (seq, day, type, account, customer) in order."""
+    held, out = {}, {}
+    for seq, day, typ, acct, cust in sorted(rows, key=lambda r: (r[1], r[0])):
+        if typ == bl.CHECKOUT:
+            held[acct] = cust
+        else:
+            out[seq] = min((a for a, c in held.items() if c == cust), default=None)
+    return out
+
+
+def test_holder_steps_with_one_customer_held_by_thousands(spark, monkeypatch):
+    """The hot customer is held by thousands of accounts at once (several blocks of toggles);
+    the steps equal a replay, and no row is made a holder for a lookup."""
+    import random
+    random.seed(5)
+    rows = [(i, i % 700, bl.CHECKOUT, random.randint(1, 3000), "hot" if random.random() < 0.9 else f"c{random.randint(1, 9)}")
+            for i in range(1, 10_001)]
+    rows += [(i, random.randint(0, 700), random.choice([bl.SUB_CREATED, bl.SUB_DELETED]), None, random.choice(["hot", "c1", "c2", "none"]))
+             for i in range(10_001, 10_601)]
+    ev = _ev(spark, [(s, d, t, str(a) if a else None, c, None) for s, d, t, a, c in rows])
+    want = _brute_holders(rows)
+    for bits in (10, 3):
+        monkeypatch.setattr(bl, "BLOCK_BITS", bits)
+        got = {r["event_seq"]: r["account_id"] for r in bl.resolve_accounts(ev).collect()}
+        assert got == want and len(set(want.values())) >= 15
+    hot = bl.holder_steps(ev).where("customer = 'hot'").count()
+    assert 9_000 < hot <= 2 * 10_000                      # a row a toggle
+
+
+def test_holder_steps_edge_cases(spark):
+    assert bl.resolve_accounts(_ev(spark, [])).count() == 0
+    rows = [(1, 0, bl.CHECKOUT, "1", "c", None), (1, 0, bl.CHECKOUT, "1", "c", None),        # delivered twice
+            (2, 0, bl.SUB_CREATED, None, "c", None), (2, 0, bl.SUB_CREATED, None, "c", None),
+            (3, 1, bl.CHECKOUT, "1", "c", None),                                             # held on
+            (4, 1, bl.SUB_CREATED, None, "c", None), (5, 2, bl.CHECKOUT, "1", "d", None),
+            (6, 2, bl.SUB_DELETED, None, "c", None), (7, 2, bl.SUB_DELETED, None, None, None), (8, 2, bl.SUB_DELETED, None, "d", None)]
+    got = sorted((r["event_seq"], r["account_id"]) for r in bl.resolve_accounts(_ev(spark, rows)).collect())
+    assert got == [(2, 1), (4, 1), (6, None), (7, None), (8, 1)]
