@@ -3,6 +3,7 @@ erasure (P12, J6, U4, A23)."""
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagwise.operators import asof
@@ -184,21 +185,24 @@ def test_holder_steps_with_one_customer_held_by_thousands(spark, monkeypatch):
     the steps equal a replay, and no row is made a holder for a lookup."""
     import random
     random.seed(5)
-    rows = [(i, i % 700, bl.CHECKOUT, random.randint(1, 3000), "hot" if random.random() < 0.9 else f"c{random.randint(1, 9)}")
+    rows = [(i, i % 700, bl.CHECKOUT, random.randint(1, 3000), "hot" if random.random() < 0.9 else f"c{random.randint(1, 600)}")
             for i in range(1, 10_001)]
-    rows += [(i, random.randint(0, 700), random.choice([bl.SUB_CREATED, bl.SUB_DELETED]), None, random.choice(["hot", "c1", "c2", "none"]))
+    rows += [(i, random.randint(0, 700), random.choice([bl.SUB_CREATED, bl.SUB_DELETED]), None, random.choice(["hot", "none", *(f"c{k}" for k in range(1, 601))]))
              for i in range(10_001, 10_601)]
     ev = _ev(spark, [(s, d, t, str(a) if a else None, c, None) for s, d, t, a, c in rows])
     want = _brute_holders(rows)
-    for bits in (10, 3):
+    for bits, few in ((10, 4), (3, 0)):                   # the hot customer only, and all of them, by steps
         monkeypatch.setattr(bl, "BLOCK_BITS", bits)
+        monkeypatch.setattr(bl, "FEW_HOLDERS", few)
         got = {r["event_seq"]: r["account_id"] for r in bl.resolve_accounts(ev).collect()}
         assert got == want and len(set(want.values())) >= 15
     hot = bl.holder_steps(ev).where("customer = 'hot'").count()
     assert 9_000 < hot <= 2 * 10_000                      # a row a toggle
 
 
-def test_holder_steps_edge_cases(spark):
+@pytest.mark.parametrize("few", [0, 4])
+def test_holder_steps_edge_cases(spark, monkeypatch, few):
+    monkeypatch.setattr(bl, "FEW_HOLDERS", few)
     assert bl.resolve_accounts(_ev(spark, [])).count() == 0
     rows = [(1, 0, bl.CHECKOUT, "1", "c", None), (1, 0, bl.CHECKOUT, "1", "c", None),        # delivered twice
             (2, 0, bl.SUB_CREATED, None, "c", None), (2, 0, bl.SUB_CREATED, None, "c", None),
