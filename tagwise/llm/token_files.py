@@ -39,6 +39,7 @@ MAGIC = b"TWIDS001"
 HEADER = struct.Struct("<8sHHIQqQQQ")   # magic, width, nulls, docs, ids, least id, 3 sizes
 CACHE_CHUNKS = 600_000            # remembered chunks of text per Python worker
 BATCH_ROWS = 2000                 # documents encoded together
+JOINT = 100                       # new words encoded as one text
 
 
 # --- Elias-Fano ----------------------------------------------------------------------
@@ -113,12 +114,17 @@ class EliasFano:
 #: token before a space that has any other character next to it, so texts are cut there
 #: and equal chunks are encoded once.
 _ODD = re.compile(r"\s \s")
+_WIDE = re.compile(r" \s")          # in every odd text; starts with a plain space, so the search is quick
 _CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
 _STATE: dict = {}
 
 
+def _odd(text: str) -> bool:
+    return _WIDE.search(text) is not None and _ODD.search(text) is not None
+
+
 def _chunks(text: str) -> list[str]:
-    if _ODD.search(text):
+    if _odd(text):
         return [c for c in _CUT.split(text) if c]
     first, *rest = text.split(" ")
     return [first, *[" " + c for c in rest]] if first else [" " + c for c in rest]
@@ -145,6 +151,10 @@ class Encoder:
             self.added = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}       # by chunk less the space it starts with
+        vocabulary = self.model.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.starts[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True    # byte-level space
 
     def chunks(self, text: str) -> list[str]:
         """Pieces whose ids, one after the other, are the text's; an added token is one."""
@@ -152,18 +162,49 @@ class Encoder:
             return _chunks(text)
         return [c for i, part in enumerate(self.added.split(text)) for c in ([part] if i % 2 else _chunks(part) if part else [])]
 
+    def cut(self, text: str) -> tuple[list[str], list[str]]:
+        """Chunks of the text, then those that start with a space, without it."""
+        if _odd(text) or self.added is not None and self.added.search(text):
+            return self.chunks(text), []
+        words = text.split(" ")
+        return ([words[0]] if words[0] else []), words[1:]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        chunked = [self.chunks(t) for t in texts]
-        new = list(dict.fromkeys(c for chunks in chunked for c in chunks if c not in known))
-        if len(known) + len(new) > CACHE_CHUNKS:
+        known, spaced = self.known, self.spaced
+        cuts = [self.cut(t) for t in texts]
+        chunks, words = set().union(*(c for c, _ in cuts)), set().union(*(w for _, w in cuts))
+        new, new_words = chunks.difference(known), words.difference(spaced)
+        if len(known) + len(spaced) + len(new) + len(new_words) > CACHE_CHUNKS:
             known.clear()
-            new = list(dict.fromkeys(c for chunks in chunked for c in chunks))
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for c, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                known[c] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([known[c] for c in chunks]) for chunks in chunked]
+            spaced.clear()
+            new, new_words = chunks, words
+        self._learn(list(new), "", known)
+        plain = [w for w in new_words if w.split() == [w]]
+        self._learn(list(new_words.difference(plain)), " ", spaced)
+        self._learn_joint(plain)
+        return [b"".join([*map(known.__getitem__, c), *map(spaced.__getitem__, w)]) for c, w in cuts]
+
+    def _learn(self, names: list[str], space: str, ids: dict[str, bytes]) -> None:
+        for at in range(0, len(names), 20_000):
+            part = names[at:at + 20_000]
+            for c, e in zip(part, self.model.encode_batch_fast([space + c for c in part], add_special_tokens=False)):
+                ids[c] = np.array(e.ids, self.dtype).tobytes()
+
+    def _learn_joint(self, words: list[str]) -> None:
+        """Words without white space, encoded many to a text: each word's ids are those from one
+        token that starts with a space to the next. Where there are not as many of these as words
+        (a token spans words, or hides its space), the words are encoded one by one."""
+        width = self.dtype.itemsize
+        for at in range(0, len(words), 200 * JOINT):
+            groups = [words[i:i + JOINT] for i in range(at, min(at + 200 * JOINT, len(words)), JOINT)]
+            for group, e in zip(groups, self.model.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, self.dtype)
+                starts = np.flatnonzero(self.starts[ids])
+                if len(starts) != len(group) or starts[0] != 0:
+                    self._learn(group, " ", self.spaced)
+                    continue
+                code, cuts = ids.tobytes(), [*(starts * width).tolist(), len(ids) * width]
+                self.spaced.update(zip(group, [code[a:b] for a, b in zip(cuts, cuts[1:])]))
 
 
 def encoder(path: str, added_tokens: bool = False) -> Encoder:

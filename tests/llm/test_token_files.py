@@ -81,3 +81,20 @@ def test_other_files_are_refused(tmp_path):
     (tmp_path / "x").write_bytes(b"0" * 200)
     with pytest.raises(ValueError):
         tf.Shard(f"file://{tmp_path}/x")
+
+
+def test_new_words_are_encoded_jointly_and_known_by_their_words():
+    """Texts with odd spaces, added tokens and words that other white space surrounds give the whole
+    encoding's ids, and a word behind a space is known without a copy that has the space."""
+    from tokenizers import Tokenizer
+    words = ["", "a", "Ġ", "Ġx", "naïve", "x\ny", "\n", "\t", "end\n", "\x85", " ", " z", "日本語", "don't", "12345", "...", "<|endoftext|>", "x<|endoftext|>y"]
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(words, n)) for n in rng.integers(0, 30, 400)] + ["", " ", "  ", "   ", " a", "a ", "w" * 300]
+    texts += [" ".join(f"w{k}x{k * 7919}" for k in range(500))]
+    model = Tokenizer.from_file(tokenizer_path())
+    for added in (False, True):
+        model.encode_special_tokens = not added
+        enc = tf.Encoder(tokenizer_path(), added)
+        want = [np.array(model.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes() for t in texts]
+        assert enc.encode(texts) == want == enc.encode(texts)
+        assert "w3x23757" in enc.spaced and " w3x23757" not in enc.known
