@@ -28,11 +28,12 @@ from tagwise.streaming import common
 
 def materialise_model(spark: SparkSession, model: nb.NaiveBayesModel) -> nb.NaiveBayesModel:
     """Write the token table once and score every micro-batch against the written copy
-    (cuts the model's lineage instead of recomputing it per batch)."""
+    (cuts the model's lineage instead of recomputing it per batch). It is joined by shuffles: a
+    broadcast would send it through the driver anew in every micro-batch."""
     path = scratch_path(spark, "nb-model")
     model.token_counts.write.mode("overwrite").parquet(path)
     return nb.NaiveBayesModel(model.classes, model.log_priors, model.totals, model.vocab_size,
-                              spark.read.parquet(path))
+                              spark.read.parquet(path).hint("merge"))
 
 
 LOG = ["account_id", "ticket_id", "text_hash", "intent", "confidence", "success", "ts"]
@@ -130,8 +131,10 @@ class Sinks:
 def decided(events: DataFrame, secrets: list[str], model: nb.NaiveBayesModel, installed: DataFrame, settings: DataFrame,
             class_to_intent: dict[str, str] | None) -> DataFrame:
     """One row for each delivery: its outcome, and for those that are ready the decision. The
-    parsed deliveries are written once, as scoring reads their tokens and columns apart."""
-    triaged = rt.triage(events, secrets, installed, settings).withColumn("text_hash", fx.text_hash("text")).drop("signature")
+    parsed deliveries are written once, as scoring reads their tokens and columns apart. The account
+    tables grow with the customers and are joined in every micro-batch: by shuffles, so that
+    nothing of their size passes the driver."""
+    triaged = rt.triage(events, secrets, installed.hint("merge"), settings.hint("merge")).withColumn("text_hash", fx.text_hash("text")).drop("signature")
     triaged = materialize(triaged, "triaged")
     done = rt.decide(triaged.where(F.col("outcome") == rt.READY), model, class_to_intent)
     rest = triaged.where(F.col("outcome") != rt.READY).select("conv_id", "turn", "account_id", "outcome", "value", "ts")

@@ -166,3 +166,13 @@ def test_open_windows_are_read_from_the_state(spark):
     sw.start_intent_windows(spark, common.file_stream(spark, path, schema), out, checkpoint=checkpoint)
     got = {(str(r.window_start)[:10], r.intent): (r.n, r.closed) for r in sw.all_intent_windows(spark, out, checkpoint).collect()}
     assert got == {("2024-01-01", "A"): (2, True), ("2024-01-02", "B"): (2, True), ("2024-01-04", "A"): (1, False)}
+
+
+def test_no_table_is_broadcast_in_every_batch(spark, model, monkeypatch):
+    """Model and account tables, however small, are joined by shuffles: a broadcast would pass
+    the driver in every micro-batch."""
+    plans = []
+    monkeypatch.setattr(stag, "materialize", lambda df, name: plans.append(plan_of(df)) or df.localCheckpoint())
+    done = stag.decided(deliveries(spark, [r for r in ROWS if r[2] is not None]), [SECRET], model, *tables(spark), None)
+    assert len(plans) == 1 and plans[0].count("rightHint=(strategy=merge)") == 2
+    assert plan_of(done).count("rightHint=(strategy=merge)") == 1
