@@ -115,7 +115,7 @@ def holder_steps(events: DataFrame, customers: DataFrame | None = None) -> DataF
     return steps.groupBy("customer", "ts", "seq").agg(F.max_by("account_id", "pos").alias("account_id"))
 
 
-def resolve_accounts(events: DataFrame) -> DataFrame:
+def resolve_accounts(events: DataFrame, held_only: bool = False) -> DataFrame:
     """Lookup events (created / deleted / failed >= 3) with the account holding the
     event's customer at the event's time (null when none; the smallest when several). An
     event that occurs twice counts once.
@@ -124,7 +124,10 @@ def resolve_accounts(events: DataFrame) -> DataFrame:
     accounts and the customer of each one's latest checkout is forward-filled. Customers
     with more: one as-of lookup in :func:`holder_steps`. So a lookup makes at most
     FEW_HOLDERS rows, and the work follows lookups and toggles, however many accounts hold
-    a customer; the steps cost about three times the fan-out where there is one holder."""
+    a customer; the steps cost about three times the fan-out where there is one holder.
+
+    With ``held_only`` lookups that no account holds are left out, most of them before the
+    rows are sorted: an account cannot hold a customer before its first checkout of it."""
     lookups = events.filter(
         F.col("type").isin(SUB_CREATED, SUB_DELETED) |
         ((F.col("type") == PAYMENT_FAILED) &
@@ -134,23 +137,30 @@ def resolve_accounts(events: DataFrame) -> DataFrame:
     crowded = materialize(held_by.groupBy("customer").agg(F.count(F.lit(1)).alias("n"))
                           .where(F.col("n") > FEW_HOLDERS).select("customer"), "crowded-customers")
     if crowded.isEmpty():
-        return _by_fan_out(events, lookups)
+        return _by_fan_out(events, lookups, held_only=held_only)
     by_steps = asof.asof_lookup(lookups.join(crowded, "customer", "left_semi").select(*lookups.columns).distinct(),
                                 holder_steps(events, crowded), "customer", "ts", ["account_id"], event_seq="event_seq")
     few = lookups.join(crowded, "customer", "left_anti").select(*lookups.columns)
-    return _by_fan_out(events, few, crowded).unionByName(by_steps)
+    if held_only:
+        by_steps = by_steps.where(F.col("account_id").isNotNull())
+    return _by_fan_out(events, few, crowded, held_only).unionByName(by_steps)
 
 
-def _by_fan_out(events: DataFrame, lookups: DataFrame, crowded: DataFrame | None = None) -> DataFrame:
+def _by_fan_out(events: DataFrame, lookups: DataFrame, crowded: DataFrame | None = None, held_only: bool = False) -> DataFrame:
     """Lookups of customers outside ``crowded``, by lookups x accounts that ever held them."""
     co = checkouts(events)
-    holders = co.select("customer", "account_id").distinct()
+    holders = co.groupBy("customer", "account_id").agg(F.min(F.struct("ts", F.col("seq").alias("event_seq"))).alias("_first"))
     if crowded is not None:
         holders = holders.join(crowded, "customer", "left_anti")
-    fanned = lookups.join(holders, "customer", "left")
+    if held_only:
+        fanned = lookups.join(holders, "customer").where(F.struct("ts", "event_seq") >= F.col("_first")).drop("_first")
+    else:
+        fanned = lookups.join(holders.drop("_first"), "customer", "left")
     latest = co.select("account_id", "ts", "seq", F.col("customer").alias("held_customer"))
     at = asof.asof_lookup(fanned, latest, "account_id", "ts", ["held_customer"], event_seq="event_seq")
     holds = F.coalesce(F.col("held_customer") == F.col("customer"), F.lit(False))
+    if held_only:
+        at = at.where(holds)
     return at.groupBy("event_seq", "ts", "type", "customer").agg(
         F.min(F.when(holds, F.col("account_id"))).alias("account_id"))
 
@@ -158,7 +168,7 @@ def _by_fan_out(events: DataFrame, lookups: DataFrame, crowded: DataFrame | None
 def plan_actions(events: DataFrame) -> DataFrame:
     """Every plan change ``(account_id, ts, seq, plan, customer)``."""
     up = checkouts(events).select("account_id", "ts", "seq", F.lit("pro").alias("plan"), "customer")
-    found = resolve_accounts(events).filter(F.col("account_id").isNotNull()).select(
+    found = resolve_accounts(events, held_only=True).select(
         "account_id", "ts", F.col("event_seq").alias("seq"),
         F.when(F.col("type") == SUB_CREATED, "pro").otherwise("free").alias("plan"), "customer")
     return up.unionByName(found)

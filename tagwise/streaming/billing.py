@@ -48,13 +48,25 @@ def _version(spark: SparkSession, root: str, v: int, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def apply_batch(batch: DataFrame, holders: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(new holders, new state)`` after the billing events of ``batch``."""
+def _with_holders(batch: DataFrame, holders: DataFrame) -> DataFrame:
+    """The events of ``batch`` and each holder's latest checkout."""
     synthetic = holders.select(
         F.col("seq").alias("event_seq"), "ts", F.lit(bl.CHECKOUT).alias("type"),
         F.col("account_id").cast("string").alias("client_reference_id"), "customer",
         F.lit(None).cast("bigint").alias("attempt_count"))
-    events = batch.select(*synthetic.columns).unionByName(synthetic)
+    return batch.select(*synthetic.columns).unionByName(synthetic)
+
+
+def latest_holders(batch: DataFrame, holders: DataFrame) -> DataFrame:
+    """The holders after the events of ``batch``, late ones included."""
+    return (bl.checkouts(_with_holders(batch, holders)).groupBy("account_id")
+            .agg(F.max_by(F.struct("customer", "ts", "seq"), F.struct("ts", "seq")).alias("h"))
+            .select("account_id", "h.customer", "h.ts", "h.seq"))
+
+
+def apply_batch(batch: DataFrame, holders: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(new holders, new state)`` after the billing events of ``batch``, none of them late."""
+    events = _with_holders(batch, holders)
     acts = bl.plan_actions(events).join(holders.select("account_id", "seq"), ["account_id", "seq"], "left_anti")
     new = bl.state_from_actions(acts)
     p, n = state.alias("p"), new.alias("n")
@@ -64,10 +76,7 @@ def apply_batch(batch: DataFrame, holders: DataFrame, state: DataFrame) -> tuple
         F.coalesce("n.stripe_customer_id", "p.stripe_customer_id").alias("stripe_customer_id"),
         F.greatest("n.last_event_ts", "p.last_event_ts").alias("last_event_ts"),
         (F.coalesce("n.n_changes", F.lit(0)) + F.coalesce("p.n_changes", F.lit(0))).cast("bigint").alias("n_changes"))
-    latest = (bl.checkouts(events).groupBy("account_id")
-              .agg(F.max_by(F.struct("customer", "ts", "seq"), F.struct("ts", "seq")).alias("h"))
-              .select("account_id", "h.customer", "h.ts", "h.seq"))
-    return latest, merged
+    return latest_holders(batch, holders), merged
 
 
 EVENTS_SCHEMA = "event_seq bigint, ts timestamp, type string, client_reference_id string, customer string, attempt_count bigint"
@@ -80,13 +89,17 @@ def recomputed(batch: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
     A checkout moves its account from one customer to another, so what earlier and later events
     of both customers resolve to may change, for every account that ever held either. Those
     accounts' own states depend on the customers they ever held, and whom these resolve to on
-    all of their holders' checkouts: nothing else of the log is read into the computation.
+    all of their holders' checkouts: nothing else of the log is read into the computation. Where
+    most accounts are touched there is little else, and the log is taken as it is: to join and
+    write nearly all of it first costs more than the rest of it.
     """
     held = materialize(bl.checkouts(log).select("account_id", "customer").distinct(), "billing-held")
     moved = bl.checkouts(batch).select("account_id").distinct()
     named = batch.where("customer IS NOT NULL").select("customer")
     customers = named.unionByName(held.join(moved, "account_id", "left_semi").select("customer")).distinct()
     accounts = materialize(held.join(customers, "customer", "left_semi").select("account_id").unionByName(moved).distinct(), "billing-touched")
+    if _most(accounts, held):
+        return bl.state_from_actions(bl.plan_actions(log).join(accounts, "account_id", "left_semi")), accounts
     their = held.join(accounts, "account_id", "left_semi").select("customer").distinct()
     holders = held.join(their, "customer", "left_semi").select("account_id").distinct()
     account = F.col("client_reference_id").try_cast("bigint")
@@ -97,6 +110,12 @@ def recomputed(batch: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return bl.state_from_actions(acts), accounts
 
 
+def _most(accounts: DataFrame, held: DataFrame) -> bool:
+    """Whether ``accounts`` are more than those of ``held`` that are not among them."""
+    others = held.join(accounts, "account_id", "left_anti").select("account_id").distinct()
+    return others.count() < accounts.count()
+
+
 def start_billing(spark: SparkSession, events_stream: DataFrame, holders_path: str, state_path: str,
                   checkpoint: str | None = None) -> None:
     log_path, high_path = f"{state_path}-events", f"{state_path}-high"
@@ -110,12 +129,14 @@ def start_billing(spark: SparkSession, events_stream: DataFrame, holders_path: s
         order = F.struct("ts", F.col("event_seq").alias("seq"))
         low, high = batch.agg(F.min(order), F.max(order)).first()
         holders, state = (_version(spark, p, batch_id - 1, schema) for p, schema in ((holders_path, HOLDERS_SCHEMA), (state_path, STATE_SCHEMA)))
-        new_holders, new_state = apply_batch(batch, holders, state)
         if before is not None and low is not None and tuple(low) < tuple(before):
             done = sorted(b for b in common.finished(spark, log_path, "batch_id") if b <= batch_id)
             log = spark.read.schema(EVENTS_SCHEMA).parquet(*[f"{log_path}/batch_id={b}" for b in done])
             rows, accounts = recomputed(batch, log)
+            new_holders = latest_holders(batch, holders)
             new_state = state.join(accounts, "account_id", "left_anti").unionByName(rows)
+        else:
+            new_holders, new_state = apply_batch(batch, holders, state)
         new_holders.write.mode("overwrite").parquet(f"{holders_path}/version={batch_id}")
         new_state.write.mode("overwrite").parquet(f"{state_path}/version={batch_id}")
         seen = [tuple(x) for x in (before, high) if x is not None]

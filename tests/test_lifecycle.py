@@ -211,3 +211,39 @@ def test_holder_steps_edge_cases(spark, monkeypatch, few):
             (6, 2, bl.SUB_DELETED, None, "c", None), (7, 2, bl.SUB_DELETED, None, None, None), (8, 2, bl.SUB_DELETED, None, "d", None)]
     got = sorted((r["event_seq"], r["account_id"]) for r in bl.resolve_accounts(_ev(spark, rows)).collect())
     assert got == [(2, 1), (4, 1), (6, None), (7, None), (8, 1)]
+
+
+@pytest.mark.parametrize("few", [0, 4])
+def test_held_lookups_are_all_lookups_less_those_nobody_holds(spark, monkeypatch, few):
+    import random
+    monkeypatch.setattr(bl, "FEW_HOLDERS", few)
+    rng = random.Random(few)
+    rows = [(i, rng.randrange(30), t, str(rng.randrange(5)) if t == bl.CHECKOUT else None, rng.choice([None, "c1", "c2", "c3", "c4"]), None)
+            for i in range(200) for t in [rng.choice([bl.CHECKOUT, bl.SUB_CREATED, bl.SUB_DELETED])]]
+    rows += [r for r in rows if r[0] % 9 == 0]                                               # delivered twice
+    ev = _ev(spark, rows)
+    every = bl.resolve_accounts(ev).where("account_id IS NOT NULL").collect()
+    assert sorted(map(tuple, bl.resolve_accounts(ev, held_only=True).collect())) == sorted(map(tuple, every))
+
+
+def test_late_batches_are_computed_once(spark, monkeypatch):
+    """A batch with late events is not resolved as one in order first, and gives the same state
+    where few accounts are touched and where most are."""
+    from tagwise.session import scratch_path
+    from tagwise.streaming import billing as sb
+    from tagwise.streaming import common
+    early = [(100 + k, 50 + k, bl.CHECKOUT, str(k), f"c{k}", None) for k in range(8)]
+    calls, most = [], []
+    apply, share = sb.apply_batch, sb._most
+    monkeypatch.setattr(sb, "apply_batch", lambda *a: calls.append(1) or apply(*a))
+    monkeypatch.setattr(sb, "_most", lambda *a: most.append(share(*a)) or most[-1])
+    for late in ([(1, 0, bl.CHECKOUT, "1", "c2", None), (2, 60, bl.SUB_DELETED, None, "c1", None)],
+                 [(k, k, bl.CHECKOUT, str(k), f"c{k}", None) for k in range(8)] + [(9, 9, bl.SUB_DELETED, None, "c3", None)]):
+        calls.clear()
+        path, holders, state, checkpoint = (scratch_path(spark, n) for n in ("landing-c", "holders-c", "state-c", "ckpt-c"))
+        for part in (early, late):
+            _ev(spark, part).coalesce(1).write.mode("append").parquet(path)
+            sb.start_billing(spark, common.file_stream(spark, path, _ev(spark, part).schema), holders, state, checkpoint)
+        assert len(calls) == 1
+        assert sorted(map(tuple, sb.read_state(spark, state).collect())) == sorted(map(tuple, bl.plan_state(_ev(spark, early + late)).collect()))
+    assert most == [False, True]
