@@ -31,14 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagwise.llm.common import by_bytes
 from tagwise.session import scratch_path
 
 END_ID = 2
 SAMPLE = 256                      # ones between two sampled positions of a bit vector
 MAGIC = b"TWIDS001"
 HEADER = struct.Struct("<8sHHIQqQQQ")   # magic, width, nulls, docs, ids, least id, 3 sizes
-CACHE_CHUNKS = 600_000            # remembered chunks of text per Python worker
-BATCH_ROWS = 2000                 # documents encoded together
+CACHE_BYTES = 160 << 20           # remembered pieces of text per Python worker, by estimated size
+PIECE_BYTES = 200                 # of a remembered piece, beside its characters
+LONG_PIECE = 256                  # characters; longer pieces are not remembered
+TEXT_BYTES = 8 << 20              # encoded together, more only if one text has more
 JOINT = 100                       # new words encoded as one text
 
 
@@ -110,31 +113,57 @@ class EliasFano:
 
 # --- encoding ------------------------------------------------------------------------
 
-#: A space with white space on both sides. The vocabulary's splitting pattern ends a
-#: token before a space that has any other character next to it, so texts are cut there
-#: and equal chunks are encoded once.
-_ODD = re.compile(r"\s \s")
-_WIDE = re.compile(r" \s")          # in every odd text; starts with a plain space, so the search is quick
-_CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
+#: Classes of UTF-8 bytes: ASCII letters and digits, other printable ASCII, the space, other
+#: ASCII white space, and bytes of longer characters.
+_WORD, _MARK, _SPACE, _BREAK, _HIGH = 1, 2, 4, 8, 16
+_CLASS = bytes(_HIGH if b > 127 else _WORD if chr(b).isalnum() else _MARK if 32 < b < 127 else _SPACE if b == 32
+               else _BREAK if 9 <= b <= 13 else 0 for b in range(256))
+#: What a byte of the first table and one of the second behind it share: 1, 2 have a cut between
+#: them; 4, 8 may have one.
+_BEFORE = bytes({_WORD: 1 | 2, _MARK: 2, _HIGH: 4, _SPACE: 8, _BREAK: 8}.get(c, 0) for c in _CLASS)
+_AFTER = bytes({_MARK: 1, _SPACE: 2 | 4 | 8, _BREAK: 2 | 4 | 8}.get(c, 0) for c in _CLASS)
+#: White space beyond ASCII: the last two bytes of such characters, then all three of the longer ones.
+_WIDE = [c.encode() for c in map(chr, range(128, 1 << 16)) if c.isspace() or c == "\u180e"]
+_WIDE_2 = np.array([int.from_bytes(c) for c in _WIDE if len(c) == 2])
+_WIDE_3 = np.array([int.from_bytes(c) for c in _WIDE if len(c) == 3])
 _STATE: dict = {}
 
 
-def _odd(text: str) -> bool:
-    return _WIDE.search(text) is not None and _ODD.search(text) is not None
-
-
-def _chunks(text: str) -> list[str]:
-    if _odd(text):
-        return [c for c in _CUT.split(text) if c]
-    first, *rest = text.split(" ")
-    return [first, *[" " + c for c in rest]] if first else [" " + c for c in rest]
+def _cuts(data: bytes, starts: np.ndarray) -> np.ndarray:
+    """True at the bytes where a piece starts; ``starts``: where texts do, each cut on its own.
+
+    The vocabulary's splitting pattern has a boundary between a letter or digit and a mark, and
+    between anything and white space behind it. It looks ahead from white space only: the last
+    character of a run goes apart where a printable one is behind it, and a line break, unlike a
+    space, is never one token with that."""
+    before, after = np.frombuffer(data.translate(_BEFORE), np.uint8), np.frombuffer(data.translate(_AFTER), np.uint8)
+    kind = np.frombuffer(data.translate(_CLASS) + b"\0", np.uint8)
+    printable = kind & (_WORD | _MARK) != 0
+    met = before[:-1] & after[1:]
+    cut, first = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    first[starts] = True
+    cut[1:-1] = met != 0
+    high = np.flatnonzero(met == 4) + 1                 # white space behind a longer character
+    if len(high):
+        raw = np.frombuffer(data, np.uint8)
+        last, two = raw[high - 1].astype(np.int32), raw[high - 2].astype(np.int32) << 8
+        three = raw[np.maximum(high - 3, 0)].astype(np.int32) << 16
+        cut[high] = ~(np.isin(two | last, _WIDE_2) | np.isin(three | two | last, _WIDE_3))
+    run = np.flatnonzero(met == 8) + 1                  # white space behind white space
+    cut[run] = printable[run + 1] & ~first[run + 1]
+    cut |= first
+    breaks = np.flatnonzero(kind == _BREAK)
+    cut[breaks[cut[breaks] & printable[breaks + 1]] + 1] = True
+    return cut
 
 
 class Encoder:
-    """Byte-level BPE of a ``tokenizers`` file, with the ids of frequent chunks remembered.
+    """Byte-level BPE of a ``tokenizers`` file, with the ids of frequent pieces remembered.
 
     Strings that look like special tokens are ordinary text, or with ``added_tokens`` the
-    file's added tokens. Ids equal those of encoding each whole text at once (tested)."""
+    file's added tokens. Ids equal those of encoding each whole text at once (tested).
+    Texts are cut into pieces and the distinct ones numbered by numpy and Arrow; only those
+    become Python strings."""
 
     def __init__(self, path: str, added_tokens: bool = False):
         import os
@@ -147,42 +176,74 @@ class Encoder:
             found = self.model.get_added_tokens_decoder().values()
             if any(t.single_word or t.lstrip or t.rstrip or (t.normalized and self.model.normalizer) for t in found):
                 raise ValueError(f"{path} has added tokens that depend on the text around them")
-            names = sorted((t.content for t in found), key=len, reverse=True)
-            self.added = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+            names = sorted((t.content.encode() for t in found), key=len, reverse=True)
+            self.added = re.compile(b"|".join(map(re.escape, names))) if names else None
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}       # by chunk less the space it starts with
+        self.spaced: dict[str, bytes] = {}       # by piece less the space it starts with
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}      # both, as they were when full
+        self.size = 0                            # of both, by estimate
         vocabulary = self.model.get_vocab()
         self.starts = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.starts[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True    # byte-level space
 
-    def chunks(self, text: str) -> list[str]:
-        """Pieces whose ids, one after the other, are the text's; an added token is one."""
-        if self.added is None or not self.added.search(text):
-            return _chunks(text)
-        return [c for i, part in enumerate(self.added.split(text)) for c in ([part] if i % 2 else _chunks(part) if part else [])]
-
-    def cut(self, text: str) -> tuple[list[str], list[str]]:
-        """Chunks of the text, then those that start with a space, without it."""
-        if _odd(text) or self.added is not None and self.added.search(text):
-            return self.chunks(text), []
-        words = text.split(" ")
-        return ([words[0]] if words[0] else []), words[1:]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _pieces(self, data: bytes, ends: np.ndarray) -> np.ndarray:
+        """Where the pieces of the texts start, then the end of all. An added token is a piece."""
+        spans = []
+        if self.added is not None and self.added.search(data):
+            for a, b in zip(ends.tolist(), ends[1:].tolist()):
+                spans += [(a + m.start(), a + m.end()) for m in self.added.finditer(data[a:b])]
+        cut = _cuts(data, np.concatenate([ends[:-1], np.array(spans, ends.dtype).ravel()]))
+        for a, b in spans:
+            cut[a + 1:b] = False
+        cut[-1] = True
+        return np.flatnonzero(cut).astype(np.int32)
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text; none is null."""
+        texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        _, offsets, buffer = texts.buffers()
+        ends = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+        data = buffer.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() if ends[-1] > ends[0] else b""
+        if not data:
+            return [b""] * len(texts)
+        ends = ends - ends[0]
+        cuts = self._pieces(data, ends)
+        pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data)).dictionary_encode()
+        codes = self._codes(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, codes), np.int32, len(codes)) // self.dtype.itemsize
+        ids, which = np.frombuffer(b"".join(codes), self.dtype), pieces.indices.to_numpy()
+        each = sizes[which]
+        stops = np.concatenate([[0], np.cumsum(each)])
+        # the i-th id of a piece is i places behind the first id of its kind
+        shift = (np.cumsum(sizes) - sizes)[which] - stops[:-1]
+        flat = ids[np.repeat(shift.astype(np.int32), each) + np.arange(stops[-1], dtype=np.int32)].tobytes()
+        at = (stops[np.searchsorted(cuts, ends)] * self.dtype.itemsize).tolist()
+        return [flat[a:b] for a, b in zip(at, at[1:])]
+
+    def _codes(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of these distinct pieces. When too much is remembered, what was not asked
+        for since the time before is forgotten; long pieces are not remembered beyond the call."""
+        if self.size > CACHE_BYTES // 2:
+            self.older, self.known, self.spaced, self.size = (self.known, self.spaced), {}, {}, 0
         known, spaced = self.known, self.spaced
-        cuts = [self.cut(t) for t in texts]
-        chunks, words = set().union(*(c for c, _ in cuts)), set().union(*(w for _, w in cuts))
-        new, new_words = chunks.difference(known), words.difference(spaced)
-        if len(known) + len(spaced) + len(new) + len(new_words) > CACHE_CHUNKS:
-            known.clear()
-            spaced.clear()
-            new, new_words = chunks, words
-        self._learn(list(new), "", known)
-        plain = [w for w in new_words if w.split() == [w]]
-        self._learn(list(new_words.difference(plain)), " ", spaced)
-        self._learn_joint(plain)
-        return [b"".join([*map(known.__getitem__, c), *map(spaced.__getitem__, w)]) for c, w in cuts]
+        codes = [spaced.get(p[1:]) if p[0] == " " else known.get(p) for p in pieces]
+        new = [p for p, ids in zip(pieces, codes) if ids is None]
+        if not new:
+            return codes
+        for now, old, space, names in ((known, self.older[0], "", [p for p in new if p[0] != " "]),
+                                       (spaced, self.older[1], " ", [p[1:] for p in new if p[0] == " "])):
+            now.update({p: old[p] for p in names if p in old})
+            names = [p for p in names if p not in now]
+            plain = [w for w in names if w.split() == [w]] if space else []
+            self._learn(list(set(names).difference(plain)), space, now)
+            self._learn_joint(plain)
+        codes = [ids if ids is not None else spaced[p[1:]] if p[0] == " " else known[p] for p, ids in zip(pieces, codes)]
+        for p in new:
+            if len(p) > LONG_PIECE:
+                (spaced if p[0] == " " else known).pop(p[1:] if p[0] == " " else p)
+        self.size += PIECE_BYTES * len(new) + sum(map(len, new))
+        return codes
 
     def _learn(self, names: list[str], space: str, ids: dict[str, bytes]) -> None:
         for at in range(0, len(names), 20_000):
@@ -308,10 +369,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         keys: list[int | None] = []
         codes: list[bytes] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for part in by_bytes(batch, 1, TEXT_BYTES):
                 keys += part.column(0).to_pylist()
-                codes += [c + end for c in enc.encode(part.column(1).to_pylist())]
+                codes += [c + end for c in enc.encode(part.column(1))]
         dtype = enc.dtype
         if not keep_encoder:
             enc = forget_encoders()

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -98,3 +99,44 @@ def test_new_words_are_encoded_jointly_and_known_by_their_words():
         want = [np.array(model.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes() for t in texts]
         assert enc.encode(texts) == want == enc.encode(texts)
         assert "w3x23757" in enc.spaced and " w3x23757" not in enc.known
+
+
+def test_words_are_known_apart_from_their_marks_and_lines():
+    """A word is encoded once, whatever marks or line break stand behind it."""
+    from tokenizers import Tokenizer
+    words, marks = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)], ["", ".", ",", "%%%", "###", "***", "&&&", ".\n", "'s"]
+    texts = [" ".join(w + m for w in words) for m in marks]
+    model = Tokenizer.from_file(tokenizer_path())
+    for added in (False, True):
+        enc = tf.Encoder(tokenizer_path(), added)
+        assert enc.encode(texts) == [np.array(model.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes() for t in texts]
+        assert len(enc.known) + len(enc.spaced) < 2 * len(words)
+
+
+def test_pieces_give_the_ids_of_whole_texts():
+    """White space of all kinds, letters and marks of all lengths in UTF-8, contractions and added tokens."""
+    from tokenizers import Tokenizer
+    spaces = [c for c in map(chr, range(0x3001)) if c.isspace()] + ["᠎", "​", "﻿"]
+    others = ["a", "Z", "é", "日", "я", "ª", "́", "Ġ", "😀", "—", "’", "¿", "²", "٣", "\x00", "\x7f", "\x80", ".", "'", "'s", "'ll", "7", "%",
+              "<|endoftext|>", "<|endoftext", "|>"]
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(pool, n)) for pool in (spaces + others, [" ", "\n", "a", "."], [*others, *[" "] * 20, *spaces])
+             for n in rng.integers(0, 25, 1500)]
+    model = Tokenizer.from_file(tokenizer_path())
+    for added in (False, True):
+        model.encode_special_tokens = not added
+        enc = tf.Encoder(tokenizer_path(), added)
+        want = [np.array(e.ids, enc.dtype).tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+        assert enc.encode(texts) == want
+        assert enc.encode(pa.array(["x y", *texts], pa.large_string()).slice(1)) == want
+
+
+def test_what_is_remembered_is_bounded_by_bytes(monkeypatch):
+    """Long pieces are not kept, and words of every second time before the bound are forgotten."""
+    monkeypatch.setattr(tf, "CACHE_BYTES", 40 * tf.PIECE_BYTES)
+    enc = tf.Encoder(tokenizer_path())
+    texts = [" ".join(f"q{k}z{j}" for j in range(30)) + " " + "long" * 500 for k in range(50)]
+    fresh = [tf.Encoder(tokenizer_path()).encode([t])[0] for t in texts[:3]]
+    assert [enc.encode([t])[0] for t in texts][:3] == fresh == [enc.encode([t])[0] for t in texts[:3]]
+    kept = [w for known in (enc.known, enc.spaced, *enc.older) for w in known]
+    assert 0 < len(kept) <= 2 * 32 and max(map(len, kept)) < 20
