@@ -78,6 +78,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     return conf_dir.rstrip("/")
 
 
+#: Bytes of an Arrow batch on its way to a Python worker. Spark's own limit is 10,000 rows, which
+#: for whole texts is all of a task's input, held by the JVM twice (as vectors and as a stream)
+#: and by the worker once.
+ARROW_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, unless the session names a bound itself. It stays, as what
+    is planned now may run later."""
+    name, size = ARROW_BATCH
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, size)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique sub-folder of the shared checkpoint root for written intermediate tables
     and streaming checkpoints."""

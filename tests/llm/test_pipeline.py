@@ -70,6 +70,36 @@ def test_near_copies_from_four_fifths_on(spark):
     assert sorted(r.doc_id for r in cp.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()) == [1, 11, 12]
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    """By rows alone, all of these texts (16 MB) would be one batch."""
+    import pyarrow as pa
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(400).coalesce(1).selectExpr("id AS doc_id", "repeat('some words ', 3700) AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    spark.conf.unset(name)
+    cp.language(spark, docs, "")
+    found = docs.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in found) == 400 and max(r.size for r in found) < 5 << 20
+    spark.conf.set(name, "1m")                     # a session's own bound is left alone
+    cp.language(spark, docs, "")
+    assert spark.conf.get(name) == "1m"
+    spark.conf.unset(name)
+
+
+def test_near_duplicates_deals_texts_out_once(spark):
+    """One shuffle by key serves the anti-join and the window."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = cp.near_duplicates(spark, spark.createDataFrame(awkward_rows(), SCHEMA), "")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(_key#") == 1
+
+
 def test_empty_tables(spark, tmp_path):
     assert cp.run(spark, write(spark, tmp_path, [], [])).collect() == []
 
