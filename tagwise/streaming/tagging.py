@@ -146,7 +146,9 @@ def start_tagging(spark: SparkSession, source: DataFrame, secrets: list[str], mo
                   on_failure=None) -> Sinks:
     """Run the tagging stream to completion of the available input (availableNow), from
     ``checkpoint`` on if one is given. ``on_failure(batch_id, {sink: error})`` hears of sinks that
-    failed; they are due until :meth:`Sinks.redrive`."""
+    failed; they are due until :meth:`Sinks.redrive`. If nobody hears of them, what is due at the
+    end is written once more, and the run fails if that fails: its readers would take the
+    batches that are there for all of them."""
     sinks = Sinks(spark, root)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -155,6 +157,8 @@ def start_tagging(spark: SparkSession, source: DataFrame, secrets: list[str], mo
             on_failure(batch_id, failed)
 
     common.run_available_now(source.writeStream.foreachBatch(handle), "tagging", spark, checkpoint)
+    if on_failure is None and (failed := sinks.redrive()):
+        raise RuntimeError(f"not written: {', '.join(f'{name} of batch {b}' for b, name in failed)}") from next(iter(failed.values()))
     return sinks
 
 

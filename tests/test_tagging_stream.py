@@ -139,6 +139,33 @@ def test_a_failing_sink_does_not_stop_the_others(spark, model, monkeypatch):
     assert snapshot(sinks)["rejects"] == sorted(map(str, stag.Sinks.MADE["rejects"](whole).collect()))
 
 
+@pytest.mark.parametrize("times", [1, 9])
+def test_a_failure_that_nobody_hears_is_no_result(spark, model, monkeypatch, times):
+    """Without ``on_failure`` a sink that failed once is written at the end; one that fails again
+    fails the run, which goes on from its stage when it is started again."""
+    rows = [r for r in ROWS if r[2] is not None]
+    path, root, checkpoint = (scratch_path(spark, n) for n in ("landing-n", "tagging-n", "ckpt-n"))
+    for part in (rows[:5], rows[5:]):
+        deliveries(spark, part).coalesce(1).write.mode("append").parquet(path)
+    left, write = [times], stag.Sinks.write
+
+    def broken(self, name, made, batch_id):
+        if name == "counters" and batch_id == 0 and left[0]:
+            left[0] -= 1
+            raise OSError("no space")
+        write(self, name, made, batch_id)
+
+    monkeypatch.setattr(stag.Sinks, "write", broken)
+    if times > 1:
+        with pytest.raises(RuntimeError, match="not written: counters of batch 0"):
+            run(spark, model, path, root, checkpoint)
+        left[0] = 0
+    sinks = run(spark, model, path, root, checkpoint)
+    assert sinks.due() == [] and sinks.done("counters") == {0, 1}
+    whole = stag.decided(deliveries(spark, rows), [SECRET], model, *tables(spark), None)
+    assert snapshot(sinks)["counters"] == sorted(map(str, stag.counted(whole.where("outcome = 'ready'")).collect()))
+
+
 def test_fixture_reaches_every_outcome(spark):
     from tagwise.plans import routing
     from tests.conftest import SF_CHECK
